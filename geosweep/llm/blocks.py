@@ -28,8 +28,8 @@ BLOCK_BYTES = 4 << 20
 
 
 @functools.cache
-def _byte_table(lower: bool) -> np.ndarray:
-    table = np.random.default_rng(20240229).integers(1, 2**64, size=256, dtype=U64, endpoint=False)
+def _byte_table(lower: bool, lane: int = 0) -> np.ndarray:
+    table = np.random.default_rng(20240229 + lane).integers(1, 2**64, size=256, dtype=U64, endpoint=False)
     if lower:
         table[0x41:0x5B] = table[0x61:0x7B]
     return table
@@ -88,10 +88,10 @@ def gram_digest(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool, lane: int = 0) -> np.ndarray:
     """Content hash of each byte span; spans are in order and do not overlap."""
     out = np.zeros(len(start), dtype=U64)
-    table, at = _byte_table(lower), 0
+    table, at = _byte_table(lower, lane), 0
     while at < len(start):
         base = int(start[at])
         to = max(at + 1, int(np.searchsorted(end, base + _PIECE, "right")))
@@ -165,6 +165,24 @@ class Block:
     def text(self, i: int) -> bytes:
         return self.buf[self.offsets[i] : self.offsets[i + 1] - 1].tobytes()
 
+    @functools.cached_property
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end (at its newline) and document of every line; an empty text has one."""
+        end = np.flatnonzero(self.buf == 10)
+        start = np.concatenate([[0], end[:-1] + 1]) if len(end) else end
+        return start, end, np.searchsorted(self.offsets[1:], end, "right")
+
+    def without_lines(self, drop: np.ndarray) -> pa.Array:
+        """Text of each document with the dropped lines gone and the others joined by newlines."""
+        start, end, _ = self.lines
+        keep = np.repeat(~drop, end - start + 1)
+        kept = np.concatenate([[0], np.cumsum(keep)])[self.offsets]
+        where = np.flatnonzero(keep)
+        keep[where[kept[1:][kept[1:] > kept[:-1]] - 1]] = False
+        size = np.maximum(np.diff(kept) - 1, 0)
+        at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        return pa.StringArray.from_buffers(self.n_docs, pa.py_buffer(at), pa.py_buffer(self.buf[keep]))
+
     def joined_words(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Kept words of each document joined by one space: bytes and offsets of documents."""
         start, end, doc = self.start[keep], self.end[keep], self.word_doc[keep]

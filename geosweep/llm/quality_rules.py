@@ -12,7 +12,6 @@ input column whose name the operator makes is replaced by the operator's.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,9 +72,7 @@ def measure(block: Block, window: int = WINDOW, max_loss: float = 0.5, text_out:
     n_symbols = block.per_doc(_in(buf, "#*$%&|<>"))
 
     # lines: each ends with a newline, the last of a document with the block's own
-    end = np.flatnonzero(buf == 10)
-    start = np.concatenate([[0], end[:-1] + 1]) if len(end) else end
-    line_doc = np.searchsorted(block.offsets[1:], end, "right") if len(end) else end
+    start, end, line_doc = block.lines
     words_at = np.searchsorted(block.start, np.append(start, len(buf)))
     line_words = np.diff(words_at)
     seen, _ = _repeats(line_doc, span_hashes(buf, start, end, False))
@@ -110,11 +107,7 @@ def measure(block: Block, window: int = WINDOW, max_loss: float = 0.5, text_out:
         "n_failed_lines": np.bincount(line_doc[failed], minlength=block.n_docs), "n_removed_words": removed,
     }
     if text_out:
-        keep = np.repeat(~failed, end - start + 1)
-        size = block.per_doc(keep) + keep[block.offsets[1:] - 1]
-        at = np.concatenate([[0], np.cumsum(size)])
-        data = buf[keep].tobytes()
-        out["clean_text"] = pa.array([data[a : max(a, b - 1)].decode() for a, b in zip(at, at[1:], strict=False)], pa.string())
+        out["clean_text"] = block.without_lines(failed)
     return out
 
 
