@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geosweep.llm import quality_rules
+from geosweep.llm import line_dedup, quality_rules, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_quality_rules": quality_rules.query}
+    return {
+        "op6_line_dedup": line_dedup.query,
+        "op7_quality_rules": quality_rules.query,
+        "op10_warc": warc.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules.ORACLE}
+    return {
+        "op6_line_dedup": line_dedup.ORACLE,
+        "op7_quality_rules": quality_rules.ORACLE,
+        "op10_warc": warc.ORACLE,
+    }
