@@ -183,20 +183,22 @@ class Block:
         at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
         return pa.StringArray.from_buffers(self.n_docs, pa.py_buffer(at), pa.py_buffer(self.buf[keep]))
 
-    def joined_words(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Kept words of each document joined by one space: bytes and offsets of documents."""
+    def joined_words(self, keep: np.ndarray) -> pa.Array:
+        """Text of each document from its kept words, joined by one space."""
         start, end, doc = self.start[keep], self.end[keep], self.word_doc[keep]
         # each kept word takes the byte that follows it along, turned into a space
-        size = end - start + 1
-        to = np.concatenate([[0], np.cumsum(size)])
         mark = np.zeros(len(self.buf) + 1, dtype=np.int8)
         mark[start] += 1
         mark[end + 1] -= 1
-        taken = np.cumsum(mark[:-1], dtype=np.int8).astype(bool)
-        out = self.buf[taken]
+        out = self.buf[np.cumsum(mark[:-1], dtype=np.int8).astype(bool)]
+        to = np.concatenate([[0], np.cumsum(end - start + 1)])
         out[to[1:] - 1] = 0x20
-        words = np.searchsorted(doc, np.arange(self.n_docs + 1))
-        return out, to[words]
+        at = to[np.searchsorted(doc, np.arange(self.n_docs + 1))]
+        some = at[1:] > at[:-1]
+        drop = np.zeros(len(out), bool)
+        drop[at[1:][some] - 1] = True
+        at[1:] -= np.cumsum(some)
+        return pa.StringArray.from_buffers(self.n_docs, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(out[~drop]))
 
 
 def blocks(batches, limit: int = BLOCK_BYTES, text: str = "text") -> Iterator[tuple[pa.RecordBatch, Block]]:

@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,3 +108,64 @@ def split_join(rows: DataFrame, unique: DataFrame, key: list[str], how: str = "i
     hot = marked.where("__heavy").drop("__heavy").join(few, key, how)
     cold = marked.where("__heavy IS NULL").drop("__heavy").join(unique, key, how)
     return hot.unionByName(cold)
+
+
+def dealt(docs: DataFrame, buckets: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(__b, __id, __text): documents dealt to buckets by a hash of their id (of their text, without one).
+
+    A plan may read this several times; Spark then shuffles the texts once and reuses that exchange.
+    """
+    spark = docs.sparkSession
+    key = F.when(F.col(doc_id).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(doc_id))
+    return docs.select(
+        F.pmod(key, F.lit(buckets)).cast("int").alias("__b"), F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("__text")
+    ).repartition(max(buckets, parts(spark)), "__b")
+
+
+def parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+REQUEST = "__b int, __r int, __v binary"
+REQUEST_ARROW = pa.schema([("__b", pa.int32()), ("__r", pa.int32()), ("__v", pa.binary())])
+
+
+def reducer_of(keys, reducers: int):
+    """Reducer of each 64-bit hash; monotone, so that sorted keys are sorted by reducer."""
+    import numpy as np
+
+    return ((keys >> np.uint64(32)) * np.uint64(reducers) >> np.uint64(32)).astype(np.int64)
+
+
+def requests(bucket: int, reducers: int, keys, *more) -> pa.Table:
+    """One packed row for each reducer that any of the sorted ``keys`` belongs to."""
+    import numpy as np
+
+    from geosweep.llm.blocks import pack
+
+    cut = np.searchsorted(reducer_of(keys, reducers), np.arange(reducers + 1))
+    some = np.flatnonzero(cut[1:] > cut[:-1])
+    values = [pack(keys[cut[r] : cut[r + 1]], *(m[cut[r] : cut[r + 1]] for m in more)) for r in some]
+    return pa.table(
+        [pa.array(np.full(len(some), bucket, np.int32)), pa.array(some.astype(np.int32)), pa.array(values, pa.binary())], schema=REQUEST_ARROW
+    )
+
+
+def answers(asked: pa.Table, values: list[bytes]) -> pa.Table:
+    """One reply row for each request row."""
+    return pa.table([asked.column("__b"), asked.column("__r"), pa.array(values, pa.binary())], schema=REQUEST_ARROW)
+
+
+def by_reducer(asked: DataFrame, reduce: Callable[[pa.Table], pa.Table], reducers: int) -> DataFrame:
+    n = max(reducers, parts(asked.sparkSession))
+    return asked.repartition(n, "__r").groupBy("__r").applyInArrow(reduce, REQUEST)
+
+
+def with_answers(docs_dealt: DataFrame, replies: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema, buckets: int) -> DataFrame:
+    """``fn`` on each bucket's documents and the replies to it (None in a bucket without)."""
+    n = max(buckets, parts(docs_dealt.sparkSession))
+    return docs_dealt.groupBy("__b").cogroup(replies.repartition(n, "__b").groupBy("__b")).applyInArrow(fn, schema)
+
+
+def in_order(replies: pa.Table) -> list[bytes]:
+    return [replies.column("__v")[int(i)].as_py() for i in pa.compute.sort_indices(replies, [("__r", "ascending")])]

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geosweep.llm import line_dedup, quality_rules, warc
+from geosweep.llm import line_dedup, quality_rules, substring_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": substring_dedup.query,
         "op6_line_dedup": line_dedup.query,
         "op7_quality_rules": quality_rules.query,
         "op10_warc": warc.query,
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_substring_dedup": substring_dedup.ORACLE,
         "op6_line_dedup": line_dedup.ORACLE,
         "op7_quality_rules": quality_rules.ORACLE,
         "op10_warc": warc.ORACLE,
