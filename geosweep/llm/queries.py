@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geosweep.llm import line_dedup, quality_rules, substring_dedup, warc
+from geosweep.llm import decontaminate, line_dedup, quality_rules, sentencepiece_nbest, substring_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": substring_dedup.query,
+        "op3_sentencepiece": sentencepiece_nbest.query,
         "op6_line_dedup": line_dedup.query,
         "op7_quality_rules": quality_rules.query,
+        "op9_decontaminate": decontaminate.query,
         "op10_warc": warc.query,
     }
 
