@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geosweep.llm import decontaminate, line_dedup, quality_rules, sentencepiece_nbest, substring_dedup, warc
+from geosweep.llm import decontaminate, line_dedup, quality_rules, sentencepiece_nbest, substring_dedup, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": substring_dedup.query,
+        "op2_url_filters": url_filters.query,
         "op3_sentencepiece": sentencepiece_nbest.query,
         "op6_line_dedup": line_dedup.query,
         "op7_quality_rules": quality_rules.query,
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": substring_dedup.ORACLE,
+        "op2_url_filters": url_filters.ORACLE,
         "op6_line_dedup": line_dedup.ORACLE,
         "op7_quality_rules": quality_rules.ORACLE,
         "op10_warc": warc.ORACLE,
