@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geosweep.llm import decontaminate, line_dedup, lm_scoring, quality_rules, sentencepiece_nbest, substring_dedup, url_filters, warc
+from geosweep.llm import decontaminate, line_dedup, lm_scoring, quality_classifier, quality_rules, sentencepiece_nbest, substring_dedup, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_url_filters": url_filters.query,
         "op3_sentencepiece": sentencepiece_nbest.query,
         "op4_lm_scoring": lm_scoring.query,
+        "op5_quality_classifier": quality_classifier.query,
         "op6_line_dedup": line_dedup.query,
         "op7_quality_rules": quality_rules.query,
         "op9_decontaminate": decontaminate.query,
