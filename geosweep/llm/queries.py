@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from geosweep.llm import decontaminate, line_dedup, lm_scoring, quality_classifier, quality_rules, sentencepiece_nbest, substring_dedup, url_filters, warc
+from geosweep.llm import decontaminate, jaccard_join, line_dedup, lm_scoring, quality_classifier, quality_rules, sentencepiece_nbest, substring_dedup, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,8 +19,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_classifier": quality_classifier.query,
         "op6_line_dedup": line_dedup.query,
         "op7_quality_rules": quality_rules.query,
+        "op8_jaccard_join": jaccard_join.query,
         "op9_decontaminate": decontaminate.query,
         "op10_warc": warc.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
