@@ -202,7 +202,7 @@ def anomalies(spark, sf):
     o = readers.table(spark, sf, "orders")
     k = F.col("o_orderkey")
     e = o.select(
-        F.col("o_custkey").alias("norad_id"), F.timestamp_micros(F.unix_micros("o_orderdate") + k).alias("epoch"), (50 + (k % 7) * 0.03).alias("inclination"),
+        F.col("o_custkey").alias("norad_id"), F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + k).alias("epoch"), (50 + (k % 7) * 0.03).alias("inclination"),
         (k % 360).cast("double").alias("raan"), (0.001 * (1 + k % 9)).alias("eccentricity"), (15 + (k % 11) * 0.004).alias("mean_motion"),
     )
     a = terrain.orbit_anomalies(e)

@@ -14,6 +14,7 @@ from geosweep.functions import geo
 
 def windowed_counts(events: DataFrame, at: str, keys: list[str], length: str, slide: str | None = None, late: str = "30 days") -> DataFrame:
     """Counts per tumbling or sliding window; events later than ``late`` are let go."""
+    events = events.withColumn(at, F.col(at).cast("timestamp"))  # watermarks need a zoned type
     window = F.window(at, length, slide) if slide else F.window(at, length)
     return events.withWatermark(at, late).groupBy(window.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
 
