@@ -87,26 +87,34 @@ def n_buckets(docs: DataFrame, text: str = "text", size: int = 6 << 20) -> int:
 HEAVY_SHARE = 1000
 
 
-def heavy_keys(rows: DataFrame, key: list[str], share: int = HEAVY_SHARE) -> DataFrame:
-    """Keys that hold more than 1/share of all rows, at most ``share`` of them by the pigeonhole."""
+def heavy_keys(rows: DataFrame, key: list[str], share: int = HEAVY_SHARE) -> list:
+    """Keys that hold more than 1/share of all rows: fewer than ``share`` of them by the pigeonhole.
+
+    That bound, and not the data, limits what comes to the driver.
+    """
+    total = rows.count()
     counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
-    total = rows.agg(F.count(F.lit(1)).alias("__all"))
-    return counts.crossJoin(F.broadcast(total)).where(F.col("__n") * share > F.col("__all")).select(*key)
+    return counts.where(F.col("__n") * share > total).select(*key).collect()
 
 
-def split_join(rows: DataFrame, unique: DataFrame, key: list[str], how: str = "inner", share: int = HEAVY_SHARE) -> DataFrame:
+def split_join(
+    rows: DataFrame, unique: DataFrame, key: list[str], how: str = "inner", share: int = HEAVY_SHARE, heavy: list | None = None
+) -> DataFrame:
     """Equi-join of many ``rows`` with a side that has one row a key, safe against hot keys.
 
     Keys with more than 1/share of the rows (fewer than ``share`` keys, whatever the data)
     are joined by broadcasting just their rows of ``unique``; the others by a shuffle in
-    which no key holds more than 1/share of the rows.
+    which no key holds more than 1/share of the rows.  ``rows`` is read twice to find
+    them, so an expensive one should be written before; ``heavy`` gives keys known already.
     """
-    heavy = heavy_keys(rows, key, share)
-    few = F.broadcast(unique.join(F.broadcast(heavy), key, "left_semi"))
-    flags = F.broadcast(heavy.withColumn("__heavy", F.lit(True)))
-    marked = rows.join(flags, key, "left")
-    hot = marked.where("__heavy").drop("__heavy").join(few, key, how)
-    cold = marked.where("__heavy IS NULL").drop("__heavy").join(unique, key, how)
+    heavy = heavy_keys(rows, key, share) if heavy is None else heavy
+    if not heavy:
+        return rows.join(unique, key, how)
+    schema = T.StructType([rows.schema[k] for k in key])
+    listed = F.broadcast(rows.sparkSession.createDataFrame(heavy, schema).coalesce(1))
+    few = F.broadcast(unique.join(listed, key, "left_semi"))
+    hot = rows.join(listed, key, "left_semi").join(few, key, how)
+    cold = rows.join(listed, key, "left_anti").join(unique, key, how)
     return hot.unionByName(cold)
 
 

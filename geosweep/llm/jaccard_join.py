@@ -45,6 +45,7 @@ from geosweep.llm.frames import (
     answers,
     by_reducer,
     dealt,
+    heavy_keys,
     in_order,
     map_blocks,
     n_buckets,
@@ -274,8 +275,9 @@ def _verify(rule: Rule):
 
 def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (u, v) with their check; at most 50 sets, those of hubs with 2 % of all pairs, are broadcast."""
-    left = split_join(pairs, sets.select(F.col("doc").alias("u"), F.col("items").alias("a")), ["u"], share=50)
-    both = split_join(left, sets.select(F.col("doc").alias("v"), F.col("items").alias("b")), ["v"], share=50)
+    by_u, by_v = (heavy_keys(pairs, [c], 50) for c in "uv")
+    left = split_join(pairs, sets.select(F.col("doc").alias("u"), F.col("items").alias("a")), ["u"], heavy=by_u)
+    both = split_join(left, sets.select(F.col("doc").alias("v"), F.col("items").alias("b")), ["v"], heavy=by_v)
     return both.select("u", "v", "a", "b").mapInArrow(_verify(rule), VERIFIED)
 
 
@@ -283,9 +285,12 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes of an edge list (u, v): least label of neighbours, then of labels' labels."""
     edges = written(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     label = written(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")))
+    ends = edges.withColumnRenamed("v", "node")
+    heavy = heavy_keys(ends, ["node"])
     while True:
-        near = split_join(edges.withColumnRenamed("v", "node"), label.select("node", "component"), ["node"]).groupBy(F.col("u").alias("node")).agg(F.min("component").alias("c"))
+        near = split_join(ends, label.select("node", "component"), ["node"], heavy=heavy).groupBy(F.col("u").alias("node")).agg(F.min("component").alias("c"))
         low = label.join(near, "node", "left").select("node", F.least("component", F.coalesce("c", "component")).alias("c"), F.col("component").alias("old"))
+        low = written(low)
         jump = split_join(low, label.select(F.col("node").alias("c"), F.col("component").alias("d")), ["c"], "left")
         new = written(jump.select("node", F.least("c", F.coalesce("d", "c")).alias("component"), "old"))
         changed = new.where("component <> old").limit(1).count()
@@ -324,11 +329,12 @@ def jaccard_join(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", t
     reps = classes.where("rep IS NOT NULL").select(F.pmod(F.xxhash64("rep"), F.lit(buckets)).cast("int").alias("__b"), "rep")
     asked = with_answers(own, reps, _ask(rule, schemes, buckets), REQUEST, buckets)
     found = written(with_answers(own, by_reducer(asked, company, buckets), _members(rule, schemes), MEMBERS, buckets))
-    members = found.where("sig IS NOT NULL").select("sig", "doc", "score").distinct()
+    members = written(found.where("sig IS NOT NULL").select("sig", "doc", "score").distinct())
     sets = found.where("sig IS NULL").groupBy("doc").agg(F.first("items").alias("items"))
 
     hubs = members.groupBy("sig").agg(F.max(F.struct("score", "doc")).alias("h")).select("sig", F.col("h.doc").alias("u"))
     pairs = split_join(members.select("sig", F.col("doc").alias("v")), hubs, ["sig"]).where("u <> v").select("u", "v").distinct()
+    pairs = written(pairs)
     stars = written(verify(pairs, sets, rule))
 
     # pairs with a common hub of which one at least does not link to it
@@ -341,7 +347,7 @@ def jaccard_join(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", t
         .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         .distinct()
     )
-    more = verify(near, sets, rule)
+    more = verify(written(near), sets, rule)
     edges = stars.where("linked").select("u", "v").unionByName(more.where("linked").select("u", "v"))
     label = components(edges)
     by_class = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(*key, "rep", F.coalesce("component", "rep").alias("c"))
