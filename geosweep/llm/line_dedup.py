@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geosweep.llm.blocks import Block, blocks, span_hashes
-from geosweep.llm.frames import split_join, table
+from geosweep.llm.frames import split_join, table, written
 
 KEYS = ["__k1", "__k2"]
 
@@ -95,7 +95,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, doc_id:
     key_schema = T.StructType(
         [T.StructField("__id", id_type), T.StructField("__alt", T.LongType()), *(T.StructField(k, T.LongType()) for k in KEYS)]
     )
-    lines = source.select("__text", "__id", "__alt").mapInArrow(_explode(min_chars, to_arrow_schema(key_schema)), key_schema)
+    lines = written(source.select("__text", "__id", "__alt").mapInArrow(_explode(min_chars, to_arrow_schema(key_schema)), key_schema))
     hot = (
         lines.groupBy(*KEYS)
         .agg(F.count_distinct("__id").alias("__n"), F.max("__id").alias("__last"))
