@@ -177,7 +177,7 @@ def _ask_windows(window: int, reducers: int):
         at, digest = at[head], digest[head]
         doc = b.block.word_doc[at]
         out = requests(number, reducers, np.ascontiguousarray(digest["hi"]), np.ascontiguousarray(digest["lo"]), b.order[doc], at.astype(np.uint32))
-        own = pa.table([pa.array([number], pa.int32()), pa.array([-1], pa.int32()), pa.array([pack(local)])], schema=REQUEST_ARROW)
+        own = pa.table([pa.array([number], pa.int32()), pa.array([-1 - number], pa.int32()), pa.array([pack(local)])], schema=REQUEST_ARROW)
         return pa.concat_tables([out, own])
 
     return fn
@@ -185,7 +185,7 @@ def _ask_windows(window: int, reducers: int):
 
 def later_windows(asked: pa.Table) -> pa.Table:
     """Reply to each request: places of its windows that also start earlier elsewhere."""
-    if asked.column("__r")[0].as_py() < 0:
+    if asked.column("__r")[0].as_py() < 0:  # what a bucket knows by itself goes back to it
         return asked.select(REQUEST_ARROW.names)
     parts_ = [unpack(v) for v in asked.column("__v").to_pylist()]
     hi, lo, doc, at = (np.concatenate([p[i] for p in parts_]) for i in range(4))
@@ -225,8 +225,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", t
     own = dealt(docs, buckets, doc_id, text)
     names = by_reducer(own.groupBy("__b").applyInArrow(_ask_names(window, buckets), REQUEST), repeated_names, buckets)
     asked = with_answers(own, names, _ask_windows(window, buckets), REQUEST, buckets)
-    # places that a bucket already knows to be later need no reducer
-    places = by_reducer(asked.where("__r >= 0"), later_windows, buckets).unionByName(asked.where("__r < 0"))
+    places = by_reducer(asked, later_windows, buckets)
     return with_answers(own, places, _remove(window), RESULT, buckets).withColumnRenamed("__id", doc_id)
 
 
