@@ -246,29 +246,31 @@ def _members(rule: Rule, schemes: dict[int, Scheme]):
     return fn
 
 
-VERIFIED = "u long, v long, linked boolean, first array<long>"
+VERIFIED = "u long, v long, linked boolean, differ long, size long, first array<long>"
 
 
 def _verify(rule: Rule):
-    """Exact check of pairs, and the leading n-grams of v's difference from u."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("linked", pa.bool_()), ("first", pa.list_(pa.int64()))])
+    """Exact check of pairs, and v's difference from u: its size and leading n-grams, those that u lacks first."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("linked", pa.bool_()), ("differ", pa.int64()), ("size", pa.int64()), ("first", pa.list_(pa.int64()))])
 
     def run(batches):
         sets = lru_cache(maxsize=64)(lambda value: unpack(value)[0])
         for batch in batches:
-            linked, first = [], []
+            linked, first, differs, sizes = [], [], [], []
             for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
                 x, y = sets(x), sets(y)
                 more = np.setdiff1d(y, x, assume_unique=True)
                 shared = len(y) - len(more)
                 differ = len(x) + len(y) - 2 * shared
                 linked.append(bool(rule.den * shared >= rule.num * (len(x) + len(y) - shared)))
+                differs.append(differ)
+                sizes.append(len(y))
                 few = int(rule.reach(len(y))) + 1
                 if len(more) < few and differ > len(more):
                     more = np.concatenate([more, np.setdiff1d(x, y, assume_unique=True)])
                 first.append(more[:few].view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(f) for f in first])]), pa.int32()), pa.array(np.concatenate([*first, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_()), lists], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_()), pa.array(differs, pa.int64()), pa.array(sizes, pa.int64()), lists], schema=schema)
 
     return run
 
@@ -338,13 +340,18 @@ def jaccard_join(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", t
     stars = written(verify(pairs, sets, rule))
 
     # pairs with a common hub of which one at least does not link to it
-    deviations = stars.select(F.col("u").alias("hub"), "v", "linked", F.explode("first").alias("item"))
-    loose = deviations.where("NOT linked").select("hub", "item", F.col("v").alias("u"))
+    deviations = stars.select(F.col("u").alias("hub"), "v", "linked", "differ", "size", F.posexplode("first").alias("pos", "item"))
+    loose = deviations.where("NOT linked").select("hub", "item", *(F.col(c).alias(f"u_{c}") for c in ("v", "differ", "size", "pos")))
+    # two differences of a linking pair share at least half of what they hold beyond the
+    # allowance: their first common n-gram leaves room for that many behind it on both sides
+    allowed = F.floor((rule.den - rule.num) * (F.col("size") + F.col("u_size")) / (rule.den + rule.num))
+    shared = F.col("differ") + F.col("u_differ") - allowed
+    room = (2 * F.col("pos") + shared <= 2 * F.col("differ")) & (2 * F.col("u_pos") + shared <= 2 * F.col("u_differ"))
+    same = [F.col(f"d.{c}") == F.col(f"l.{c}") for c in ("hub", "item")]
     near = (
-        deviations.select("hub", "item", "v")
-        .join(loose, ["hub", "item"])
-        .where("u <> v")
-        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        deviations.alias("d")
+        .join(loose.alias("l"), same[0] & same[1] & (F.col("v") != F.col("u_v")) & (F.abs(F.col("size") - F.col("u_size")) <= allowed) & room)
+        .select(F.least("u_v", "v").alias("u"), F.greatest("u_v", "v").alias("v"))
         .distinct()
     )
     more = verify(written(near), sets, rule)
