@@ -151,13 +151,19 @@ def shortest_paths(edges: DataFrame, start, goal, max_depth: int = 8, limit: int
     return found.orderBy("path").limit(limit)
 
 
-def common_neighbours(edges: DataFrame) -> DataFrame:
-    """Heuristic link suggestion: shared neighbours and Adamic-Adar weight of pairs that are not linked."""
+def common_neighbours(edges: DataFrame, block: int = 1000) -> DataFrame:
+    """Heuristic link suggestion: shared neighbours and Adamic-Adar weight of pairs that are not linked.
+
+    A node with more than ``block`` neighbours is dealt to parts: each neighbour lies in one part on the
+    right and in all on the left, so that a pair meets once and no task holds all pairs of a hot node.
+    """
     links = both_ways(edges).distinct()
+    parts = F.ceil(F.col("deg") / block).cast("int")
     deg = links.groupBy(F.col("src").alias("via")).agg(F.count(F.lit(1)).alias("deg"))
-    left = links.select(F.col("src").alias("a"), F.col("dst").alias("via"))
-    right = links.select(F.col("src").alias("b"), F.col("dst").alias("via"))
-    pairs = left.join(right, "via").where("a < b").join(deg, "via").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.sum(1 / F.log(F.col("deg").cast("double"))).alias("weight"))
+    ends = lambda name: links.select(F.col("src").alias(name), F.col("dst").alias("via")).join(deg, "via")
+    left = ends("a").select("a", "via", "deg", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    right = ends("b").select("b", "via", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    pairs = left.join(right, ["via", "part"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.sum(1 / F.log(F.col("deg").cast("double"))).alias("weight"))
     return pairs.join(links.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti")
 
 

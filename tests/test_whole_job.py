@@ -1,0 +1,45 @@
+"""Queries and operators do the whole job: against brute force, where a cut would show."""
+
+import itertools
+import math
+import os
+from collections import defaultdict
+
+import pytest
+
+import __spark_entry__ as entry
+from geosweep.operators import graph
+
+SF = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
+
+
+def brute_suggestions(links):
+    near = defaultdict(set)
+    for a, b in links:
+        near[a].add(b)
+        near[b].add(a)
+    out = {}
+    for via in near:
+        for a, b in itertools.combinations(sorted(near[via]), 2):
+            if b not in near[a]:
+                n, w = out.get((a, b), (0, 0.0))
+                out[a, b] = (n + 1, w + 1 / math.log(len(near[via])))
+    return out
+
+
+@needs_tables
+def test_link_suggestions_use_all_of_lineitem(spark):
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct().collect()
+    want = {k: v for k, v in brute_suggestions((r[0], r[1] + 10_000_000) for r in rows).items() if k[0] < 10_000_000}
+    got = {(r["a"], r["b"]): (r["shared"], r["weight"]) for r in entry.queries()["graph_link_suggestions"](spark, SF).collect()}
+    assert got.keys() == want.keys() and len(got) > 0
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-5) for k in want)
+
+
+def test_link_suggestions_of_a_hot_node(spark):
+    links = [(0, k) for k in range(1, 40)] + [(50, k) for k in range(1, 4)] + [(1, 2)]
+    want = brute_suggestions(links)
+    got = {(r["a"], r["b"]): (r["shared"], r["weight"]) for r in graph.common_neighbours(spark.createDataFrame(links, "src long, dst long"), block=4).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
