@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 
 import __spark_entry__ as entry
-from geosweep.operators import graph
+from geosweep.operators import detections, graph
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
@@ -43,3 +43,24 @@ def test_link_suggestions_of_a_hot_node(spark):
     got = {(r["a"], r["b"]): (r["shared"], r["weight"]) for r in graph.common_neighbours(spark.createDataFrame(links, "src long, dst long"), block=4).collect()}
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_clip_tracks_follow_appearance(spark):
+    # two objects that jump farther than their size between frames and change places; a missing embedding is neutral
+    rows = [(7, f * 10 + k, f, "a", "p", 200.0 * ((f + k) % 2), 50.0 * f, 200.0 * ((f + k) % 2) + 20, 50.0 * f + 20, [3.0, 0.0] if k else [0.0, 2.0]) for f in range(4) for k in range(2)]
+    schema = "clip_id int, det_id long, frame int, cls string, parent string, x1 double, y1 double, x2 double, y2 double, embedding array<double>"
+    got = detections.clip_tracks(spark.createDataFrame(rows, schema)).collect()
+    assert {(r["det_id"] % 10, r["track"]) for r in got} == {(0, 1), (1, 2)}
+    bare = detections.clip_tracks(spark.createDataFrame([(*r[:-1], None) for r in rows], schema)).collect()
+    assert len({r["track"] for r in bare}) == 8
+
+
+def test_clip_tracks_weigh_appearance_and_parent(spark):
+    schema = "clip_id int, det_id long, frame int, cls string, parent string, x1 double, y1 double, x2 double, y2 double, embedding array<double>"
+    box = (0.0, 0.0, 20.0, 20.0)
+    look = [(1, 1, 0, "a", "p", *box, [1.0, 0.0]), (1, 2, 1, "a", "p", *box, [0.0, 1.0]), (1, 3, 1, "a", "p", 0.0, 0.0, 20.0, 15.0, [1.0, 0.0])]
+    got = {r["det_id"]: r["track"] for r in detections.clip_tracks(spark.createDataFrame(look, schema)).collect()}
+    assert got[1] == got[3] != got[2]
+    kin = [(1, 1, 0, "a", "p", *box, None), (1, 2, 1, "b", "q", *box, None), (1, 3, 1, "c", "p", 0.0, 0.0, 20.0, 18.5, None)]
+    got = {r["det_id"]: r["track"] for r in detections.clip_tracks(spark.createDataFrame(kin, schema)).collect()}
+    assert got[1] == got[3] != got[2]
