@@ -70,22 +70,27 @@ def grid(spark, sf):
 
 @plan("track_assignment")
 def assignment(spark, sf):
-    pts = track_points(spark, sf).withColumn("region", F.floor(F.col("lon") * 2)).withColumn("day", F.to_date("observed_at"))
-    last = pts.where("day = '2024-01-10'").groupBy("region", "track_id").agg(F.max(F.struct("observed_at", "lon", "lat")).alias("m"))
-    tracks = last.select("region", "track_id", F.col("m.lon").alias("t_lon"), F.col("m.lat").alias("t_lat"), F.col("m.observed_at").alias("t_at"))
-    now = pts.where("day = '2024-01-11'").select("region", F.col("point_id").alias("det_id"), "lon", "lat", "observed_at")
-    dt = F.col("observed_at").cast("double") - F.col("t_at").cast("double")
-    pairs = now.join(tracks, "region").withColumn("gate", tracking.gate(F.lit("ground"), F.lit(5.0), F.lit(0.0), dt)).withColumn("dist", geo.haversine("lon", "lat", "t_lon", "t_lat"))
+    """Tracks of each day to the detections of the next, for every pair of successive days.
+
+    A day's gate is wider than the area of the points, so a pair of days is one set of candidates.
+    """
+    pts = track_points(spark, sf).withColumn("day", F.unix_date(F.to_date("observed_at")))
+    last = pts.groupBy("day", "track_id").agg(F.max(F.struct("observed_at", "lon", "lat")).alias("m"))
+    tracks = last.select((F.col("day") + 1).alias("day"), "track_id", F.col("m.lon").alias("t_lon"), F.col("m.lat").alias("t_lat"), F.col("m.observed_at").alias("t_at"))
+    now = pts.select("day", F.col("point_id").alias("det_id"), "lon", "lat", "observed_at")
+    dt = F.col("observed_at").cast("timestamp").cast("double") - F.col("t_at").cast("timestamp").cast("double")
+    pairs = now.join(tracks, "day").withColumn("gate", tracking.gate(F.lit("ground"), F.lit(5.0), F.lit(0.0), dt)).withColumn("dist", geo.haversine("lon", "lat", "t_lon", "t_lat"))
     true = F.lit(True)
     gated = pairs.where("dist <= gate").withColumn("cost", tracking.cost("dist", "gate", true, true, F.lit(0.8)))
-    return tracking.assign_pairs(gated.select("region", "track_id", "det_id", "cost"), "region")
+    return tracking.assign_pairs(gated.select("day", "track_id", "det_id", "cost"), "day").withColumn("day", F.date_from_unix_date("day"))
 
 
 @plan("track_replay")
 def replay(spark, sf):
+    # a gate of a day spans thousands of kilometres, the detections about a hundred: one region
     det = detections(spark, sf)
     rows = det.select(
-        F.floor(F.col("lat") * 20).alias("region"), F.col("id").alias("det_id"), F.unix_timestamp(F.date_trunc("DAY", "created_at")).alias("pass_at"), F.col("class").alias("cls"), F.lit("ground").alias("category"), "lon", "lat", "confidence"
+        F.lit(0).alias("region"), F.col("id").alias("det_id"), F.unix_timestamp(F.date_trunc("DAY", "created_at")).alias("pass_at"), F.col("class").alias("cls"), F.lit("ground").alias("category"), "lon", "lat", "confidence"
     )
     return tracking.replay(rows, "region")
 

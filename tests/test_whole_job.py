@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 
 import __spark_entry__ as entry
-from geosweep.operators import detections, graph
+from geosweep.operators import detections, graph, tracking
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
@@ -64,3 +64,29 @@ def test_clip_tracks_weigh_appearance_and_parent(spark):
     kin = [(1, 1, 0, "a", "p", *box, None), (1, 2, 1, "b", "q", *box, None), (1, 3, 1, "c", "p", 0.0, 0.0, 20.0, 18.5, None)]
     got = {r["det_id"]: r["track"] for r in detections.clip_tracks(spark.createDataFrame(kin, schema)).collect()}
     assert got[1] == got[3] != got[2]
+
+
+@needs_tables
+def test_track_replay_crosses_bands(spark):
+    got = entry.queries()["track_replay"](spark, SF).select("det_id", "lat", "track_id").collect()
+    assert len(got) == spark.read.parquet(f"{SF}/events.parquet").count()
+    bands = defaultdict(set)
+    for r in got:
+        bands[r["track_id"]].add(math.floor(r["lat"] * 20))
+    assert any(len(v) > 1 for k, v in bands.items() if k is not None)
+
+
+def test_replay_ages_tracks_that_outnumber_detections(spark):
+    # of three tracks only one is seen in passes 1 to 3; the others are lost by then and come back as new
+    rows = [(0, k, 0, "car", "ground", 54.0 + k, 24.0, 0.9) for k in range(3)] + [(0, 10 * p, 60 * p, "car", "ground", 54.0, 24.0, 0.9) for p in (1, 2, 3)]
+    rows += [(0, 40 + k, 240, "car", "ground", 54.0 + k, 24.0, 0.9) for k in range(3)]
+    got = {r["det_id"]: r["track_id"] for r in tracking.replay(spark.createDataFrame(rows, "region int, det_id long, pass_at long, cls string, category string, lon double, lat double, confidence double"), "region").collect()}
+    assert got[40] == got[0] == got[30] and got[41] != got[1] and got[42] != got[2]
+
+
+@needs_tables
+def test_track_assignment_takes_every_pair_of_days(spark):
+    days = {r[0] for r in spark.read.parquet(f"{SF}/events.parquet").selectExpr("to_date(ts)").distinct().collect()}
+    got = entry.queries()["track_assignment"](spark, SF).collect()
+    assert {r["day"] for r in got} == {d for d in days if any((d - e).days == 1 for e in days)}
+    assert len({(r["day"], r["track_id"]) for r in got}) == len({(r["day"], r["det_id"]) for r in got}) == len(got)
