@@ -159,9 +159,9 @@ def sight(spark, sf):
 
 @plan("viewshed")
 def viewshed(spark, sf):
-    s = _sampler(spark)(sites(spark, sf).where("kind = 'base'").select("site_id", (F.col("lon") + 0.0002).alias("lon"), (F.col("lat") + 0.0002).alias("lat"))).where("elevation IS NOT NULL")
+    s = _sampler(spark)(sites(spark, sf).select("site_id", (F.col("lon") + 0.0002).alias("lon"), (F.col("lat") + 0.0002).alias("lat"))).where("elevation IS NOT NULL")
     obs = s.select(F.col("site_id").alias("obs_id"), F.col("lon").alias("obs_lon"), F.col("lat").alias("obs_lat"), F.col("elevation").alias("obs_elev"))
-    return terrain.viewshed(obs, _sampler(spark), 3000.0, step_m=300.0, azimuth_step=10.0)
+    return terrain.viewshed(obs, _sampler(spark), 3000.0, step_m=60.0, azimuth_step=2.0)
 
 
 @plan("isochrone")

@@ -90,3 +90,12 @@ def test_track_assignment_takes_every_pair_of_days(spark):
     got = entry.queries()["track_assignment"](spark, SF).collect()
     assert {r["day"] for r in got} == {d for d in days if any((d - e).days == 1 for e in days)}
     assert len({(r["day"], r["track_id"]) for r in got}) == len({(r["day"], r["det_id"]) for r in got}) == len(got)
+
+
+@needs_tables
+def test_viewshed_of_every_site(spark):
+    got = entry.queries()["viewshed"](spark, SF).select("obs_id", "ray", "visible").collect()
+    sites = {r[0] for r in spark.read.parquet(f"{SF}/supplier.parquet").select("s_suppkey").collect()}
+    assert {(r["obs_id"], r["ray"]) for r in got} == set(itertools.product(sites, range(180))) and len(got) == 180 * len(sites)
+    # the first sample of a ray is always visible, and more than ten are only with steps under 300 m
+    assert min(r["visible"] for r in got) >= 0 and max(r["visible"] for r in got) > 10
