@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,7 +57,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return label
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float | None = 1e-6) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
     """Undirected PageRank with uniform teleport; the mass of nodes without edges is spread evenly."""
     ensure_checkpoints(nodes.sparkSession)
     links = both_ways(simple(nodes, edges))
@@ -79,47 +78,47 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
 def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Brandes' betweenness, normalised by (n - 1)(n - 2) / 2: sources are dealt to tasks, each with the adjacency.
 
-    The adjacency is broadcast and therefore meant for bounded snapshots (``limit`` nodes).
+    Each source is one breadth-first search by levels on arrays.  The adjacency is broadcast and
+    therefore meant for bounded snapshots (``limit`` nodes).
     """
     limit = 50_000
-    ids = [r["id"] for r in nodes.select("id").distinct().limit(limit + 1).collect()]
+    ids = nodes.select("id").distinct().limit(limit + 1).toPandas()["id"].sort_values(ignore_index=True)
     if len(ids) > limit:
         raise ValueError(f"betweenness takes snapshots of at most {limit} nodes")
-    adjacency: dict = {i: [] for i in ids}
-    for r in simple(nodes, edges).collect():
-        adjacency[r["src"]].append(r["dst"])
-        adjacency[r["dst"]].append(r["src"])
-    shared = nodes.sparkSession.sparkContext.broadcast(adjacency)
+    n, index = len(ids), pd.Index(ids)
+    pairs = simple(nodes, edges).toPandas()
+    src, dst = index.get_indexer(pairs["src"]).astype(np.int32), index.get_indexer(pairs["dst"]).astype(np.int32)
+    tails, heads = np.concatenate([src, dst]), np.concatenate([dst, src])
+    order = np.argsort(tails, kind="stable")
+    shared = nodes.sparkSession.sparkContext.broadcast((ids.to_numpy(), np.searchsorted(tails[order], np.arange(n + 1)), heads[order]))
 
     def run(batches):
-        graph = shared.value
-        total = dict.fromkeys(graph, 0.0)
+        names, start, to = shared.value
+        where, degree, total = pd.Index(names), np.diff(start), np.zeros(len(names))
         for batch in batches:
-            for s in batch["id"]:
-                order, before, paths, depth, queue = [], {v: [] for v in graph}, dict.fromkeys(graph, 0), {s: 0}, deque([s])
-                paths[s] = 1
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in graph[v]:
-                        if w not in depth:
-                            depth[w] = depth[v] + 1
-                            queue.append(w)
-                        if depth[w] == depth[v] + 1:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                share = dict.fromkeys(graph, 0.0)
-                for w in reversed(order):
-                    for v in before[w]:
-                        share[v] += paths[v] / paths[w] * (1 + share[w])
-                    if w != s:
-                        total[w] += share[w]
-        yield pd.DataFrame({"id": list(total), "b": list(total.values())})
+            for s in where.get_indexer(batch["id"]):
+                seen, paths, levels, front = np.zeros(len(names), bool), np.zeros(len(names)), [], np.array([s])
+                seen[s], paths[s] = True, 1.0
+                while len(front):
+                    far = degree[front]
+                    v = np.repeat(front, far)
+                    w = to[np.arange(len(v)) + np.repeat(start[front] - (np.cumsum(far) - far), far)]
+                    new = ~seen[w]
+                    v, w = v[new], w[new]
+                    reached = np.bincount(w, weights=paths[v], minlength=len(names))
+                    front = np.flatnonzero(reached)
+                    seen[front], paths[front] = True, reached[front]
+                    levels.append((v, w))
+                share = np.zeros(len(names))
+                for v, w in reversed(levels):
+                    share += np.bincount(v, weights=paths[v] / paths[w] * (1 + share[w]), minlength=len(names))
+                share[s] = 0.0
+                total += share
+        yield pd.DataFrame({"id": names, "b": total})
 
     kind = nodes.schema["id"].dataType.simpleString()
-    n = len(ids)
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    summed = nodes.select("id").distinct().repartition(8).mapInPandas(run, f"id {kind}, b double").groupBy("id").agg(F.sum("b").alias("b"))
+    summed = nodes.select("id").distinct().repartition(24).mapInPandas(run, f"id {kind}, b double").groupBy("id").agg(F.sum("b").alias("b"))
     return summed.select("id", (F.col("b") * scale).alias("betweenness"))
 
 
