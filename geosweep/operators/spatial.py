@@ -107,28 +107,78 @@ def _projected(points: DataFrame) -> DataFrame:
     return points.crossJoin(F.broadcast(mean)).select("id", "lon", "lat", x.alias("x"), y.alias("y"))
 
 
-def empty_region_graph(points: DataFrame, kind: str, max_edge_m: float) -> DataFrame:
+def _empty_regions(rows: pd.DataFrame, kind: str, reach: float, span: float) -> pd.DataFrame:
+    """Edges of one point (a, ax, ay) to the points within ``reach``, and a row of its own id if it has no longer ones.
+
+    A blocker of an edge lies nearer to the point than the other end, so all are at hand.  A point c
+    blocks every edge longer than ``reach`` within an angle of its direction; once these angles go
+    all around, the point is settled.
+    """
+    xy = rows[["bx", "by"]].to_numpy(float) - rows[["ax", "ay"]].to_numpy(float)
+    d2 = (xy**2).sum(axis=1)
+    order = np.argsort(d2, kind="stable")
+    rows, xy, d2 = rows.iloc[order], xy[order], d2[order]
+    left = np.arange(len(xy))
+    for at in range(0, len(xy), 64):  # the nearest block most
+        c, c2 = xy[at : at + 64], d2[at : at + 64]
+        far = ((xy[left][:, None] - c[None]) ** 2).sum(axis=2)
+        sides = c2 + far if kind == "gabriel" else np.maximum(c2, far)
+        # an end does not block its own edge: sides is d2 there
+        left = left[~(sides < d2[left][:, None] * (1 - 1e-9)).any(axis=1)]
+        if not len(left) or at + 64 > left[-1]:
+            break
+    out = [(i, b, False) for i, b in zip(rows["a"].iloc[left], rows["b"].iloc[left], strict=True)]
+    near = d2 > 0
+    length = np.sqrt(d2[near])
+    least = length / reach + span * 1e-9 / (2 * length)
+    turn, half = np.arctan2(xy[near, 1], xy[near, 0])[least < 1], np.arccos(least[least < 1]) - 1e-9
+    begin = np.sort(turn - half)
+    end = (turn + half)[np.argsort(turn - half)]
+    covered = len(begin) > 0 and bool((np.append(begin[1:], begin[0] + 2 * np.pi) <= np.maximum.accumulate(end)).all())
+    if covered:
+        out.append((rows["a"].iloc[0], rows["a"].iloc[0], True))
+    return pd.DataFrame(out, columns=["a", "b", "settled"])
+
+
+def empty_region_graph(points: DataFrame, kind: str, max_edge_m: float | None = None, start_m: float = 15_000.0) -> DataFrame:
     """Gabriel (empty circle over the edge) or relative neighbourhood (empty lune) graph.
 
-    Exact for edges up to ``max_edge_m``: candidates come from the cell join, blockers are
-    looked up among the cell neighbours of the edge, both bounded by the same length.
+    Exact for edges of any length, or up to ``max_edge_m``: points take the candidates within a radius,
+    and those that could still have longer edges go on with twice the radius.
     """
-    p = _projected(points)
-    a = p.select(F.col("id").alias("a"), "lon", "lat", F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = p.select(F.col("id").alias("b"), "lon", "lat", F.col("x").alias("bx"), F.col("y").alias("by"))
-    near = radius_join(a, b, 1.05 * max_edge_m, 1.05 * max_edge_m).where("a < b")
-    d2 = lambda x1, y1, x2, y2: F.pow(F.col(x1) - F.col(x2), 2) + F.pow(F.col(y1) - F.col(y2), 2)
-    edges = near.withColumn("d2", d2("ax", "ay", "bx", "by")).where(F.col("d2") <= max_edge_m**2).select("a", "b", "ax", "ay", "bx", "by", "d2", "lon", "lat", "distance_m")
-    c = p.select(F.col("id").alias("c"), "lon", "lat", F.col("x").alias("cx"), F.col("y").alias("cy"))
-    around = radius_join(edges.drop("distance_m"), c, 1.05 * max_edge_m, 1.05 * max_edge_m).where("c <> a AND c <> b")
-    if kind == "gabriel":
-        blocks = d2("ax", "ay", "cx", "cy") + d2("bx", "by", "cx", "cy") < F.col("d2") * (1 - 1e-9)
-    elif kind == "rng":
-        blocks = F.greatest(d2("ax", "ay", "cx", "cy"), d2("bx", "by", "cx", "cy")) < F.col("d2") * (1 - 1e-9)
-    else:
+    from geosweep.operators.graph import ensure_checkpoints
+
+    if kind not in ("gabriel", "rng"):
         raise ValueError(f"unknown graph {kind}")
-    blocked = around.where(blocks).select("a", "b").distinct()
-    return edges.join(blocked, ["a", "b"], "left_anti").select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), "distance_m")
+    ensure_checkpoints(points.sparkSession)
+    p = _projected(points).checkpoint()
+    low_x, high_x, low_y, high_y = p.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    span = float(np.hypot((high_x or 0) - (low_x or 0), (high_y or 0) - (low_y or 0))) * (1 + 1e-9) + 1.0
+    last = span if max_edge_m is None else min(span, max_edge_m)
+    a = p.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    b = p.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    id_type = points.schema["id"].dataType.simpleString()
+    todo, found, reach = a, None, min(start_m, last)
+    while True:
+        cell = lambda x, y: (F.floor(F.col(x) / reach), F.floor(F.col(y) / reach))  # noqa: B023, E731
+        ax, ay = cell("ax", "ay")
+        bx, by = cell("bx", "by")
+        around = F.explode(F.array(*(F.struct((bx + i).alias("cx"), (by + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+        others = b.select("*", around.alias("c")).select("b", "bx", "by", "c.cx", "c.cy")
+        near = todo.withColumn("cx", ax).withColumn("cy", ay).join(others, ["cx", "cy"]).where("a <> b")
+        near = near.where(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2) <= reach**2).select("a", "ax", "ay", "b", "bx", "by")
+        step = near.groupBy("a").applyInPandas(lambda rows: _empty_regions(rows, kind, reach, span), f"a {id_type}, b {id_type}, settled boolean").checkpoint()  # noqa: B023
+        edges = step.where("NOT settled").select(F.least("a", "b").alias("a_id"), F.greatest("a", "b").alias("b_id"))
+        found = edges if found is None else found.unionByName(edges)
+        if reach >= last:
+            break
+        todo = todo.join(step.where("settled").select("a"), "a", "left_anti").checkpoint()
+        if not todo.limit(1).count():
+            break
+        reach = min(2 * reach, last)
+    at = lambda end: p.select(F.col("id").alias(f"{end}_id"), F.col("lon").alias(f"{end}_lon"), F.col("lat").alias(f"{end}_lat"))
+    ends = found.distinct().join(at("a"), "a_id").join(at("b"), "b_id")
+    return ends.select("a_id", "b_id", geo.haversine("a_lon", "a_lat", "b_lon", "b_lat").alias("distance_m"))
 
 
 def smallest_containing(points: DataFrame, areas: DataFrame, point_id: str, value: str) -> DataFrame:

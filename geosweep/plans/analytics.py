@@ -97,18 +97,20 @@ e AS (SELECT a.id AS a, b.id AS b, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y,
 
 @plan("gabriel_graph", f"WITH {_XY} SELECT a AS a_id, b AS b_id FROM e WHERE NOT EXISTS (SELECT 1 FROM xy c WHERE c.id <> a AND c.id <> b AND pow(ax - c.x, 2) + pow(ay - c.y, 2) + pow(bx - c.x, 2) + pow(b_y - c.y, 2) < d2 * (1 - 1e-9))")
 def gabriel(spark, sf):
-    return spatial.empty_region_graph(_points(spark, sf), "gabriel", 15_000.0).select("a_id", "b_id")
+    # edges of any length; the SQL above holds those up to 15 km
+    return spatial.empty_region_graph(_points(spark, sf), "gabriel").select("a_id", "b_id")
 
 
 @plan("relative_neighbourhood_graph", f"WITH {_XY} SELECT a AS a_id, b AS b_id FROM e WHERE NOT EXISTS (SELECT 1 FROM xy c WHERE c.id <> a AND c.id <> b AND greatest(pow(ax - c.x, 2) + pow(ay - c.y, 2), pow(bx - c.x, 2) + pow(b_y - c.y, 2)) < d2 * (1 - 1e-9))")
 def rng(spark, sf):
-    return spatial.empty_region_graph(_points(spark, sf), "rng", 15_000.0).select("a_id", "b_id")
+    # edges of any length; the SQL above holds those up to 15 km
+    return spatial.empty_region_graph(_points(spark, sf), "rng").select("a_id", "b_id")
 
 
 @plan("minimum_spanning_tree")
 def mst(spark, sf):
     p = _points(spark, sf)
-    return spatial.minimum_spanning_tree(spatial.empty_region_graph(p, "rng", 30_000.0), p.select("id"))
+    return spatial.minimum_spanning_tree(spatial.empty_region_graph(p, "rng"), p.select("id"))
 
 
 @plan("delaunay_by_kind")

@@ -5,10 +5,11 @@ import math
 import os
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from geosweep.operators import detections, graph, tracking
+from geosweep.operators import detections, graph, spatial, tracking
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
@@ -144,3 +145,38 @@ def test_betweenness_of_the_supply_graph(spark):
     n = len(nodes)
     got = {r["id"]: r["betweenness"] for r in entry.queries()["graph_betweenness"](spark, SF).collect()}
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i] / ((n - 1) * (n - 2)), abs=1e-12) for i in nodes)
+
+
+def brute_regions(rows, kind):
+    k, lat0 = math.pi / 180 * 6371008.8, sum(r[2] for r in rows) / len(rows)
+    xy = np.array([(r[1] * k * math.cos(math.radians(lat0)), r[2] * k) for r in rows])
+    d2 = ((xy[:, None] - xy[None]) ** 2).sum(axis=2)
+    out = set()
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        sides = d2[i] + d2[j] if kind == "gabriel" else np.maximum(d2[i], d2[j])
+        if not (sides < d2[i, j] * (1 - 1e-9))[[x not in (i, j) for x in range(len(rows))]].any():
+            out.add(tuple(sorted((rows[i][0], rows[j][0]))))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["gabriel", "rng"])
+def test_empty_regions_have_no_cap(spark, kind):
+    # clusters up to 400 km apart, and a lone point
+    r = np.random.default_rng(3)
+    rows = [(c * 100 + k, 54.0 + c * 1.3 + float(x) * 0.3, 24.0 + (c % 2) * 1.1 + float(y) * 0.3) for c in range(3) for k, (x, y) in enumerate(r.random((60, 2)))] + [(999, 58.0, 22.0)]
+    got = [(x["a_id"], x["b_id"]) for x in spatial.empty_region_graph(spark.createDataFrame(rows, "id long, lon double, lat double"), kind).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_regions(rows, kind)
+
+
+@needs_tables
+def test_spanning_tree_is_whole(spark):
+    got = {(r["a_id"], r["b_id"]) for r in entry.queries()["minimum_spanning_tree"](spark, SF).collect()}
+    lone = {r[0] for r in spark.read.parquet(f"{SF}/supplier.parquet").select("s_suppkey").collect()}
+    assert len(got) == len(lone) - 1
+    parts = {i: {i} for i in lone}
+    for a, b in got:
+        joined = parts[a] | parts[b]
+        parts |= dict.fromkeys(joined, joined)
+    assert all(v == lone for v in parts.values())
+    for name in ("gabriel_graph", "relative_neighbourhood_graph"):
+        assert got <= {(r["a_id"], r["b_id"]) for r in entry.queries()[name](spark, SF).collect()}
