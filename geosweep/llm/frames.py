@@ -21,12 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests on one machine) a local one is chosen.
+    Only a session on one machine may do without that setting; elsewhere its absence is an error.
     """
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='geosweep-')}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='geosweep-')}"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -79,9 +83,31 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0)).alias("n")).first()["n"]
 
 
-def n_buckets(docs: DataFrame, text: str = "text", size: int = 6 << 20) -> int:
-    """How many document buckets of about ``size`` bytes of text to deal."""
-    return max(1, math.ceil(text_bytes(docs, text) / size))
+#: Bytes of text of a document bucket while there are up to so many buckets.
+BUCKET_BYTES, MANY = 6 << 20, 2000
+#: Partitions of a block exchange at most; a task then takes several buckets, one after the other.
+MOST_PARTITIONS = 8000
+
+
+def deal(size: int) -> int:
+    """How many document buckets to deal for so many bytes of text.
+
+    One per 6 MB up to 2,000 (12 GB); from there their number grows with the square root of the
+    input, as each sends a row to each reducer, and so does what one of them holds.
+    """
+    return spread(max(1, math.ceil(size / BUCKET_BYTES)))
+
+
+def spread(n: int) -> int:
+    return n if n <= MANY else math.ceil(math.sqrt(MANY * n))
+
+
+def n_buckets(docs: DataFrame, text: str = "text") -> int:
+    return deal(text_bytes(docs, text))
+
+
+def partitions(spark: SparkSession, buckets: int) -> int:
+    return max(min(buckets, MOST_PARTITIONS), parts(spark))
 
 
 HEAVY_SHARE = 1000
@@ -118,16 +144,20 @@ def split_join(
     return hot.unionByName(cold)
 
 
+def deal_key(doc_id: str, text: str):
+    """Hash that decides a document's bucket: of its id, or of its text where it has none."""
+    return F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text).cast("string"))).otherwise(F.xxhash64(F.col(doc_id).cast("long")))
+
+
 def dealt(docs: DataFrame, buckets: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(__b, __id, __text): documents dealt to buckets by a hash of their id (of their text, without one).
 
     A plan may read this several times; Spark then shuffles the texts once and reuses that exchange.
     """
     spark = docs.sparkSession
-    key = F.when(F.col(doc_id).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(doc_id))
     return docs.select(
-        F.pmod(key, F.lit(buckets)).cast("int").alias("__b"), F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("__text")
-    ).repartition(max(buckets, parts(spark)), "__b")
+        F.pmod(deal_key(doc_id, text), F.lit(buckets)).cast("int").alias("__b"), F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("__text")
+    ).repartition(partitions(spark, buckets), "__b")
 
 
 def parts(spark: SparkSession) -> int:
@@ -165,13 +195,13 @@ def answers(asked: pa.Table, values: list[bytes]) -> pa.Table:
 
 
 def by_reducer(asked: DataFrame, reduce: Callable[[pa.Table], pa.Table], reducers: int) -> DataFrame:
-    n = max(reducers, parts(asked.sparkSession))
+    n = partitions(asked.sparkSession, reducers)
     return asked.repartition(n, "__r").groupBy("__r").applyInArrow(reduce, REQUEST)
 
 
 def with_answers(docs_dealt: DataFrame, replies: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema, buckets: int) -> DataFrame:
     """``fn`` on each bucket's documents and the replies to it (None in a bucket without)."""
-    n = max(buckets, parts(docs_dealt.sparkSession))
+    n = partitions(docs_dealt.sparkSession, buckets)
     return docs_dealt.groupBy("__b").cogroup(replies.repartition(n, "__b").groupBy("__b")).applyInArrow(fn, schema)
 
 

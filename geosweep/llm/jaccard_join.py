@@ -1,16 +1,22 @@
 """N-gram Jaccard join by universe partition and pigeonhole.
 
 A document is its set of word n-grams, as 64-bit hashes.  Sets of equal content are one
-class, of which the smallest document id stands for all.  Linked sets x, y differ in at
-most H = (1 - t) / (1 + t) (|x| + |y|) n-grams, and their sizes lie in one size band or in
-two neighbours.  Each band k has a scheme that splits the universe of hashes into
-segments with allowances z adding up to its H + 1: by the pigeonhole two linked sets
-agree in a segment of allowance 1, or differ by one n-gram at most in one of allowance 2.
-A set is indexed by its segments under the schemes of its own band and the one below,
-those of allowance 2 with their one-deletion neighbourhood too.  Which segments get
-allowance 2 (fewer and larger segments, fewer chance agreements, more signatures) is
-decided per scheme by the cost of signatures and expected collisions at its documents'
-number.
+class, and classes are the nodes of the link graph.  Linked sets x, y differ in at most
+H = (1 - t) / (1 + t) (|x| + |y|) n-grams, and their sizes lie in one size band or in two
+neighbours.  Each band k has a scheme that splits the universe of hashes into segments
+with allowances z adding up to its H + 1 + E.  A segment in which two linked sets differ
+in fewer than z n-grams agrees; as the others use up z differences each, agreeing
+segments hold allowances of E + 1 or more together.  Allowance 1 asks for equal segments;
+allowance 2 for equal ones or one n-gram of difference, found by one-deletion
+neighbourhoods.
+
+The spare E pays for a subset: a set leaves out its E weakest segments of allowance 1, in
+an order of content (fewest n-grams first, then by hash).  Of E + 1 agreeing segments the
+strongest has the others before it on both sides, so both sets keep it.  Empty and nearly
+empty segments, on which strangers agree, are thus never sent.  A set is indexed under the
+schemes of its own band and the one below.  How many segments have allowance 2 and how
+large E is (smaller segments, but weaker ones left out) is decided per scheme by the cost
+of signatures and expected collisions at its documents' number.
 
 Candidates never multiply within a bucket of equal signatures.  Each bucket has a hub,
 its member with the most company, and members are verified against the hub.  Two members
@@ -21,10 +27,10 @@ pairs are found by an equi-join on (hub, n-gram) and verified too.  So no link b
 different components is lost, while only hub pairs and pairs with a common deviation are
 ever formed.
 
-Edge cases: a document of fewer than n words has its whole word sequence as one n-gram;
-one without words, or with null text, links with nothing and is its own component; rows
-that share a document id are one node of the graph; a row without an id takes the
-component of its text's class, null if no copy has an id.
+Edge cases: every row is a document, whether it shares its id or has none; a document of
+fewer than n words has its whole word sequence as one n-gram; one without words, or with
+null text, links with nothing and keeps its own id as its component; a component's id is
+the smallest that any of its rows has, null if none has one.
 """
 
 from __future__ import annotations
@@ -44,11 +50,12 @@ from geosweep.llm.frames import (
     REQUEST_ARROW,
     answers,
     by_reducer,
+    deal,
+    deal_key,
     dealt,
     heavy_keys,
     in_order,
     map_blocks,
-    n_buckets,
     requests,
     split_join,
     table,
@@ -89,8 +96,9 @@ class Rule:
 
 @dataclass(frozen=True)
 class Scheme:
-    cells: int  # H + 1 equal parts of the universe
+    cells: int  # H + 1 + spare equal parts of the universe
     doubles: int  # segments of two cells and allowance 2; the others have one cell and allowance 1
+    spare: int  # a set leaves out so many of its segments of allowance 1, the weakest
 
     def segment(self, u: np.ndarray) -> np.ndarray:
         cell = ((u >> U(32)) * U(self.cells) >> U(32)).astype(np.int64)
@@ -101,25 +109,40 @@ class Scheme:
         return self.cells - self.doubles
 
 
+#: Model of cost: bytes of a signature, and the share of documents that hold a given n-gram.
+SIGNATURE, COMMON = 5, 1e-3
+
+
 def allocate(rule: Rule, band: int, docs: int) -> Scheme:
     """Scheme of a band for so many documents, by the fewest bytes a document is expected to send.
 
-    A signature takes six or so; a chance candidate takes the two sets three times over.
-    Segments agree by chance where both are empty, or all but empty under allowance 2.
+    A chance candidate takes the two sets three times over.  A kept segment of k n-grams
+    meets one of the others by chance where that has these too and no more, or, under
+    allowance 2, where both have one at most.  The choice bears on cost alone: every
+    scheme finds all links.
     """
     low, high, top = rule.bands[band], rule.bands[band + 1] - 1, rule.bands[band + 2] - 1
-    cells = rule.most(int(high), int(min(top, high * rule.den // rule.num))) + 1
+    need = rule.most(int(high), int(min(top, high * rule.den // rule.num))) + 1
     size = (low + high) / 2
-    each = size / cells  # n-grams of a cell
-    one, two = math.exp(-each), (1 + 2 * each) * math.exp(-2 * each)
-    best, choice = math.inf, 0
-    for doubles in sorted({0, cells // 4, cells // 2}):
-        single = cells - 2 * doubles
-        signatures = single + doubles * (2 + 2 * each)
-        chance = single * one * min(1, docs * one) + doubles * two * min(1, docs * two)
-        if 6 * signatures + 24 * size * chance < best:
-            best, choice = 6 * signatures + 24 * size * chance, doubles
-    return Scheme(cells, choice)
+    best, choice = math.inf, None
+    for spare in sorted({0, need // 4, need * 2 // 5, need * 3 // 5, need}):
+        cells = need + spare
+        each = size / cells  # n-grams of a cell
+        two = (1 + 2 * each) * math.exp(-2 * each)
+        for doubles in sorted({0, need // 4, need // 2}):
+            single = cells - 2 * doubles
+            left_out, chance, p = float(min(spare, single)), 0.0, math.exp(-each)
+            for k in range(8):
+                weak = min(left_out, single * p)
+                left_out -= weak
+                chance += (single * p - weak) * min(1.0, docs * p * COMMON**k)
+                p *= each / (k + 1)
+            chance += doubles * two * min(1, docs * two)
+            signatures = max(single - spare, 0) + doubles * (2 + 2 * each)
+            cost = SIGNATURE * signatures + 24 * size * chance
+            if cost < best:
+                best, choice = cost, Scheme(cells, doubles, spare)
+    return choice
 
 
 def shingle_sets(block: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,6 +168,10 @@ def _sums(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+#: Signatures keep their first 48 bits; a false match costs a candidate, which verification drops.
+KEPT_BITS = ~U(0xFFFF)
+
+
 def signatures(sets: np.ndarray, offsets: np.ndarray, which: np.ndarray, scheme: Scheme, name: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of the chosen sets under a scheme, with the set that each belongs to."""
     size = np.diff(offsets)[which]
@@ -153,32 +180,55 @@ def signatures(sets: np.ndarray, offsets: np.ndarray, which: np.ndarray, scheme:
     value = sets[np.repeat(offsets[which] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
     segment = scheme.segment(finish(value ^ U(0xC0FFEE)))
     term = finish(value + U(0x9E3779B97F4A7C15))
-    slot = owner * scheme.segments + segment
+    n, doubles = scheme.segments, scheme.doubles
+    slot = owner * n + segment
     order = np.argsort(slot, kind="stable")
-    content = _sums(term[order], np.searchsorted(slot[order], np.arange(len(which) * scheme.segments + 1)))
-    label = finish(np.arange(scheme.segments).astype(U) + U(name << 32))
-    sigs, owners = [pair(content, np.tile(label, len(which)), 6)], [np.repeat(which, scheme.segments)]
-    near = segment < scheme.doubles
+    edges = np.searchsorted(slot[order], np.arange(len(which) * n + 1))
+    content = _sums(term[order], edges)
+    label = finish(np.arange(n).astype(U) + U(name << 32))
+    whole = pair(content, np.tile(label, len(which)), 6).reshape(len(which), n)
+    kept = np.ones((len(which), n), bool)
+    out = min(scheme.spare, n - doubles)
+    if out:
+        # weakest first: by number of n-grams, then by signature, which both sides see alike
+        filled = np.minimum(np.diff(edges).reshape(len(which), n)[:, doubles:], 0xFFFF).astype(U)
+        rank = filled << U(48) | whole[:, doubles:] >> U(16)
+        kept[:, doubles:] = rank >= np.partition(rank, out, axis=1)[:, out : out + 1] if out < n - doubles else False
+    sigs, owners = [whole[kept]], [np.repeat(which, kept.sum(axis=1))]
+    near = segment < doubles
     sigs.append(pair(content[slot[near]] - term[near], label[segment[near]], 6))
     owners.append(which[owner[near]])
-    return np.concatenate(sigs), np.concatenate(owners)
+    return np.concatenate(sigs) & KEPT_BITS, np.concatenate(owners)
+
+
+def digests(sets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digest of each set, as two columns."""
+    return _sums(finish(sets), offsets).view(np.int64), _sums(finish(sets ^ U(0xABCDEF)), offsets).view(np.int64)
+
+
+def _keys(d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
+    return np.rec.fromarrays([np.asarray(d1, np.int64), np.asarray(d2, np.int64)], dtype=[("d1", np.int64), ("d2", np.int64)])
 
 
 class _Bucket:
-    """Sets of the documents of a bucket that stand for their class."""
-
-    def __init__(self, rows: pa.Table, ids: np.ndarray, rule: Rule, schemes: dict[int, Scheme]):
-        have = np.asarray(rows.column("__id").fill_null(-1), np.int64)
-        rows = rows.filter(pa.array(np.isin(have, ids) & ~np.asarray(rows.column("__id").is_null())))
-        text = rows.column("__text").combine_chunks()
-        self.ids = np.asarray(rows.column("__id"), np.int64)
-        block = Block(pa.concat_arrays(text.chunks) if isinstance(text, pa.ChunkedArray) and text.num_chunks else pa.array([], pa.string()) if isinstance(text, pa.ChunkedArray) else text)
-        self.sets, self.offsets = shingle_sets(block, rule.words)
-        self.size = np.diff(self.offsets)
+    """Sets of the classes whose text the bucket was chosen to send, one row each."""
+
+    def __init__(self, rows: pa.Table, classes: np.ndarray, d1: np.ndarray, d2: np.ndarray, rule: Rule, schemes: dict[int, Scheme]):
+        text = rows.column("__text")
+        block = Block(pa.concat_arrays(text.chunks) if text.num_chunks else pa.array([], pa.string()))
+        sets, offsets = shingle_sets(block, rule.words)
+        have, first = np.unique(_keys(*digests(sets, offsets)), return_index=True)
+        wanted = _keys(d1, d2)
+        at = np.searchsorted(have, wanted)
+        at = first[at]
+        size = np.diff(offsets)[at]
+        self.ids, self.size = classes, size
+        self.sets = sets[np.repeat(offsets[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        self.offsets = np.concatenate([[0], np.cumsum(size)])
         sigs, owners = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-        band = rule.band(self.size)
-        for k in np.unique(band[self.size > 0]):
-            which = np.flatnonzero((band == k) & (self.size > 0))
+        band = rule.band(size)
+        for k in np.unique(band):
+            which = np.flatnonzero(band == k)
             for name in (int(k), int(k) - 1):
                 if name in schemes:
                     s, o = signatures(self.sets, self.offsets, which, schemes[name], name)
@@ -187,25 +237,22 @@ class _Bucket:
         self.sigs, self.owner = np.concatenate(sigs), np.concatenate(owners)
 
 
-def _own_ids(replies: pa.Table) -> np.ndarray:
-    return np.asarray(replies.column("rep"), np.int64)
-
-
 def _ask(rule: Rule, schemes: dict[int, Scheme], reducers: int):
-    def fn(rows: pa.Table, reps: pa.Table) -> pa.Table:
-        if not rows.num_rows or not reps.num_rows:
+    def fn(rows: pa.Table, classes: pa.Table) -> pa.Table:
+        if not rows.num_rows or not classes.num_rows:
             return REQUEST_ARROW.empty_table()
-        ids, number = np.sort(_own_ids(reps)), rows.column("__b")[0].as_py()
-        b = _Bucket(rows, ids, rule, schemes)
+        number = rows.column("__b")[0].as_py()
+        own = [np.asarray(classes.column(c), np.int64) for c in ("cls", "d1", "d2")]
+        b = _Bucket(rows, *own, rule, schemes)
         unique, count = np.unique(b.sigs, return_counts=True)
-        own = pa.table([pa.array([number], pa.int32()), pa.array([-1 - number], pa.int32()), pa.array([pack(ids)], pa.binary())], schema=REQUEST_ARROW)
-        return pa.concat_tables([requests(number, reducers, unique, np.minimum(count, 2**31).astype(np.uint32)), own])
+        back = pa.table([pa.array([number], pa.int32()), pa.array([-1 - number], pa.int32()), pa.array([pack(*own)], pa.binary())], schema=REQUEST_ARROW)
+        return pa.concat_tables([requests(number, reducers, unique, np.minimum(count, 2**31).astype(np.uint32)), back])
 
     return fn
 
 
 def company(asked: pa.Table) -> pa.Table:
-    """Reply to each request: how many documents of the corpus have each signature (0 where just one)."""
+    """Reply to each request: how many classes of the corpus have each signature (0 where just one)."""
     if asked.column("__r")[0].as_py() < 0:
         return asked.select(REQUEST_ARROW.names)
     parts_ = [unpack(v) for v in asked.column("__v").to_pylist()]
@@ -216,33 +263,34 @@ def company(asked: pa.Table) -> pa.Table:
     return answers(asked, [pack(x) for x in np.split(total, cut)])
 
 
-MEMBERS = "sig long, doc long, score long, size long, items binary"
+MEMBERS = "sig long, cls long, score long, size long, items binary"
 
 
 def _members(rule: Rule, schemes: dict[int, Scheme]):
-    """Rows (sig, doc, score) for signatures in company, and (doc, size, items) for their documents."""
-    schema = pa.schema([("sig", pa.int64()), ("doc", pa.int64()), ("score", pa.int64()), ("size", pa.int64()), ("items", pa.binary())])
+    """Rows (sig, cls, score, size) for signatures in company, and (cls, size, items) for their classes."""
+    schema = pa.schema([("sig", pa.int64()), ("cls", pa.int64()), ("score", pa.int64()), ("size", pa.int64()), ("items", pa.binary())])
 
     def fn(rows: pa.Table, replies: pa.Table) -> pa.Table:
         mine = pa.compute.less(replies.column("__r"), 0) if replies.num_rows else None
         if not rows.num_rows or mine is None:
             return schema.empty_table()
-        b = _Bucket(rows, unpack(replies.filter(mine).column("__v")[0].as_py())[0], rule, schemes)
+        b = _Bucket(rows, *unpack(replies.filter(mine).column("__v")[0].as_py()), rule, schemes)
         unique, back = np.unique(b.sigs, return_inverse=True)
         got = in_order(replies.filter(pa.compute.invert(mine)))
         total = np.concatenate([unpack(v)[0] for v in got]).astype(np.int64) if got else np.zeros(0, np.int64)
         total = total[back]
         score = np.bincount(b.owner, weights=total, minlength=len(b.ids)).astype(np.int64)
         at = np.flatnonzero(total > 0)
-        docs = np.unique(b.owner[at])
-        n, m = len(at), len(docs)
-        items = [pack(b.sets[b.offsets[d] : b.offsets[d + 1]]) for d in docs]
+        own = b.owner[at]
+        some = np.unique(own)
+        n, m = len(at), len(some)
+        items = [pack(b.sets[b.offsets[d] : b.offsets[d + 1]]) for d in some]
         return pa.table(
             [
                 pa.array(np.append(b.sigs[at].view(np.int64), np.zeros(m, np.int64)), mask=np.append(np.zeros(n, bool), np.ones(m, bool))),
-                pa.array(np.append(b.ids[b.owner[at]], b.ids[docs])),
-                pa.array(np.append(score[b.owner[at]], np.zeros(m, np.int64))),
-                pa.array(np.append(np.zeros(n, np.int64), b.size[docs])),
+                pa.array(np.append(b.ids[own], b.ids[some])),
+                pa.array(np.append(score[own], np.zeros(m, np.int64))),
+                pa.array(np.append(b.size[own], b.size[some])),
                 pa.array([None] * n + items, pa.binary()),
             ],
             schema=schema,
@@ -283,8 +331,8 @@ def _verify(rule: Rule):
 def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (u, v) with their check; at most 50 sets, those of hubs with 2 % of all pairs, are broadcast."""
     by_u, by_v = (heavy_keys(pairs, [c], 50) for c in "uv")
-    left = split_join(pairs, sets.select(F.col("doc").alias("u"), F.col("items").alias("a")), ["u"], heavy=by_u)
-    both = split_join(left, sets.select(F.col("doc").alias("v"), F.col("items").alias("b")), ["v"], heavy=by_v)
+    left = split_join(pairs, sets.select(F.col("cls").alias("u"), F.col("items").alias("a")), ["u"], heavy=by_u)
+    both = split_join(left, sets.select(F.col("cls").alias("v"), F.col("items").alias("b")), ["v"], heavy=by_v)
     return both.select("u", "v", "a", "b").mapInArrow(_verify(rule), VERIFIED)
 
 
@@ -306,23 +354,14 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def jaccard_join(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, rep (the class's least id) and component_id."""
-    from pyspark.sql import types as T
-
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("n_shingles", "d1", "d2")])
-
-    def digest(_, block):
-        sets, offsets = shingle_sets(block, rule.words)
-        d1, d2 = _sums(finish(sets), offsets), _sums(finish(sets ^ U(0xABCDEF)), offsets)
-        return {"n_shingles": np.diff(offsets), "d1": d1.view(np.int64), "d2": d2.view(np.int64)}
-
-    sized = written(map_blocks(docs.select(F.col(doc_id).cast("long").alias("__id"), text), digest, schema, ["__id"], text))
+def linked_classes(sized: DataFrame, docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
+    """(n_shingles, d1, d2, group, least): the component of every class and the smallest id in it."""
     key = ["n_shingles", "d1", "d2"]
-    classes = written(sized.where("n_shingles > 0").groupBy(*key).agg(F.min("__id").alias("rep")))
+    classes = sized.where("n_shingles > 0").groupBy(*key).agg(F.min("__id").alias("rep"), F.min("__k").alias("k"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("cls"), *key, "rep", "k"))
     # one row per size that occurs would grow with the longest text alone; bands make it its logarithm
     log_t = math.log(rule.den / rule.num)
-    sizes = classes.where("rep IS NOT NULL").groupBy(F.floor(F.log(F.col("n_shingles").cast("double")) / (log_t / 4)).alias("g")).agg(
+    sizes = classes.groupBy(F.floor(F.log(F.col("n_shingles").cast("double")) / (log_t / 4)).alias("g")).agg(
         F.count(F.lit(1)).alias("n"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high")
     ).collect()
     held: dict[int, int] = {}
@@ -331,21 +370,24 @@ def jaccard_join(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", t
             held[k] = held.get(k, 0) + r["n"]
     schemes = {k: allocate(rule, k, held.get(k, 0) + held.get(k + 1, 0)) for k in {*held, *(k - 1 for k in held)} if k >= 0}
 
-    buckets = n_buckets(docs, text)
+    buckets = deal(sized.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0])
     own = dealt(docs, buckets, doc_id, text)
-    reps = classes.where("rep IS NOT NULL").select(F.pmod(F.xxhash64("rep"), F.lit(buckets)).cast("int").alias("__b"), "rep")
-    asked = with_answers(own, reps, _ask(rule, schemes, buckets), REQUEST, buckets)
+    told = classes.select(F.pmod("k", F.lit(buckets)).cast("int").alias("__b"), "cls", "d1", "d2")
+    asked = with_answers(own, told, _ask(rule, schemes, buckets), REQUEST, buckets)
     found = written(with_answers(own, by_reducer(asked, company, buckets), _members(rule, schemes), MEMBERS, buckets))
-    members = written(found.where("sig IS NOT NULL").select("sig", "doc", "score").distinct())
-    sets = found.where("sig IS NULL").groupBy("doc").agg(F.first("items").alias("items"))
+    members = found.where("sig IS NOT NULL").select("sig", "cls", "score", "size")
+    sets = found.where("sig IS NULL").select("cls", "items")
 
-    hubs = members.groupBy("sig").agg(F.max(F.struct("score", "doc")).alias("h")).select("sig", F.col("h.doc").alias("u"))
-    pairs = split_join(members.select("sig", F.col("doc").alias("v")), hubs, ["sig"]).where("u <> v").select("u", "v").distinct()
-    pairs = written(pairs)
-    stars = written(verify(pairs, sets, rule))
+    hubs = members.groupBy("sig").agg(F.max(F.struct("score", "cls", "size")).alias("h"), (F.count(F.lit(1)) > 2).alias("many"))
+    hubs = hubs.select("sig", F.col("h.cls").alias("u"), F.col("h.size").alias("u_size"), "many")
+    pairs = split_join(members.select("sig", F.col("cls").alias("v"), "size"), hubs, ["sig"]).where("u <> v")
+    # a bucket of two has no third member that either could be linked to
+    alike = rule.den * F.least("size", "u_size") >= rule.num * F.greatest("size", "u_size")
+    pairs = written(pairs.where(F.col("many") | alike).groupBy("u", "v").agg(F.max("many").alias("many")))
+    stars = written(verify(pairs, sets, rule).join(pairs, ["u", "v"]))
 
     # pairs with a common hub of which one at least does not link to it
-    deviations = stars.select(F.col("u").alias("hub"), "v", "linked", "differ", "size", F.posexplode("first").alias("pos", "item"))
+    deviations = stars.where("many").select(F.col("u").alias("hub"), "v", "linked", "differ", "size", F.posexplode("first").alias("pos", "item"))
     loose = deviations.where("NOT linked").select("hub", "item", *(F.col(c).alias(f"u_{c}") for c in ("v", "differ", "size", "pos")))
     # two differences of a linking pair share at least half of what they hold beyond the
     # allowance: their first common n-gram leaves room for that many behind it on both sides
@@ -360,22 +402,59 @@ def jaccard_join(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", t
         .distinct()
     )
     more = verify(written(near), sets, rule)
-    edges = stars.where("linked").select("u", "v").unionByName(more.where("linked").select("u", "v"))
-    label = components(edges)
-    by_class = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(*key, "rep", F.coalesce("component", "rep").alias("c"))
-    done = split_join(sized, by_class, key, "left")
-    return done.select(
-        F.col("__id").alias(doc_id), "n_shingles", F.coalesce("rep", "__id").alias("rep"), F.coalesce("c", "__id").alias("component_id")
-    )
+    label = components(stars.where("linked").select("u", "v").unionByName(more.where("linked").select("u", "v")))
+    group = F.coalesce("component", "cls").alias("group")
+    grouped = written(classes.join(label.withColumnRenamed("node", "cls"), "cls", "left").select(*key, "rep", group))
+    least = grouped.groupBy("group").agg(F.min("rep").alias("least"))
+    return split_join(grouped, least, ["group"]).select(*key, "group", "least")
+
+
+def grouped_rows(docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
+    """Per row: __id, __h (hash of its text), n_shingles, its component's number as group, and the smallest id in that as least."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("n_shingles", "d1", "d2", "n_bytes")])
+
+    def digest(_, block):
+        sets, offsets = shingle_sets(block, rule.words)
+        d1, d2 = digests(sets, offsets)
+        return {"n_shingles": np.diff(offsets), "d1": d1, "d2": d2, "n_bytes": np.diff(block.offsets)}
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("__id"), deal_key(doc_id, text).alias("__k"), F.xxhash64(F.col(text).cast("string")).alias("__h"), text)
+    sized = written(map_blocks(rows, digest, schema, ["__id", "__k", "__h"], text))
+    classes = linked_classes(sized, docs, rule, doc_id, text)
+    return split_join(sized, classes, ["n_shingles", "d1", "d2"], "left").select("__id", "__h", "n_shingles", "group", "least")
+
+
+def jaccard_join(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles and component_id."""
+    done = grouped_rows(docs, rule, doc_id, text)
+    own = F.when(F.col("group").isNull(), F.col("__id")).otherwise(F.col("least"))
+    return done.select(F.col("__id").alias(doc_id), "n_shingles", own.alias("component_id"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that of least id; n-grams of five words, similarity 0.8."""
-    joined = jaccard_join(docs, Rule(5, 4, 5)).select("doc_id", "component_id")
-    gone = joined.where("doc_id <> component_id").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti")
-    named = rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.unionByName(rest.where("doc_id IS NULL")).select(*docs.columns)
+    """One document of each group; n-grams of five words, similarity 0.8.
+
+    The row of least id stays (rows without one come last, rows that share it by the hash of
+    their text).  Of rows equal in id and text one stays; rows without words all stay.
+    Both lists of rows are written first, so the planner broadcasts them only if small.
+    """
+    rows = written(grouped_rows(docs, Rule(5, 4, 5), "doc_id", "text").where("n_shingles > 0"))
+    none, some = F.col("__id").isNull(), F.coalesce("__id", F.lit(0))
+    place = F.struct(none.alias("none"), some.alias("id"), F.col("__h").alias("h"))
+    first = rows.groupBy("group").agg(F.min(place).alias("first"))
+    placed = rows.select("group", place.alias("place"))
+    gone = written(split_join(placed, first, ["group"]).where("place <> first").select("place.*").distinct())
+    twice = placed.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("place.*")
+    twice = written(twice.join(gone, ["none", "id", "h"], "left_anti"))
+    named = docs.select(*[F.col(f"`{c}`").alias(f"c_{c}") for c in docs.columns])
+    own = F.col("c_doc_id").cast("long")
+    named = named.select("*", own.isNull().alias("none"), F.coalesce(own, F.lit(0)).alias("id"), F.xxhash64(F.col("c_text").cast("string")).alias("h"))
+    key = ["none", "id", "h"]
+    rest = named.join(gone.unionByName(twice), key, "left_anti")
+    once = named.join(twice, key, "left_semi").dropDuplicates([*key, "c_text"])
+    return rest.unionByName(once).select(*[F.col(f"`c_{c}`").alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geosweep.llm.blocks import Block, blocks, finish, pack, pair, unpack
-from geosweep.llm.frames import REQUEST, REQUEST_ARROW, in_order, parts, requests, table, written
+from geosweep.llm.frames import REQUEST, REQUEST_ARROW, in_order, partitions, requests, spread, table, written
 
 BUCKETS = 21
 END, START = np.uint64(0x656E64), np.uint64(0x73746172)
@@ -182,8 +182,7 @@ def maximisation(used: np.ndarray) -> np.ndarray:
     return np.where(total > 0, used / np.maximum(total, 1e-300), 1 / used.shape[1])
 
 
-def _meet(packed: DataFrame, replies: DataFrame, fn, schema) -> DataFrame:
-    n = max(packed.rdd.getNumPartitions(), parts(packed.sparkSession))
+def _meet(packed: DataFrame, replies: DataFrame, n: int, fn, schema) -> DataFrame:
     return packed.repartition(n, "__b").groupBy("__b").cogroup(replies.repartition(n, "__b").groupBy("__b")).applyInArrow(fn, schema)
 
 
@@ -220,9 +219,9 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     sizes = packed.agg(
         F.sum("train_docs").alias("train"), F.sum(F.expr("CASE WHEN dev THEN docs ELSE 0 END")).alias("dev"), F.count(F.lit(1)).alias("packs")
     ).first()
-    train_docs, dev_docs, reducers = float(sizes["train"] or 0), float(sizes["dev"] or 0), max(1, sizes["packs"])
+    train_docs, dev_docs, reducers = float(sizes["train"] or 0), float(sizes["dev"] or 0), spread(max(1, sizes["packs"]))
     asked = packed.select("__b", "__v").mapInArrow(_ask(reducers), WIDE)
-    n_parts = max(reducers, parts(docs.sparkSession))
+    n_parts = partitions(docs.sparkSession, sizes["packs"])
     replies = written(asked.repartition(n_parts, "__r").groupBy("__r").applyInArrow(total_counts, WIDE))
     own = [unpack(r["__v"])[0] for r in replies.where("__b = -1").select("__v").collect()]
     n, n_held, v = np.sum(own, axis=0) if own else (0.0, 0.0, 0.0)
@@ -238,7 +237,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         rows, times = np.unique(rows, axis=1, return_counts=True)
         return pa.table([pa.array([pack(*(x.astype(np.uint64) for x in rows), times.astype(np.uint32))], pa.binary())], schema=schema)
 
-    held = written(_meet(packed.where("dev").select("__b", "__v"), replies.where("__b % 2 = 1"), held_counts, "__v binary"))
+    held = written(_meet(packed.where("dev").select("__b", "__v"), replies.where("__b % 2 = 1"), n_parts, held_counts, "__v binary"))
     weights = learn(held, n - n_held, v)
 
     schema = pa.schema([("__id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -257,7 +256,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         )
 
     out = "__id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return _meet(packed.select("__b", "__v"), replies, score, out).withColumnRenamed("__id", doc_id)
+    return _meet(packed.select("__b", "__v"), replies, n_parts, score, out).withColumnRenamed("__id", doc_id)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geosweep.llm import decontaminate, jaccard_join, line_dedup, lm_scoring, quality_classifier, quality_rules, sentencepiece_nbest, substring_dedup, url_filters, warc
+from geosweep.llm import decontaminate, frames, jaccard_join, line_dedup, lm_scoring, quality_classifier, quality_rules, sentencepiece_nbest, substring_dedup, url_filters, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = {c: c + 32 for c in range(65, 91)}
@@ -86,41 +86,111 @@ def test_line_dedup(spark, docs):
     assert line_dedup.line_dedup(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("args", [(3, 9, 10), (5, 4, 5)])
-def test_jaccard_join(spark, args):
-    n, num, den = args
-    rows = [r for r in corpus(1, 40) if r[0] is not None]
-    rnd, base = random.Random(3), [f"w{k}" for k in range(120)]
-    for i in range(40):  # a family of near copies whose members need not link to each other
-        copy = list(base)
-        for _ in range(rnd.randint(0, 5)):
-            copy[rnd.randrange(len(copy))] = f"x{rnd.randrange(1000)}"
-        rows.append((500 + i, " ".join(copy)))
-    sets = {}
-    for i, text in rows:
+def brute_links(rows, n, num, den):
+    """Set size and component number of every row, by comparing all pairs."""
+    sets = []
+    for _, text in rows:
         w = WORD.findall((text or "").translate(FOLD))
-        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
-    label = {i: i for i in sets}
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
+    label = list(range(len(rows)))
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
     changed = True
-    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
     while changed:
         changed = False
         for a, b in links:
             low = min(label[a], label[b])
             changed |= label[a] != low or label[b] != low
             label[a] = label[b] = low
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(df, jaccard_join.Rule(*args)).collect()}
-    assert got == {i: (len(sets[i]), label[i]) for i in sets}
+    return [len(x) for x in sets], label
+
+
+def family(seed=3):
+    """Near copies whose members need not link to each other; some ids are repeated, some missing."""
+    rnd, base = random.Random(seed), [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(40):
+        copy = list(base)
+        for _ in range(rnd.randint(0, 5)):
+            copy[rnd.randrange(len(copy))] = f"x{rnd.randrange(1000)}"
+        rows.append((None if i % 13 == 5 else 500 + i // 2 if i % 5 == 0 else 600 + i, " ".join(copy)))
+    other = [f"v{k}" for k in range(60)]
+    apart = [f"u{k}" for k in range(60)]
+    lonely = [f"t{k}" for k in range(60)]
+    rows += [(1000, " ".join(other)), (1000, " ".join(apart)), (1001, " ".join([*other, "more"])), (1002, " ".join([*apart, "more"])), (1002, " ".join([*apart, "more"]))]
+    return [*rows, (None, " ".join(lonely)), (None, " ".join([*lonely, "end"])), (None, None), (7000, "  "), (7000, "  ")]
+
+
+@pytest.mark.parametrize("args", [(3, 9, 10), (5, 4, 5)])
+def test_jaccard_join(spark, args):
+    rows = corpus(1, 40) + family()
+    sizes, label = brute_links(rows, *args)
+    least = {}
+    for (i, _), c in zip(rows, label, strict=True):
+        if i is not None:
+            least[c] = min(least.get(c, i), i)
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, size int, cls string")
+    want = sorted(((i, n, least.get(c)) for (i, _), n, c in zip(rows, sizes, label, strict=True)), key=str)
+    for shuffled in (df.repartition(1), df.repartition(5, "text")):
+        got = [tuple(r) for r in jaccard_join.jaccard_join(shuffled, jaccard_join.Rule(*args)).collect()]
+        assert sorted(got, key=str) == want
     assert jaccard_join.jaccard_join(empty(spark)).count() == 0
 
 
+def test_jaccard_stage_keeps_one_row_of_each_group(spark):
+    rows = corpus(1, 40) + family()
+    sizes, label = brute_links(rows, 5, 4, 5)
+    groups, want = {}, []
+    for (i, t), n, c in zip(rows, sizes, label, strict=True):
+        if n:
+            groups.setdefault(c, []).append((i, t))
+        else:
+            want.append((i, t))
+    df = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in rows], "doc_id long, text string, h int, none string, place string").repartition(4)
+    out = jaccard_join.stage(spark, df, "")
+    assert out.columns == df.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    for row in want:
+        got.remove(row)
+    left = {label[rows.index(r)]: r for r in got}
+    assert len(got) == len(left) == len(groups)
+    for c, (i, t) in left.items():
+        ids = [j for j, _ in groups[c] if j is not None]
+        assert (i, t) in groups[c] and i == (min(ids) if ids else None)
+    assert jaccard_join.stage(spark, df.limit(0), "").count() == 0
+
+
+def test_subsets_and_neighbourhoods_lose_no_link():
+    """Any two sets within the allowed difference share a signature, whatever the scheme."""
+    rng, rule = np.random.default_rng(5), jaccard_join.Rule(5, 4, 5)
+    for trial in range(60):
+        size = int(rng.integers(1, 120))
+        x = rng.integers(0, 2**63, size).astype(np.uint64)
+        change = int(rng.integers(0, rule.most(size, size) + 1)) // 2
+        y = np.concatenate([x[change:], rng.integers(0, 2**63, change).astype(np.uint64)])
+        sets, offsets = np.concatenate([x, y]), np.array([0, size, 2 * size])
+        band = int(rule.band(size))
+        need = rule.most(int(rule.bands[band + 1] - 1), int(min(rule.bands[band + 2] - 1, (rule.bands[band + 1] - 1) * 5 // 4))) + 1
+        for spare in (0, need // 3, need, 2 * need):
+            for doubles in (0, need // 4, need // 2):
+                s, o = jaccard_join.signatures(sets, offsets, np.array([0, 1]), jaccard_join.Scheme(need + spare, doubles, spare), band)
+                assert set(s[o == 0]) & set(s[o == 1]), (size, change, spare, doubles)
+
+
 def test_allocation_always_covers_the_budget():
     rule = jaccard_join.Rule()
     for band in range(0, 60, 7):
         for docs_ in (10, 10**6, 10**11):
             s = jaccard_join.allocate(rule, band, docs_)
-            assert s.segments + s.doubles == s.cells
+            high, top = int(rule.bands[band + 1] - 1), int(rule.bands[band + 2] - 1)
+            assert s.segments + s.doubles == s.cells == rule.most(high, min(top, high * rule.den // rule.num)) + 1 + s.spare
+
+
+def test_exchanges_stay_in_the_thousands_of_partitions(spark):
+    for size in (0, 1 << 20, 1 << 30, 10**12, 10**14):
+        n = frames.deal(size)
+        assert 1 <= frames.partitions(spark, n) <= frames.MOST_PARTITIONS
+        assert n <= 250_000 and size / n < 600 << 20
+    assert frames.deal(10 << 30) == math.ceil((10 << 30) / frames.BUCKET_BYTES)
 
 
 def test_decontaminate(spark):
