@@ -10,11 +10,12 @@ segments hold allowances of E + 1 or more together.  Allowance 1 asks for equal
 allowance 2 for equal ones or one n-gram of difference, found by one-deletion
 neighbourhoods.
 
-The spare E pays for a subset: a set leaves out its E weakest segments of allowance 1, in
-an order of content (fewest n-grams first, then by hash).  Of E + 1 agreeing segments the
-strongest has the others before it on both sides, so both sets keep it.  Empty and nearly
-empty segments, on which strangers agree, are thus never sent.  A set is indexed under the
-schemes of its own band and the one below.  How many segments have allowance 2 and how
+The spare E pays for a subset: a set is indexed by all its segments of allowance 1 but the E
+weakest, in an order of content (those that most sets of the corpus have first, then by
+hash).  Of E + 1 agreeing segments the strongest has the others before it on both sides, so
+both sets keep it.  Empty segments and those with nothing but a passage that many documents
+share are thus left out.  A set has signatures under the schemes of its own band and the
+one below.  How many segments have allowance 2 and how
 large E is (smaller segments, but weaker ones left out) is decided per scheme by the cost
 of signatures and expected collisions at its documents' number.
 
@@ -23,9 +24,10 @@ its member with the most company, and members are verified against the hub.  Two
 that both link to the hub are connected through it.  A pair with a member that does not
 link must, if it links itself, share an n-gram among the first T + 1 (T the largest
 difference that its size allows) of the n-grams in which it differs from the hub: such
-pairs are found by an equi-join on (hub, n-gram) and verified too.  So no link between
-different components is lost, while only hub pairs and pairs with a common deviation are
-ever formed.
+pairs are found by an equi-join on (hub, n-gram) and verified too.  Where more than
+``FEW`` members share a deviation, they are a bucket again, with a hub of their own, lower in
+the order by which hubs are chosen, so that this ends.  So no link between different
+components is lost, while a bucket never forms more than FEW pairs a member.
 
 Edge cases: every row is a document, whether it shares its id or has none; a document of
 fewer than n words has its whole word sequence as one n-gram; one without words, or with
@@ -138,7 +140,7 @@ def allocate(rule: Rule, band: int, docs: int) -> Scheme:
                 chance += (single * p - weak) * min(1.0, docs * p * COMMON**k)
                 p *= each / (k + 1)
             chance += doubles * two * min(1, docs * two)
-            signatures = max(single - spare, 0) + doubles * (2 + 2 * each)
+            signatures = single + doubles * (2 + 2 * each)
             cost = SIGNATURE * signatures + 24 * size * chance
             if cost < best:
                 best, choice = cost, Scheme(cells, doubles, spare)
@@ -172,8 +174,8 @@ def _sums(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 KEPT_BITS = ~U(0xFFFF)
 
 
-def signatures(sets: np.ndarray, offsets: np.ndarray, which: np.ndarray, scheme: Scheme, name: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the chosen sets under a scheme, with the set that each belongs to."""
+def signatures(sets: np.ndarray, offsets: np.ndarray, which: np.ndarray, scheme: Scheme, name: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of whole segments, a row for each chosen set; and of sets without an n-gram, with their rows."""
     size = np.diff(offsets)[which]
     ends = np.cumsum(size)
     owner = np.repeat(np.arange(len(which)), size)
@@ -183,22 +185,26 @@ def signatures(sets: np.ndarray, offsets: np.ndarray, which: np.ndarray, scheme:
     n, doubles = scheme.segments, scheme.doubles
     slot = owner * n + segment
     order = np.argsort(slot, kind="stable")
-    edges = np.searchsorted(slot[order], np.arange(len(which) * n + 1))
-    content = _sums(term[order], edges)
+    content = _sums(term[order], np.searchsorted(slot[order], np.arange(len(which) * n + 1)))
     label = finish(np.arange(n).astype(U) + U(name << 32))
     whole = pair(content, np.tile(label, len(which)), 6).reshape(len(which), n)
-    kept = np.ones((len(which), n), bool)
-    out = min(scheme.spare, n - doubles)
-    if out:
-        # weakest first: by number of n-grams, then by signature, which both sides see alike
-        filled = np.minimum(np.diff(edges).reshape(len(which), n)[:, doubles:], 0xFFFF).astype(U)
-        rank = filled << U(48) | whole[:, doubles:] >> U(16)
-        kept[:, doubles:] = rank >= np.partition(rank, out, axis=1)[:, out : out + 1] if out < n - doubles else False
-    sigs, owners = [whole[kept]], [np.repeat(which, kept.sum(axis=1))]
     near = segment < doubles
-    sigs.append(pair(content[slot[near]] - term[near], label[segment[near]], 6))
-    owners.append(which[owner[near]])
-    return np.concatenate(sigs) & KEPT_BITS, np.concatenate(owners)
+    less = pair(content[slot[near]] - term[near], label[segment[near]], 6)
+    return whole & KEPT_BITS, less & KEPT_BITS, owner[near]
+
+
+def strongest(whole: np.ndarray, times: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """Which whole segments a set keeps: all but its ``spare`` weakest of allowance 1, the most frequent in the corpus."""
+    kept = np.ones(whole.shape, bool)
+    single = whole.shape[1] - scheme.doubles
+    out = min(scheme.spare, single)
+    if out == single:
+        kept[:, scheme.doubles :] = False
+    elif out:
+        # both sides of a link see a segment's count and signature alike
+        rank = ~np.minimum(times[:, scheme.doubles :], 0xFFFF).astype(U) << U(48) | whole[:, scheme.doubles :] >> U(16)
+        kept[:, scheme.doubles :] = rank >= np.partition(rank, out, axis=1)[:, out : out + 1]
+    return kept
 
 
 def digests(sets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,17 +231,27 @@ class _Bucket:
         self.ids, self.size = classes, size
         self.sets = sets[np.repeat(offsets[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
         self.offsets = np.concatenate([[0], np.cumsum(size)])
-        sigs, owners = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        sigs, owners, self.grids, at = [np.zeros(0, U)], [np.zeros(0, np.int64)], [], 0
         band = rule.band(size)
         for k in np.unique(band):
             which = np.flatnonzero(band == k)
             for name in (int(k), int(k) - 1):
                 if name in schemes:
-                    s, o = signatures(self.sets, self.offsets, which, schemes[name], name)
-                    sigs.append(s)
-                    owners.append(o)
+                    whole, less, owner = signatures(self.sets, self.offsets, which, schemes[name], name)
+                    self.grids.append((at, whole, schemes[name]))
+                    at += whole.size + len(less)
+                    sigs += [whole.ravel(), less]
+                    owners += [np.repeat(which, whole.shape[1]), which[owner]]
         self.sigs, self.owner = np.concatenate(sigs), np.concatenate(owners)
 
+    def kept(self, times: np.ndarray) -> np.ndarray:
+        """Which signatures stay, by how often each occurs in the corpus."""
+        kept = np.ones(len(self.sigs), bool)
+        for at, whole, scheme in self.grids:
+            mine = slice(at, at + whole.size)
+            kept[mine] = strongest(whole, times[mine].reshape(whole.shape), scheme).ravel()
+        return kept
+
 
 def _ask(rule: Rule, schemes: dict[int, Scheme], reducers: int):
     def fn(rows: pa.Table, classes: pa.Table) -> pa.Table:
@@ -279,6 +295,7 @@ def _members(rule: Rule, schemes: dict[int, Scheme]):
         got = in_order(replies.filter(pa.compute.invert(mine)))
         total = np.concatenate([unpack(v)[0] for v in got]).astype(np.int64) if got else np.zeros(0, np.int64)
         total = total[back]
+        total = np.where(b.kept(total), total, 0)
         score = np.bincount(b.owner, weights=total, minlength=len(b.ids)).astype(np.int64)
         at = np.flatnonzero(total > 0)
         own = b.owner[at]
@@ -354,6 +371,39 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+#: Members with a common deviation that are paired with each other; more take a hub of their own.
+FEW = 16
+
+
+def deviating(stars: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v) of one hub with a common deviation of which one at least does not link to the hub,
+    and, where more than FEW share the deviation, pairs (u, v, many, score) with a lower hub instead."""
+    loose_hubs = stars.where("many AND NOT linked").select("u").distinct()
+    some = stars.where("many").join(loose_hubs, "u", "left_semi")
+    deviations = some.select(F.col("u").alias("hub"), "v", "linked", "differ", "size", "score", F.posexplode("first").alias("pos", "item"))
+    keys = deviations.groupBy("hub", "item").agg(
+        F.count(F.lit(1)).alias("n"), F.max(~F.col("linked")).alias("loose"), F.max(F.struct("score", "v")).alias("top")
+    )
+    keys = keys.where("loose AND n > 1")
+    mine = written(deviations.join(keys.select("hub", "item", "n", F.col("top.v").alias("top")), ["hub", "item"]))
+    small = mine.where(F.col("n") <= FEW)
+    loose = small.where("NOT linked").select("hub", "item", *(F.col(c).alias(f"u_{c}") for c in ("v", "differ", "size", "pos")))
+    # two differences of a linking pair share at least half of what they hold beyond the
+    # allowance: their first common n-gram leaves room for that many behind it on both sides
+    allowed = F.floor((rule.den - rule.num) * (F.col("size") + F.col("u_size")) / (rule.den + rule.num))
+    shared = F.col("differ") + F.col("u_differ") - allowed
+    room = (2 * F.col("pos") + shared <= 2 * F.col("differ")) & (2 * F.col("u_pos") + shared <= 2 * F.col("u_differ"))
+    same = [F.col(f"d.{c}") == F.col(f"l.{c}") for c in ("hub", "item")]
+    near = (
+        small.alias("d")
+        .join(loose.alias("l"), same[0] & same[1] & (F.col("v") != F.col("u_v")) & (F.abs(F.col("size") - F.col("u_size")) <= allowed) & room)
+        .select(F.least("u_v", "v").alias("u"), F.greatest("u_v", "v").alias("v"))
+        .distinct()
+    )
+    lower = mine.where((F.col("n") > FEW) & (F.col("top") != F.col("v"))).groupBy(F.col("top").alias("u"), "v").agg(F.max("score").alias("score"))
+    return near, lower.select("u", "v", F.lit(True).alias("many"), "score")
+
+
 def linked_classes(sized: DataFrame, docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
     """(n_shingles, d1, d2, group, least): the component of every class and the smallest id in it."""
     key = ["n_shingles", "d1", "d2"]
@@ -380,29 +430,19 @@ def linked_classes(sized: DataFrame, docs: DataFrame, rule: Rule, doc_id: str, t
 
     hubs = members.groupBy("sig").agg(F.max(F.struct("score", "cls", "size")).alias("h"), (F.count(F.lit(1)) > 2).alias("many"))
     hubs = hubs.select("sig", F.col("h.cls").alias("u"), F.col("h.size").alias("u_size"), "many")
-    pairs = split_join(members.select("sig", F.col("cls").alias("v"), "size"), hubs, ["sig"]).where("u <> v")
+    pairs = split_join(members.select("sig", F.col("cls").alias("v"), "size", "score"), hubs, ["sig"]).where("u <> v")
     # a bucket of two has no third member that either could be linked to
     alike = rule.den * F.least("size", "u_size") >= rule.num * F.greatest("size", "u_size")
-    pairs = written(pairs.where(F.col("many") | alike).groupBy("u", "v").agg(F.max("many").alias("many")))
+    pairs = written(pairs.where(F.col("many") | alike).groupBy("u", "v").agg(F.max("many").alias("many"), F.max("score").alias("score")))
     stars = written(verify(pairs, sets, rule).join(pairs, ["u", "v"]))
-
-    # pairs with a common hub of which one at least does not link to it
-    deviations = stars.where("many").select(F.col("u").alias("hub"), "v", "linked", "differ", "size", F.posexplode("first").alias("pos", "item"))
-    loose = deviations.where("NOT linked").select("hub", "item", *(F.col(c).alias(f"u_{c}") for c in ("v", "differ", "size", "pos")))
-    # two differences of a linking pair share at least half of what they hold beyond the
-    # allowance: their first common n-gram leaves room for that many behind it on both sides
-    allowed = F.floor((rule.den - rule.num) * (F.col("size") + F.col("u_size")) / (rule.den + rule.num))
-    shared = F.col("differ") + F.col("u_differ") - allowed
-    room = (2 * F.col("pos") + shared <= 2 * F.col("differ")) & (2 * F.col("u_pos") + shared <= 2 * F.col("u_differ"))
-    same = [F.col(f"d.{c}") == F.col(f"l.{c}") for c in ("hub", "item")]
-    near = (
-        deviations.alias("d")
-        .join(loose.alias("l"), same[0] & same[1] & (F.col("v") != F.col("u_v")) & (F.abs(F.col("size") - F.col("u_size")) <= allowed) & room)
-        .select(F.least("u_v", "v").alias("u"), F.greatest("u_v", "v").alias("v"))
-        .distinct()
-    )
-    more = verify(written(near), sets, rule)
-    label = components(stars.where("linked").select("u", "v").unionByName(more.where("linked").select("u", "v")))
+    edges = stars.where("linked").select("u", "v")
+    while stars.where("many AND NOT linked").limit(1).count():
+        near, lower = deviating(stars, rule)
+        edges = edges.unionByName(verify(written(near), sets, rule).where("linked").select("u", "v"))
+        lower = written(lower)
+        stars = written(verify(lower, sets, rule).join(lower, ["u", "v"]))
+        edges = edges.unionByName(stars.where("linked").select("u", "v"))
+    label = components(edges)
     group = F.coalesce("component", "cls").alias("group")
     grouped = written(classes.join(label.withColumnRenamed("node", "cls"), "cls", "left").select(*key, "rep", group))
     least = grouped.groupBy("group").agg(F.min("rep").alias("least"))

@@ -113,6 +113,11 @@ def family(seed=3):
         for _ in range(rnd.randint(0, 5)):
             copy[rnd.randrange(len(copy))] = f"x{rnd.randrange(1000)}"
         rows.append((None if i % 13 == 5 else 500 + i // 2 if i % 5 == 0 else 600 + i, " ".join(copy)))
+    for i in range(30):  # more than FEW that share a variant of the base but need not link to it
+        copy = base[:70] + [f"z{k}" for k in range(50)]
+        for _ in range(rnd.randint(0, 6)):
+            copy[rnd.randrange(len(copy))] = f"y{rnd.randrange(1000)}"
+        rows.append((2000 + i, " ".join(copy)))
     other = [f"v{k}" for k in range(60)]
     apart = [f"u{k}" for k in range(60)]
     lonely = [f"t{k}" for k in range(60)]
@@ -172,8 +177,11 @@ def test_subsets_and_neighbourhoods_lose_no_link():
         need = rule.most(int(rule.bands[band + 1] - 1), int(min(rule.bands[band + 2] - 1, (rule.bands[band + 1] - 1) * 5 // 4))) + 1
         for spare in (0, need // 3, need, 2 * need):
             for doubles in (0, need // 4, need // 2):
-                s, o = jaccard_join.signatures(sets, offsets, np.array([0, 1]), jaccard_join.Scheme(need + spare, doubles, spare), band)
-                assert set(s[o == 0]) & set(s[o == 1]), (size, change, spare, doubles)
+                scheme = jaccard_join.Scheme(need + spare, doubles, spare)
+                whole, less, owner = jaccard_join.signatures(sets, offsets, np.array([0, 1]), scheme, band)
+                kept = jaccard_join.strongest(whole, whole.astype(np.int64) % 7, scheme)
+                index = [set(whole[i][kept[i]]) | set(less[owner == i]) for i in (0, 1)]
+                assert index[0] & index[1], (size, change, spare, doubles)
 
 
 def test_allocation_always_covers_the_budget():
