@@ -22,12 +22,13 @@ of signatures and expected collisions at its documents' number.
 Candidates never multiply within a bucket of equal signatures.  Each bucket has a hub,
 its member with the most company, and members are verified against the hub.  Two members
 that both link to the hub are connected through it.  A pair with a member that does not
-link must, if it links itself, share an n-gram among the first T + 1 (T the largest
-difference that its size allows) of the n-grams in which it differs from the hub: such
-pairs are found by an equi-join on (hub, n-gram) and verified too.  Where more than
-``FEW`` members share a deviation, they are a bucket again, with a hub of their own, lower in
-the order by which hubs are chosen, so that this ends.  So no link between different
-components is lost, while a bucket never forms more than FEW pairs a member.
+link must, if it links itself, share many of the n-grams in which the two differ from the
+hub.  With these deviations ordered by how many members of the hub have them, rarest first,
+the two share one among their first T + 1 (T the largest difference that a size allows):
+such pairs are found by an equi-join on (hub, n-gram) and verified too.  Where more than
+``FEW`` members share a deviation they are first verified against one of themselves, and
+only pairs that this does not connect are formed.  So no link between different components
+is lost.
 
 Edge cases: every row is a document, whether it shares its id or has none; a document of
 fewer than n words has its whole word sequence as one n-gram; one without words, or with
@@ -43,7 +44,7 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geosweep.llm.blocks import Block, finish, grams, pack, pair, unpack
@@ -316,41 +317,37 @@ def _members(rule: Rule, schemes: dict[int, Scheme]):
     return fn
 
 
-VERIFIED = "u long, v long, linked boolean, differ long, size long, first array<long>"
+VERIFIED = "u long, v long, linked boolean, differ long, size long, score long, deviations array<long>"
 
 
 def _verify(rule: Rule):
-    """Exact check of pairs, and v's difference from u: its size and leading n-grams, those that u lacks first."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("linked", pa.bool_()), ("differ", pa.int64()), ("size", pa.int64()), ("first", pa.list_(pa.int64()))])
+    """Exact check of pairs, and for those in company (many) all n-grams in which v differs from u."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("linked", pa.bool_()), ("differ", pa.int64()), ("size", pa.int64()), ("score", pa.int64()), ("deviations", pa.list_(pa.int64()))])
 
     def run(batches):
         sets = lru_cache(maxsize=64)(lambda value: unpack(value)[0])
         for batch in batches:
-            linked, first, differs, sizes = [], [], [], []
-            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            linked, lists, differs, sizes = [], [], [], []
+            for x, y, many in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("many").to_pylist(), strict=True):
                 x, y = sets(x), sets(y)
-                more = np.setdiff1d(y, x, assume_unique=True)
-                shared = len(y) - len(more)
-                differ = len(x) + len(y) - 2 * shared
-                linked.append(bool(rule.den * shared >= rule.num * (len(x) + len(y) - shared)))
-                differs.append(differ)
+                apart = np.setxor1d(x, y, assume_unique=True)
+                shared = (len(x) + len(y) - len(apart)) // 2
+                linked.append(bool(rule.den * shared >= rule.num * (len(apart) + shared)))
+                differs.append(len(apart))
                 sizes.append(len(y))
-                few = int(rule.reach(len(y))) + 1
-                if len(more) < few and differ > len(more):
-                    more = np.concatenate([more, np.setdiff1d(x, y, assume_unique=True)])
-                first.append(more[:few].view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(f) for f in first])]), pa.int32()), pa.array(np.concatenate([*first, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_()), pa.array(differs, pa.int64()), pa.array(sizes, pa.int64()), lists], schema=schema)
+                lists.append(apart.view(np.int64) if many else None)
+            arrays = [pa.array(linked, pa.bool_()), pa.array(differs, pa.int64()), pa.array(sizes, pa.int64()), batch.column("score"), pa.array(lists, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), *arrays], schema=schema)
 
     return run
 
 
 def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (u, v) with their check; at most 50 sets, those of hubs with 2 % of all pairs, are broadcast."""
+    """Pairs (u, v, many, score) with their check; at most 50 sets, those of hubs with 2 % of all pairs, are broadcast."""
     by_u, by_v = (heavy_keys(pairs, [c], 50) for c in "uv")
     left = split_join(pairs, sets.select(F.col("cls").alias("u"), F.col("items").alias("a")), ["u"], heavy=by_u)
     both = split_join(left, sets.select(F.col("cls").alias("v"), F.col("items").alias("b")), ["v"], heavy=by_v)
-    return both.select("u", "v", "a", "b").mapInArrow(_verify(rule), VERIFIED)
+    return both.select("u", "v", "score", "many", "a", "b").mapInArrow(_verify(rule), VERIFIED)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -371,37 +368,38 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-#: Members with a common deviation that are paired with each other; more take a hub of their own.
+#: Members with a common deviation that are paired with each other at once.
 FEW = 16
 
 
-def deviating(stars: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """Pairs (u, v) of one hub with a common deviation of which one at least does not link to the hub,
-    and, where more than FEW share the deviation, pairs (u, v, many, score) with a lower hub instead."""
-    loose_hubs = stars.where("many AND NOT linked").select("u").distinct()
-    some = stars.where("many").join(loose_hubs, "u", "left_semi")
-    deviations = some.select(F.col("u").alias("hub"), "v", "linked", "differ", "size", "score", F.posexplode("first").alias("pos", "item"))
-    keys = deviations.groupBy("hub", "item").agg(
-        F.count(F.lit(1)).alias("n"), F.max(~F.col("linked")).alias("loose"), F.max(F.struct("score", "v")).alias("top")
-    )
-    keys = keys.where("loose AND n > 1")
-    mine = written(deviations.join(keys.select("hub", "item", "n", F.col("top.v").alias("top")), ["hub", "item"]))
-    small = mine.where(F.col("n") <= FEW)
-    loose = small.where("NOT linked").select("hub", "item", *(F.col(c).alias(f"u_{c}") for c in ("v", "differ", "size", "pos")))
+def deviating(stars: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Links (u, v) between members of one hub of which one at least does not link to the hub."""
+    loose_hubs = stars.where("deviations IS NOT NULL AND NOT linked").select("u").distinct()
+    some = stars.where("deviations IS NOT NULL").join(loose_hubs, "u", "left_semi")
+    every = written(some.select(F.col("u").alias("hub"), "v", "linked", "differ", "size", "score", F.explode("deviations").alias("item")))
+    keys = every.groupBy("hub", "item").agg(F.count(F.lit(1)).alias("n"), F.max(~F.col("linked")).alias("loose"), F.max(F.struct("score", "v")).alias("top"))
+    keyed = every.join(keys.select("hub", "item", "n", "loose", F.col("top.v").alias("top")), ["hub", "item"])
+    pos = F.row_number().over(Window.partitionBy("hub", "v").orderBy("n", "item")) - 1
+    reach = (rule.den - rule.num) * (F.col("size") + F.floor(F.col("size") * rule.den / rule.num)) / (rule.den + rule.num)
+    first = keyed.withColumn("pos", pos).where((F.col("pos") <= reach) & (F.col("n") > 1) & F.col("loose"))
+    first = written(first.select("hub", "item", "v", "linked", "differ", "size", "pos", "top", (F.col("n") > FEW).alias("full")))
+
+    subs = first.where("full AND top <> v").groupBy(F.col("top").alias("u"), "v").agg(F.lit(0).cast("long").alias("score"), F.lit(False).alias("many"))
+    subs = written(verify(written(subs), sets, rule).where("linked").select("u", "v"))
+    met = subs.select(F.col("u").alias("top"), "v", F.lit(True).alias("met"))
+    first = first.join(met, ["top", "v"], "left").withColumn("met", F.col("full") & ((F.col("top") == F.col("v")) | F.coalesce("met", F.lit(False))))
+    loose = first.where("NOT linked").select("hub", "item", *(F.col(c).alias(f"u_{c}") for c in ("v", "differ", "size", "pos", "met")))
     # two differences of a linking pair share at least half of what they hold beyond the
     # allowance: their first common n-gram leaves room for that many behind it on both sides
     allowed = F.floor((rule.den - rule.num) * (F.col("size") + F.col("u_size")) / (rule.den + rule.num))
     shared = F.col("differ") + F.col("u_differ") - allowed
     room = (2 * F.col("pos") + shared <= 2 * F.col("differ")) & (2 * F.col("u_pos") + shared <= 2 * F.col("u_differ"))
     same = [F.col(f"d.{c}") == F.col(f"l.{c}") for c in ("hub", "item")]
-    near = (
-        small.alias("d")
-        .join(loose.alias("l"), same[0] & same[1] & (F.col("v") != F.col("u_v")) & (F.abs(F.col("size") - F.col("u_size")) <= allowed) & room)
-        .select(F.least("u_v", "v").alias("u"), F.greatest("u_v", "v").alias("v"))
-        .distinct()
-    )
-    lower = mine.where((F.col("n") > FEW) & (F.col("top") != F.col("v"))).groupBy(F.col("top").alias("u"), "v").agg(F.max("score").alias("score"))
-    return near, lower.select("u", "v", F.lit(True).alias("many"), "score")
+    apart = (F.col("v") != F.col("u_v")) & ~(F.col("met") & F.col("u_met")) & (F.abs(F.col("size") - F.col("u_size")) <= allowed)
+    near = first.alias("d").join(loose.alias("l"), same[0] & same[1] & apart & room)
+    near = near.select(F.least("u_v", "v").alias("u"), F.greatest("u_v", "v").alias("v")).distinct()
+    near = written(near.select("u", "v", F.lit(0).cast("long").alias("score"), F.lit(False).alias("many")))
+    return subs.unionByName(verify(near, sets, rule).where("linked").select("u", "v"))
 
 
 def linked_classes(sized: DataFrame, docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
@@ -434,15 +432,8 @@ def linked_classes(sized: DataFrame, docs: DataFrame, rule: Rule, doc_id: str, t
     # a bucket of two has no third member that either could be linked to
     alike = rule.den * F.least("size", "u_size") >= rule.num * F.greatest("size", "u_size")
     pairs = written(pairs.where(F.col("many") | alike).groupBy("u", "v").agg(F.max("many").alias("many"), F.max("score").alias("score")))
-    stars = written(verify(pairs, sets, rule).join(pairs, ["u", "v"]))
-    edges = stars.where("linked").select("u", "v")
-    while stars.where("many AND NOT linked").limit(1).count():
-        near, lower = deviating(stars, rule)
-        edges = edges.unionByName(verify(written(near), sets, rule).where("linked").select("u", "v"))
-        lower = written(lower)
-        stars = written(verify(lower, sets, rule).join(lower, ["u", "v"]))
-        edges = edges.unionByName(stars.where("linked").select("u", "v"))
-    label = components(edges)
+    stars = written(verify(pairs, sets, rule))
+    label = components(stars.where("linked").select("u", "v").unionByName(deviating(stars, sets, rule)))
     group = F.coalesce("component", "cls").alias("group")
     grouped = written(classes.join(label.withColumnRenamed("node", "cls"), "cls", "left").select(*key, "rep", group))
     least = grouped.groupBy("group").agg(F.min("rep").alias("least"))
