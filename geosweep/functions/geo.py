@@ -88,6 +88,20 @@ def iou_xyxy(ax1, ay1, ax2, ay2, bx1, by1, bx2, by2) -> Column:
     return F.when(union > 0, w * h / union).otherwise(F.lit(0.0))
 
 
+def overlap_area(ax1, ay1, ax2, ay2, bx1, by1, bx2, by2) -> Column:
+    """Area that two boxes share; null where they share none."""
+    ax1, ay1, ax2, ay2, bx1, by1, bx2, by2 = map(col, (ax1, ay1, ax2, ay2, bx1, by1, bx2, by2))
+    w, h = F.least(ax2, bx2) - F.greatest(ax1, bx1), F.least(ay2, by2) - F.greatest(ay1, by1)
+    given = bx1.isNotNull() & ax1.isNotNull()
+    return F.when(given & (w > 0) & (h > 0), w * h)
+
+
+def affine(x, y, transform: tuple[float, float, float, float, float, float]) -> tuple[Column, Column]:
+    """Map coordinates of a pixel by (x0, dx/col, dx/row, y0, dy/col, dy/row)."""
+    x0, xc, xr, y0, yc, yr = transform
+    return x0 + col(x) * xc + col(y) * xr, y0 + col(x) * yc + col(y) * yr
+
+
 def iou_cxcywh(a: list, b: list) -> Column:
     corners = lambda q: (col(q[0]) - col(q[2]) / 2, col(q[1]) - col(q[3]) / 2, col(q[0]) + col(q[2]) / 2, col(q[1]) + col(q[3]) / 2)
     return iou_xyxy(*corners(a), *corners(b))

@@ -14,22 +14,29 @@ SOURCE_PREFIXES = ("xview", "dota", "fair1m", "fmow", "rareplanes", "dior", "sod
 MISSIONS = (
     ("GPS", "navigation"), ("NAVSTAR", "navigation"), ("GALILEO", "navigation"), ("BEIDOU", "navigation"), ("GLONASS", "navigation"),
     ("NROL", "recon"), ("COSMOS", "military"), ("YAOGAN", "recon"), ("LACROSSE", "sar"), ("ONYX", "sar"), ("USA ", "military"),
-    ("SENTINEL-1", "sar"), ("SENTINEL", "earth_observation"), ("LANDSAT", "earth_observation"), ("WORLDVIEW", "commercial_imaging"),
+    ("LANDSAT", "earth_observation"), ("WORLDVIEW", "commercial_imaging"),
     ("PLEIADES", "commercial_imaging"), ("ICEYE", "sar"), ("CAPELLA", "sar"), ("NOAA", "weather"), ("METEOR", "weather"), ("METOP", "weather"),
     ("GOES", "weather"), ("STARLINK", "comms"), ("ONEWEB", "comms"), ("IRIDIUM", "comms"), ("INTELSAT", "comms"),
 )
 DOMAINS = ("GEOINT", "SIGINT", "HUMINT", "OSINT", "MASINT", "FMV", "ADMIN", "WORKFLOW")
 AFFILIATIONS = ("friend", "hostile", "neutral", "unknown")
-HELICOPTERS = "R22 R44 R66 B06 B47 B105 B212 B412 B429 A109 A139 A169 EC30 EC35 EC45 EC75 H125 H130 H145 H160 H175 H225 S70 S76 S92 AS50 BK17 CH47 UH60 AH64 Z9".split()
-TURBOPROPS = "C208 PC12 TBM7 TBM8 TBM9 AT72 AT75 AT76 DH8A DH8B DH8C DH8D B350 BE20 B190 SF34 E110 C130 A400 C295 AN12 AN26 P3 P8".split()
+HELICOPTERS = (
+    "R22", "R44", "R66", "B06", "B47", "B105", "B212", "B412", "B429", "A109", "A139", "A169", "EC30", "EC35", "EC45", "EC75", "H125", "H130", "H145",
+    "H160", "H175", "H225", "S70", "S76", "S92", "AS50", "BK17", "CH47", "UH60", "AH64", "Z9",
+)
+TURBOPROPS = (
+    "C208", "PC12", "TBM7", "TBM8", "TBM9", "AT72", "AT75", "AT76", "DH8A", "DH8B", "DH8C", "DH8D", "B350", "BE20", "B190", "SF34", "E110", "C130",
+    "A400", "C295", "AN12", "AN26", "P3", "P8",
+)
 BUSINESS_JETS = (
-    "GLF4 GLF5 GLF6 GLEX G280 C25A C25B C25C C500 C510 C525 C550 C560 C56X C650 C680 C700 C750 CL30 CL35 CL60 E55P E50P FA7X FA8X F2TH F900 LJ45 LJ60 LJ75 H25B PRM1 BE40".split()
-)
+    "GLF4", "GLF5", "GLF6", "GLEX", "G280", "C25A", "C25B", "C25C", "C500", "C510", "C525", "C550", "C560", "C56X", "C650", "C680", "C700", "C750",
+    "CL30", "CL35", "CL60", "E55P", "E50P", "FA7X", "FA8X", "F2TH", "F900", "LJ45", "LJ60", "LJ75", "H25B", "PRM1", "BE40",
+)
 AIRLINER_PREFIXES = ("A3", "A2", "B7", "E1", "E2", "E19", "CRJ", "MD", "DC")
 UPLOAD_KINDS = (
-    ("imagery", ".tif .tiff .jp2 .j2k .nc .netcdf .png .jpg .jpeg .nitf .ntf"), ("fmv", ".mp4 .mov .m4v .ts .mpeg .mpg"),
-    ("vector", ".geojson .json .kml .kmz .zip .shp .gpkg"), ("document", ".pdf .txt .csv .xlsx .docx"),
-    ("audio", ".wav .mp3 .m4a .aac .ogg .flac .amr"), ("3d", ".b3dm .i3dm .pnts .glb .gltf"),
+    ("imagery", (".tif", ".tiff", ".jp2", ".j2k", ".nc", ".netcdf", ".png", ".jpg", ".jpeg", ".nitf", ".ntf")), ("fmv", (".mp4", ".mov", ".m4v", ".ts", ".mpeg", ".mpg")),
+    ("vector", (".geojson", ".json", ".kml", ".kmz", ".zip", ".shp", ".gpkg")), ("document", (".pdf", ".txt", ".csv", ".xlsx", ".docx")),
+    ("audio", (".wav", ".mp3", ".m4a", ".aac", ".ogg", ".flac", ".amr")), ("3d", (".b3dm", ".i3dm", ".pnts", ".glb", ".gltf")),
 )
 
 
@@ -57,15 +64,16 @@ def display_class(label) -> Column:
     return F.when(text == "", "Object").otherwise(text)
 
 
-def mission(name) -> Column:
+def mission(name, first: tuple[tuple[str, str], ...] = ()) -> Column:
+    """Mission of the first token that the name holds; the caller's own tokens in ``first`` come before the list."""
     upper = F.upper(F.coalesce(col(name), F.lit("")))
-    return F.coalesce(*(F.when(F.contains(upper, F.lit(t)), F.lit(m)) for t, m in MISSIONS), F.lit("unknown"))
+    return F.coalesce(*(F.when(F.contains(upper, F.lit(t)), F.lit(m)) for t, m in (*first, *MISSIONS)), F.lit("unknown"))
 
 
 def airframe(code, category=None) -> Column:
     code, cat = F.upper(F.trim(col(code))), F.upper(F.trim(col(category))) if category is not None else F.lit(None).cast("string")
     starts = reduce(lambda a, b: a | b, (code.startswith(p) for p in AIRLINER_PREFIXES))
-    by_code = F.when(code.isin(HELICOPTERS), "heli").when(code.isin(TURBOPROPS), "turboprop").when(code.isin(BUSINESS_JETS), "bizjet").when(starts, "airliner")
+    by_code = F.when(code.isin(*HELICOPTERS), "heli").when(code.isin(*TURBOPROPS), "turboprop").when(code.isin(*BUSINESS_JETS), "bizjet").when(starts, "airliner")
     by_category = F.when(cat == "A7", "heli").when(cat == "A1", "bizjet").when(cat.isin("A3", "A4", "A5"), "airliner")
     return F.coalesce(by_code, by_category, F.lit("unknown"))
 
@@ -93,7 +101,7 @@ def affiliation(value) -> Column:
 
 def upload_kind(name) -> Column:
     suffix = F.lower(F.regexp_extract(col(name), r"\.[^.]+$", 0))
-    return F.coalesce(*(F.when(suffix.isin(s.split()), F.lit(k)) for k, s in UPLOAD_KINDS))
+    return F.coalesce(*(F.when(suffix.isin(*s), F.lit(k)) for k, s in UPLOAD_KINDS))
 
 
 def safe_filename(name) -> Column:

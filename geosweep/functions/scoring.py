@@ -14,15 +14,15 @@ FLOOR, HIGH = 0.40, 0.65
 SPECIALISTS = ("dota_obb", "sar_cfar", "mvrsd")
 OPEN_VOCABULARY = ("sam3", "yoloe")
 GENERIC = (
-    "plane ship storage_tank baseball_diamond tennis_court basketball_court ground_track_field harbor bridge large_vehicle small_vehicle helicopter roundabout "
-    "soccer_ball_field swimming_pool container_crane airport helipad"
-).split()
+    "plane", "ship", "storage_tank", "baseball_diamond", "tennis_court", "basketball_court", "ground_track_field", "harbor", "bridge",
+    "large_vehicle", "small_vehicle", "helicopter", "roundabout", "soccer_ball_field", "swimming_pool", "container_crane", "airport", "helipad",
+)
 HINTS = (
-    ("ship vessel frigate destroyer boat", ("naval", "maritime")),
-    ("jet plane aircraft helicopter", ("aircraft", "airfield", "airbase")),
-    ("tank armored infantry_fighting", ("armored", "military forces")),
-    ("rocket_launcher howitzer artillery", ("artillery", "military forces")),
-    ("truck fuel ammo ammunition", ("logistics",)),
+    (("ship", "vessel", "frigate", "destroyer", "boat"), ("naval", "maritime")),
+    (("jet", "plane", "aircraft", "helicopter"), ("aircraft", "airfield", "airbase")),
+    (("tank", "armored", "infantry_fighting"), ("armored", "military forces")),
+    (("rocket_launcher", "howitzer", "artillery"), ("artillery", "military forces")),
+    (("truck", "fuel", "ammo", "ammunition"), ("logistics",)),
 )
 LINK_WEIGHTS = {"distance": 0.30, "compatibility": 0.30, "confidence": 0.30, "history": 0.10}
 
@@ -44,7 +44,7 @@ def review_status(confidence, threshold, high: float = HIGH) -> Column:
 
 
 def label_quality(margin, source, label) -> Column:
-    generic = (F.lower(F.trim(F.coalesce(col(source), F.lit("")))) == "dota_obb") & col(label).isin(GENERIC)
+    generic = (F.lower(F.trim(F.coalesce(col(source), F.lit("")))) == "dota_obb") & col(label).isin(*GENERIC)
     return F.when(F.coalesce(col(margin), F.lit(0.0)) >= 0.10, "verified").when(generic, "generic").otherwise("inferred")
 
 
@@ -97,7 +97,7 @@ def compatibility(label, target_text) -> Column:
     shared = F.exists(F.split(words, " "), lambda w: (F.length(w) >= 4) & F.contains(text, w))
     rest, hinted = F.lit(True), F.lit(False)
     for tokens, hints in HINTS:
-        mine = reduce(lambda a, b: a | b, (F.contains(words, F.lit(t.replace("_", " "))) for t in tokens.split()))
+        mine = reduce(lambda a, b: a | b, (F.contains(words, F.lit(t.replace("_", " "))) for t in tokens))
         hinted = hinted | (rest & mine & reduce(lambda a, b: a | b, (F.contains(text, F.lit(h)) for h in hints)))
         rest = rest & ~mine
     return F.when(F.trim(text) == "", 0.40).when(shared, 1.00).when(hinted, 0.70).otherwise(0.20)

@@ -8,24 +8,52 @@ from pyspark.sql import functions as F
 from geosweep.functions import geo, scoring
 
 
+#: Score ranges by which a label's curve is dealt to tasks.
+RANGES = 4096
+
+
 def precision_recall(preds: DataFrame, truth_counts: DataFrame, label: str = "label") -> DataFrame:
-    """Running precision and recall of each label by falling score (ties by pred_id)."""
-    w = Window.partitionBy(label).orderBy(F.desc("score"), "pred_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = preds.select(label, "score", "pred_id", F.sum(F.col("is_tp").cast("long")).over(w).alias("tp"), F.count(F.lit(1)).over(w).alias("n"))
+    """Running precision and recall of each label by falling score (ties by pred_id).
+
+    Counts run within score ranges, in parallel, on top of the totals of the ranges before; only
+    those totals, at most RANGES per label, are summed in one window.
+    """
+    part = F.greatest(F.lit(-RANGES), F.least(F.lit(RANGES), F.floor(-F.col("score") * RANGES)))
+    rows = preds.select(label, "score", "pred_id", F.col("is_tp").cast("long").alias("hit"), part.alias("__part"))
+    before = Window.partitionBy(label).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(label, "__part").agg(F.sum("hit").alias("tp0"), F.count(F.lit(1)).alias("n0"))
+    totals = totals.select(label, "__part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("tp0", "n0")))
+    w = Window.partitionBy(label, "__part").orderBy(F.desc("score"), "pred_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = rows.select(label, "__part", "score", "pred_id", F.sum("hit").over(w).alias("tp"), F.count(F.lit(1)).over(w).alias("n"))
+    run = run.join(totals, [label, "__part"]).withColumn("tp", F.col("tp") + F.col("tp0")).withColumn("n", F.col("n") + F.col("n0"))
     return run.join(truth_counts, label).select(label, "pred_id", "score", (F.col("tp") / F.col("n")).alias("precision"), (F.col("tp") / F.col("n_gt")).alias("recall"), "tp", "n")
 
 
 def average_precision(curve: DataFrame, label: str = "label", points: int | None = 11) -> DataFrame:
     """AP per label: mean of the best precision at recalls 0, 0.1, ... 1, or (None) the area under the envelope."""
     if points:
-        grid = curve.sparkSession.range(points).select((F.col("id") / (points - 1)).alias("at"))
-        best = curve.select(label).distinct().crossJoin(F.broadcast(grid)).join(curve.withColumnRenamed(label, "__l"), (F.col(label) == F.col("__l")) & (F.col("recall") >= F.col("at")), "left")
-        return best.groupBy(label, "at").agg(F.coalesce(F.max("precision"), F.lit(0.0)).alias("p")).groupBy(label).agg((F.sum("p") / points).alias("ap"))
-    # the envelope from the far end is a running maximum, linear where a forward frame would be quadratic
-    after = Window.partitionBy(label).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w = Window.partitionBy(label).orderBy("n")
-    step = curve.withColumn("envelope", F.max("precision").over(after)).withColumn("gain", F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0)))
-    return step.groupBy(label).agg(F.sum(F.col("gain") * F.col("envelope")).alias("ap"))
+        # the best precision of each tenth of recall, then of all tenths from there on
+        steps = F.array(*(F.lit(k / (points - 1)) for k in range(points)))
+        reached = F.size(F.filter(steps, lambda at: F.col("recall") >= at))
+        tenth = curve.groupBy(label, reached.alias("reached")).agg(F.max("precision").alias("p"))
+        listed = tenth.groupBy(label).agg(F.collect_list(F.struct("reached", "p")).alias("best"))  # points + 1 entries at most
+        at = lambda k: F.coalesce(F.array_max(F.transform(F.filter("best", lambda b: b.reached > k), lambda b: b.p)), F.lit(0.0))
+        return listed.select(label, (sum((at(k) for k in range(1, points)), at(0)) / points).alias("ap"))
+    # only where hits are does recall grow: the envelope there, from the far end, by score ranges as above
+    part = F.greatest(F.lit(-RANGES), F.least(F.lit(RANGES), F.floor(-F.col("score") * RANGES)))
+    rows = curve.withColumn("__part", part)
+    after = Window.partitionBy(label).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy(label, "__part").agg(F.max("precision").alias("m"))
+    tops = tops.select(label, "__part", F.coalesce(F.max("m").over(after), F.lit(0.0)).alias("beyond"))
+    w = Window.partitionBy(label, "__part").orderBy(F.desc("n"))
+    envelope = F.max("precision").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # the row before in the curve has one prediction less: its hits follow from this row's own
+    step = rows.withColumn("envelope", envelope).join(tops, [label, "__part"]).withColumn("envelope", F.greatest("envelope", "beyond"))
+    hit = F.col("tp") - F.coalesce(F.lag("tp").over(Window.partitionBy(label, "__part").orderBy("n")), F.col("tp0"))
+    firsts = rows.groupBy(label, "__part").agg(F.max("tp").alias("last"))
+    base = firsts.select(label, "__part", F.coalesce(F.max("last").over(Window.partitionBy(label).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("tp0"))
+    gain = hit * F.when(F.col("tp") > 0, F.col("recall") / F.col("tp")).otherwise(F.lit(0.0))
+    return step.join(base, [label, "__part"]).withColumn("gain", gain).groupBy(label).agg(F.sum(F.col("gain") * F.col("envelope")).alias("ap"))
 
 
 def box_metrics(preds: DataFrame, truth_counts: DataFrame, label: str = "label") -> DataFrame:
@@ -66,7 +94,7 @@ def ranking_quality(ranked: DataFrame, k: int = 5) -> DataFrame:
 def regression_gate(base: DataFrame, new: DataFrame, key: str, metric: str, tolerance: float) -> DataFrame:
     """Keys whose metric fell by more than the tolerance, or vanished."""
     j = base.select(key, F.col(metric).alias("before")).join(new.select(key, F.col(metric).alias("after")), key, "left")
-    return j.where(F.coalesce(F.col("after"), F.lit(0.0)) < F.col("before") - tolerance)
+    return j.where(F.round(F.coalesce(F.col("after"), F.lit(0.0)), 9) < F.round(F.col("before") - tolerance, 9))
 
 
 def separation(vectors: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:

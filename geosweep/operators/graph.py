@@ -9,11 +9,24 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; choose one only where none is named."""
+    """Use the cluster's shared checkpoint folder; only a session on one machine may choose one where none is named."""
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="geosweep-"))
+        path, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+        if path is None and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="geosweep-"))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` from a table in the checkpoint folder: cuts lineage in one job and survives lost executors."""
+    import uuid
+
+    ensure_checkpoints(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def simple(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -45,13 +58,13 @@ def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id of each connected component, by label minimum and pointer jumps."""
     ensure_checkpoints(nodes.sparkSession)
-    links = both_ways(simple(nodes, edges)).checkpoint()
-    label = nodes.select("id", F.col("id").alias("component")).distinct().checkpoint()
+    links = both_ways(simple(nodes, edges)).transform(settled)
+    label = nodes.select("id", F.col("id").alias("component")).distinct().transform(settled)
     while True:
         near = links.join(label.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("c"))
         low = label.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("c", "component")).alias("c"))
         jump = low.join(label.select(F.col("id").alias("c"), F.col("component").alias("d")), "c", "left")
-        new = jump.select("id", F.least("c", F.coalesce("d", "c")).alias("new"), "component").checkpoint()
+        new = jump.select("id", F.least("c", F.coalesce("d", "c")).alias("new"), "component").transform(settled)
         label = new.select("id", F.col("new").alias("component"))
         if not new.where("new <> component").limit(1).count():
             return label
@@ -62,13 +75,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     ensure_checkpoints(nodes.sparkSession)
     links = both_ways(simple(nodes, edges))
     out = links.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    links = links.join(out, "src").checkpoint()
+    links = links.join(out, "src").transform(settled)
     n = nodes.count()
-    rank = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank")).checkpoint()
+    rank = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank")).transform(settled)
     for _ in range(rounds):
         sent = links.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("s"))
         loose = rank.join(out.select(F.col("src").alias("id")), "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
-        new = rank.join(sent, "id", "left").crossJoin(F.broadcast(loose)).select("id", ((1 - damping) / n + damping * (F.coalesce("s", F.lit(0.0)) + F.col("loose") / n)).alias("new"), "rank").checkpoint()
+        new = rank.join(sent, "id", "left").crossJoin(F.broadcast(loose)).select("id", ((1 - damping) / n + damping * (F.coalesce("s", F.lit(0.0)) + F.col("loose") / n)).alias("new"), "rank").transform(settled)
         rank = new.select("id", F.col("new").alias("rank"))
         if tolerance is not None and (new.agg(F.sum(F.abs(F.col("new") - F.col("rank")))).first()[0] or 0.0) < tolerance:
             break
@@ -138,16 +151,28 @@ def induced(edges: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, start, goal, max_depth: int = 8, limit: int = 10) -> DataFrame:
-    """All shortest undirected paths of up to ``max_depth`` steps, as arrays of nodes, the first ``limit`` in order."""
-    links = both_ways(edges).distinct()
-    paths = links.where(F.col("src") == F.lit(start)).select(F.array("src", "dst").alias("path"))
-    for _ in range(max_depth):
-        found = paths.where(F.element_at("path", -1) == F.lit(goal))
-        if found.limit(1).count():
+    """All shortest undirected paths of up to ``max_depth`` steps, as arrays of nodes, the first ``limit`` in order.
+
+    Breadth-first levels from the start until the goal is met, then back from the goal through
+    nodes one level lower: only nodes on shortest paths ever become part of a path.
+    """
+    ensure_checkpoints(edges.sparkSession)
+    links = both_ways(edges).distinct().transform(settled)
+    seen = links.where(F.col("src") == F.lit(start)).select(F.col("src").alias("id"), F.lit(0).alias("hop")).limit(1).transform(settled)
+    depth = 0
+    while depth < max_depth and not seen.where((F.col("id") == F.lit(goal)) & (F.col("hop") > 0)).limit(1).count():
+        depth += 1
+        front = seen.where(F.col("hop") == depth - 1).select(F.col("id").alias("src"))
+        step = links.join(front, "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+        before, seen = seen, seen.unionByName(step.select("id", F.lit(depth).alias("hop"))).transform(settled)
+        if not seen.where(F.col("hop") == depth).limit(1).count():
+            seen = before
             break
-        ends = paths.withColumn("src", F.element_at("path", -1))
-        paths = ends.join(links, "src").where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
-    return found.orderBy("path").limit(limit)
+    paths = seen.where((F.col("id") == F.lit(goal)) & (F.col("hop") > 0)).select(F.array("id").alias("path"), F.col("id").alias("src"), "hop")
+    for _ in range(depth):
+        lower = links.join(paths, "src").select("path", F.col("dst").alias("id"), (F.col("hop") - 1).alias("hop")).join(seen, ["id", "hop"])
+        paths = lower.select(F.concat(F.array("id"), "path").alias("path"), F.col("id").alias("src"), "hop")
+    return paths.where("hop = 0").select("path").orderBy("path").limit(limit)
 
 
 def common_neighbours(edges: DataFrame, block: int = 1000) -> DataFrame:
@@ -166,11 +191,11 @@ def common_neighbours(edges: DataFrame, block: int = 1000) -> DataFrame:
     return pairs.join(links.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti")
 
 
-def unlinked_pairs(nodes: DataFrame, edges: DataFrame, by: list[str], limit: int = 20_000) -> DataFrame:
-    """Pairs within each group of ``by`` that have no edge, the first ``limit`` in order (a report)."""
+def unlinked_pairs(nodes: DataFrame, edges: DataFrame, by: list[str], limit: int | None = None) -> DataFrame:
+    """Pairs within each group of ``by`` that have no edge; with ``limit`` a report of the first so many."""
     a, b = nodes.withColumnRenamed("id", "a"), nodes.withColumnRenamed("id", "b")
     have = both_ways(edges).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return a.join(b, by).where("a < b").join(have, ["a", "b"], "left_anti").orderBy("a", "b").limit(limit)
+    return a.join(b, by).where("a < b").join(have, ["a", "b"], "left_anti").transform(lambda df: df if limit is None else df.orderBy("a", "b").limit(limit))
 
 
 def z_scores(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -187,16 +212,19 @@ def merge_edges(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("src",
     return both.groupBy(*keys).agg(F.sum("seen").alias("seen"), F.max(F.struct("at", "score")).alias("m")).select(*keys, "seen", F.col("m.score").alias("score"), F.col("m.at").alias("at"))
 
 
-def closure(tree: DataFrame, root_column: str = "id", parent: str = "parent_id", max_depth: int = 16) -> DataFrame:
-    """(ancestor, id, depth) of a taxonomy, each node its own ancestor at depth 0."""
-    result = step = tree.select(F.col(root_column).alias("ancestor"), F.col(root_column).alias("id"), F.lit(0).alias("depth"))
-    children = tree.select(F.col(root_column).alias("child"), F.col(parent).alias("id"))
-    for d in range(1, max_depth + 1):
-        step = step.join(children, "id").select("ancestor", F.col("child").alias("id"), F.lit(d).alias("depth"))
+def closure(tree: DataFrame, root_column: str = "id", parent: str = "parent_id") -> DataFrame:
+    """(ancestor, id, depth) of a taxonomy of any depth, each node its own ancestor at depth 0; a cycle adds no pair twice."""
+    ensure_checkpoints(tree.sparkSession)
+    children = tree.select(F.col(root_column).alias("child"), F.col(parent).alias("id")).transform(settled)
+    result = step = tree.select(F.col(root_column).alias("ancestor"), F.col(root_column).alias("id"), F.lit(0).alias("depth")).transform(settled)
+    depth = 0
+    while True:
+        depth += 1
+        step = step.join(children, "id").select("ancestor", F.col("child").alias("id"), F.lit(depth).alias("depth")).distinct()
+        step = step.join(result, ["ancestor", "id"], "left_anti").transform(settled)
         if not step.limit(1).count():
-            break
+            return result
         result = result.unionByName(step)
-    return result
 
 
 def rank_nodes(scores: DataFrame, score: str, k: int) -> DataFrame:

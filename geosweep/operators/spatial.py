@@ -7,6 +7,8 @@ points meets.  A broadcast is taken only for a side whose row count has been che
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,62 +19,70 @@ from geosweep.functions import geo
 BROADCAST_ROWS = 20_000
 
 
-def _cells(df: DataFrame, lon: str, lat: str, metres: float, max_lat: float, spread: bool) -> DataFrame:
+def _columns(row, size_lat: float, metres: float):
+    """Number of cells in a row of latitude: each as wide as the radius at the row's far end and one row beyond."""
+    top = F.least(F.greatest(F.abs(row * size_lat), F.abs((row + 1) * size_lat)) + size_lat, F.lit(90.0))
+    share = math.sin(min(metres / (2 * geo.MEAN_RADIUS_M), math.pi / 2)) / F.greatest(F.cos(F.radians(top)), F.lit(1e-12))
+    width = F.degrees(2 * F.asin(F.least(F.lit(1.0), share * 1.01)))
+    return F.greatest(F.lit(1), F.floor(360.0 / width).cast("long"))
+
+
+def _cells(df: DataFrame, lon: str, lat: str, metres: float, spread: bool) -> DataFrame:
+    """Cell (__cx, __cy) of each row; with ``spread`` a copy for each cell that a point within the radius can be in.
+
+    Rows are as high as the radius; each has its own number of columns, which go around the globe.
+    """
     size_lat = metres / 110_000.0
-    size_lon = size_lat / max(np.cos(np.radians(min(max_lat, 89.0))), 0.01)
-    cx, cy = F.floor(F.col(lon) / size_lon), F.floor(F.col(lat) / size_lat)
+    row = F.floor(F.col(lat) / size_lat)
+
+    def column(r, shift):
+        n = _columns(r, size_lat, metres)
+        return F.pmod(F.floor((F.col(lon) + 180.0) / 360.0 * n) + shift, n)
+
     if not spread:
-        return df.withColumn("__cx", cx).withColumn("__cy", cy)
-    around = F.array(*(F.struct((cx + dx).alias("x"), (cy + dy).alias("y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
+        return df.withColumn("__cy", row).withColumn("__cx", column(row, 0))
+    around = F.array_distinct(F.array(*(F.struct(column(row + dy, dx).alias("x"), (row + dy).alias("y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
     return df.withColumn("__c", F.explode(around)).withColumn("__cx", F.col("__c.x")).withColumn("__cy", F.col("__c.y")).drop("__c")
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius, max_radius: float, model: str = "asin", max_lat: float = 80.0) -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, radius, max_radius: float, model: str = "asin") -> DataFrame:
     """Pairs within ``radius`` (a column or number, at most ``max_radius``) with distance_m.
 
-    Both sides have lon and lat; all other columns must differ in name.  Longitudes do not
-    wrap; rows beyond ``max_lat`` must not occur.
+    Both sides have lon and lat; all other columns must differ in name.
     """
     r = right.withColumnRenamed("lon", "r_lon").withColumnRenamed("lat", "r_lat")
     distance = geo.haversine("lon", "lat", "r_lon", "r_lat", model)
+    spread = _cells(r, "r_lon", "r_lat", max_radius, True)
     small = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    if small and r.limit(65).count() <= 64:
-        pairs = left.join(F.broadcast(r), geo.within_band("r_lon", "r_lat", "lon", "lat", F.lit(max_radius)))
-    else:
-        spread = _cells(r, "r_lon", "r_lat", max_radius, max_lat, True)
-        pairs = _cells(left, "lon", "lat", max_radius, max_lat, False).join(F.broadcast(spread) if small else spread, ["__cx", "__cy"]).drop("__cx", "__cy")
+    pairs = _cells(left, "lon", "lat", max_radius, False).join(F.broadcast(spread) if small else spread, ["__cx", "__cy"]).drop("__cx", "__cy")
     return pairs.withColumn("distance_m", distance).where(F.col("distance_m") <= geo.col(radius))
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, start_m: float = 1000.0, max_lat: float = 80.0, exclude_equal: bool = False) -> DataFrame:
+def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, start_m: float = 1000.0, exclude_equal: bool = False) -> DataFrame:
     """The k nearest of ``right`` for each of ``left`` (ties by right_id), by widening rings.
 
     A left row is settled by a ring once it has k neighbours within its radius; the rest
     go on with four times the radius, and beyond half the globe all that is found counts.
+    Only left rows with few neighbours near ever reach the wide rings.
     """
-    from geosweep.operators.graph import ensure_checkpoints
+    from geosweep.operators.graph import ensure_checkpoints, settled
 
     ensure_checkpoints(left.sparkSession)
     reach, todo, done = start_m, left, None
     total = right.limit(k + int(exclude_equal)).count() - int(exclude_equal)
     while True:
         last = reach > 20_100_000
-        if reach > 400_000:  # cells would span the globe: the few rows left are paired by a banded join
-            r = right.withColumnRenamed("lon", "r_lon").withColumnRenamed("lat", "r_lat")
-            pairs = todo.join(r, F.lit(True)).withColumn("distance_m", geo.haversine("lon", "lat", "r_lon", "r_lat"))
-            last = True
-        else:
-            pairs = radius_join(todo, right, reach, reach, max_lat=max_lat)
+        pairs = radius_join(todo, right, reach, reach)
         if exclude_equal:
             pairs = pairs.where(F.col(left_id) != F.col(right_id))
         w = Window.partitionBy(left_id).orderBy("distance_m", right_id)
-        ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).checkpoint()
+        ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).transform(settled)
         if last or total <= 0:
             return ranked if done is None else done.unionByName(ranked)
         full = ranked.groupBy(left_id).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min(k, total)).select(left_id)
-        settled = ranked.join(full, left_id, "left_semi")
-        done = settled if done is None else done.unionByName(settled)
-        todo = todo.join(full, left_id, "left_anti").checkpoint()
+        complete = ranked.join(full, left_id, "left_semi")
+        done = complete if done is None else done.unionByName(complete)
+        todo = todo.join(full, left_id, "left_anti").transform(settled)
         if not todo.limit(1).count():
             return done
         reach *= 4
@@ -146,12 +156,12 @@ def empty_region_graph(points: DataFrame, kind: str, max_edge_m: float | None =
     Exact for edges of any length, or up to ``max_edge_m``: points take the candidates within a radius,
     and those that could still have longer edges go on with twice the radius.
     """
-    from geosweep.operators.graph import ensure_checkpoints
+    from geosweep.operators.graph import ensure_checkpoints, settled
 
     if kind not in ("gabriel", "rng"):
         raise ValueError(f"unknown graph {kind}")
     ensure_checkpoints(points.sparkSession)
-    p = _projected(points).checkpoint()
+    p = _projected(points).transform(settled)
     low_x, high_x, low_y, high_y = p.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     span = float(np.hypot((high_x or 0) - (low_x or 0), (high_y or 0) - (low_y or 0))) * (1 + 1e-9) + 1.0
     last = span if max_edge_m is None else min(span, max_edge_m)
@@ -167,12 +177,12 @@ def empty_region_graph(points: DataFrame, kind: str, max_edge_m: float | None =
         others = b.select("*", around.alias("c")).select("b", "bx", "by", "c.cx", "c.cy")
         near = todo.withColumn("cx", ax).withColumn("cy", ay).join(others, ["cx", "cy"]).where("a <> b")
         near = near.where(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2) <= reach**2).select("a", "ax", "ay", "b", "bx", "by")
-        step = near.groupBy("a").applyInPandas(lambda rows: _empty_regions(rows, kind, reach, span), f"a {id_type}, b {id_type}, settled boolean").checkpoint()  # noqa: B023
+        step = near.groupBy("a").applyInPandas(lambda rows: _empty_regions(rows, kind, reach, span), f"a {id_type}, b {id_type}, settled boolean").transform(settled)  # noqa: B023
         edges = step.where("NOT settled").select(F.least("a", "b").alias("a_id"), F.greatest("a", "b").alias("b_id"))
         found = edges if found is None else found.unionByName(edges)
         if reach >= last:
             break
-        todo = todo.join(step.where("settled").select("a"), "a", "left_anti").checkpoint()
+        todo = todo.join(step.where("settled").select("a"), "a", "left_anti").transform(settled)
         if not todo.limit(1).count():
             break
         reach = min(2 * reach, last)
@@ -245,22 +255,32 @@ def _projected_by(points: DataFrame, key: str) -> DataFrame:
     return points.join(mean, key).select(key, "id", x.alias("x"), y.alias("y"))
 
 
-def minimum_spanning_tree(edges: DataFrame, nodes: DataFrame, weight: str = "distance_m", rounds: int = 40) -> DataFrame:
-    """Spanning forest by Boruvka rounds: each component takes its lightest outgoing edge (ties by ids)."""
-    spark = edges.sparkSession
-    from geosweep.operators.graph import components, ensure_checkpoints
-
-    ensure_checkpoints(spark)
-    edges = edges.select("a_id", "b_id", weight).checkpoint()
-    label, tree = nodes.select("id", F.col("id").alias("comp")).checkpoint(), None
-    for _ in range(rounds):
-        la, lb = label.select(F.col("id").alias("a_id"), F.col("comp").alias("ca")), label.select(F.col("id").alias("b_id"), F.col("comp").alias("cb"))
-        out = edges.join(la, "a_id").join(lb, "b_id").where("ca <> cb")
-        item = F.struct(weight, "a_id", "b_id")
-        best = out.select(F.col("ca").alias("c"), item.alias("e")).unionByName(out.select(F.col("cb").alias("c"), item.alias("e"))).groupBy("c").agg(F.min("e").alias("e"))
-        picked = best.select("e.a_id", "e.b_id", f"e.{weight}").distinct().checkpoint()
-        if not picked.limit(1).count():
-            break
+def minimum_spanning_tree(edges: DataFrame, nodes: DataFrame, weight: str = "distance_m") -> DataFrame:
+    """Spanning forest by Boruvka rounds on a contracting graph: each component takes its lightest outgoing
+    edge (ties by ids), components joined by such edges become one, and of the edges between two components
+    only the lightest goes on.  A round halves the components at least; those without edges are done.
+    """
+    from geosweep.operators.graph import ensure_checkpoints, settled
+
+    ensure_checkpoints(edges.sparkSession)
+    known = nodes.select("id")
+    edges = edges.select("a_id", "b_id", weight).join(known.withColumnRenamed("id", "a_id"), "a_id", "left_semi").join(known.withColumnRenamed("id", "b_id"), "b_id", "left_semi")
+    item = F.struct(weight, "a_id", "b_id").alias("e")
+    left, tree = edges.select(F.col("a_id").alias("ca"), F.col("b_id").alias("cb"), item).where("ca <> cb").transform(settled), None
+    while left.limit(1).count():
+        ends = left.select(F.col("ca").alias("c"), F.col("cb").alias("to"), "e").unionByName(left.select(F.col("cb").alias("c"), F.col("ca").alias("to"), "e"))
+        best = ends.groupBy("c").agg(F.min(F.struct("e", "to")).alias("m")).select("c", "m.to", "m.e").transform(settled)
+        picked = best.select("e.*").distinct()
         tree = picked if tree is None else tree.unionByName(picked)
-        label = components(nodes, tree.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))).withColumnRenamed("component", "comp").checkpoint()
+        # a component points along its edge; of two that point at each other the smaller is the root
+        back = best.select(F.col("c").alias("to"), F.col("to").alias("again"))
+        root = best.join(back, "to").select("c", F.when((F.col("again") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("up")).transform(settled)
+        while True:
+            jumped = root.join(root.select(F.col("c").alias("up"), F.col("up").alias("top")), "up").select("c", "up", "top").transform(settled)
+            root = jumped.select("c", F.col("top").alias("up"))
+            if not jumped.where("up <> top").limit(1).count():
+                break
+        at = lambda c: root.select(F.col("c").alias(c), F.col("up").alias(f"r{c}"))  # noqa: B023, E731
+        joined = left.join(at("ca"), "ca").join(at("cb"), "cb").where("rca <> rcb")
+        left = joined.groupBy(F.least("rca", "rcb").alias("ca"), F.greatest("rca", "rcb").alias("cb")).agg(F.min("e").alias("e")).transform(settled)
     return tree if tree is not None else edges.limit(0)

@@ -68,6 +68,24 @@ def grid(spark, sf):
     return d.grid_chips(p.select(F.col("p_partkey").alias("raster_id"), (1000 + F.col("p_size") * 100).alias("width"), (1500 + (F.col("p_partkey") % 7) * 300).alias("height")))
 
 
+@plan(
+    "inference_grid_budget",
+    f"""WITH r AS (SELECT p_partkey AS raster_id, 3 * {_W} AS width, 3 * (1500 + (p_partkey % 7) * 300) AS height FROM part),
+n AS (SELECT *, CASE WHEN width <= 1008 THEN 1 ELSE ceil((width - 1008) / 756.0)::INT + 1 END AS nx, CASE WHEN height <= 1008 THEN 1 ELSE ceil((height - 1008) / 756.0)::INT + 1 END AS ny FROM r),
+y AS (SELECT *, CASE WHEN nx * ny > 12 THEN greatest(1, least(ny, floor(sqrt(12.0 * ny / nx))::INT)) ELSE ny END AS wy FROM n),
+w AS (SELECT *, CASE WHEN nx * ny > 12 THEN greatest(1, least(nx, 12 // wy)) ELSE nx END AS wx FROM y),
+c AS (SELECT *, unnest(list_distinct(CASE WHEN wx >= nx THEN range(nx::BIGINT) WHEN wx <= 1 THEN [nx::BIGINT // 2] ELSE list_transform(range(wx::BIGINT), lambda k: round_even(k * (nx - 1) / (wx - 1), 0)::BIGINT) END)) AS ix FROM w),
+e AS (SELECT *, unnest(list_distinct(CASE WHEN wy >= ny THEN range(ny::BIGINT) WHEN wy <= 1 THEN [ny::BIGINT // 2] ELSE list_transform(range(wy::BIGINT), lambda k: round_even(k * (ny - 1) / (wy - 1), 0)::BIGINT) END)) AS iy FROM c),
+o AS (SELECT *, least(ix * 756, width - 1) AS rx, least(iy * 756, height - 1) AS ry FROM e)
+SELECT raster_id, ix, iy, rx - rx % 64 AS x, ry - ry % 64 AS y, least(1008 + rx % 64, width - rx + rx % 64) AS w, least(1008 + ry % 64, height - ry + ry % 64) AS h FROM o""",
+)
+def grid_budget(spark, sf):
+    """Rasters three times as large, at most twelve chips each, origins on blocks of 64 pixels."""
+    p = readers.table(spark, sf, "part")
+    rasters = p.select(F.col("p_partkey").alias("raster_id"), (3 * (1000 + F.col("p_size") * 100)).alias("width"), (3 * (1500 + (F.col("p_partkey") % 7) * 300)).alias("height"))
+    return d.grid_chips(rasters, max_chips=12, block=64)
+
+
 @plan("track_assignment")
 def assignment(spark, sf):
     """Tracks of each day to the detections of the next, for every pair of successive days.
@@ -257,17 +275,29 @@ def srt(spark, sf):
     return readers.telemetry_frames(readers.srt_samples(files), "clip_id", 30.0).select("clip_id", "frame", "t", "lat", "lon")
 
 
-@plan("stream_windowed_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
-def stream(spark, sf):
-    """A run to completion of the streaming aggregate over the event files."""
+def run_stream(spark, sf, build):
+    """A run to completion of a streaming aggregate over the event files, its table in the shared folder."""
     import uuid
 
-    from geosweep.streaming.events import windowed_counts
+    from geosweep.operators.graph import ensure_checkpoints
 
-    path = f"{sf}/events.parquet"
-    schema = spark.read.parquet(path).schema
+    ensure_checkpoints(spark)
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf)
-    name = f"counts_{uuid.uuid4().hex}"
-    query = windowed_counts(events, "ts", ["event_type"], "1 day").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    path = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    counts = build(events)
+
+    def put(batch, epoch):
+        # complete mode: each epoch holds the whole result, the last one stands
+        batch.write.mode("overwrite").parquet(f"{path}/table")
+
+    query = counts.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(counts.schema).parquet(f"{path}/table")
+
+
+@plan("stream_windowed_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream(spark, sf):
+    from geosweep.streaming.events import windowed_counts
+
+    return run_stream(spark, sf, lambda events: windowed_counts(events, "ts", ["event_type"], "1 day"))

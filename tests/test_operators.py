@@ -112,13 +112,63 @@ def test_clip_tracks(spark):
     assert {(r["det_id"] % 10, r["track"]) for r in out} == {(0, 1), (1, 2)}
 
 
-def test_grid_covers():
-    chips = detections.plan_grid(3000, 1500, 1008, 252, block=512)
+def test_grid_covers(spark):
+    rasters = spark.createDataFrame([(1, 3000, 1500), (2, 9000, 9000), (3, 500, 400)], "raster_id int, width int, height int")
     covered = np.zeros((1500, 3000), bool)
-    for c in chips:
+    for c in detections.grid_chips(rasters, block=512).where("raster_id = 1").collect():
+        assert c["x"] % 512 == c["y"] % 512 == 0
         covered[c["y"] : c["y"] + c["h"], c["x"] : c["x"] + c["w"]] = True
-    assert covered.all() and len(detections.plan_grid(9000, 9000, 1008, 252, 20)) <= 20
-    assert detections.even_sample(10, 3) == [0, 4, 9]
+    assert covered.all()
+    few = detections.grid_chips(rasters, max_chips=20).collect()
+    ranks = sorted({c["ix"] for c in few if c["raster_id"] == 2})
+    rows = sorted({c["iy"] for c in few if c["raster_id"] == 2})
+    assert ranks == [0, 3, 6, 8, 11] and rows == [0, 4, 7, 11] and sum(c["raster_id"] == 2 for c in few) == 20
+    assert sum(c["raster_id"] == 3 for c in few) == 1 and sum(c["raster_id"] == 1 for c in few) == 8
+
+
+def test_suppression_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    corner = rng.uniform(0, 1500, (300, 2))
+    box = np.hstack([corner, corner + rng.uniform(5, 200, (300, 2))])
+    i, j, iou = detections.overlapping(box, chunk=500)
+    got = {(min(a, b), max(a, b)): v for a, b, v in zip(i.tolist(), j.tolist(), iou.tolist(), strict=True)}
+    cell = np.floor((box[:, :2] + box[:, 2:]) / 2 / detections.BUCKET)
+    for a in range(300):
+        for b, v in enumerate(detections.iou_many(box[a], box)):
+            if a < b:
+                near = (abs(cell[a] - cell[b]) <= 1).all()
+                assert ((a, b) in got) == bool(v > 0 and near) and abs(got.get((a, b), v) - v) < 1e-9
+
+
+def test_cells_meet_near_poles_and_across_the_date_line(spark):
+    rng = np.random.default_rng(4)
+    lat = np.concatenate([rng.uniform(-90, 90, 200), rng.uniform(88, 90, 100), rng.uniform(-1, 1, 100)])
+    lon = np.concatenate([rng.uniform(-180, 180, 300), rng.choice([-179.9, 179.9, 180.0, -180.0], 100) + rng.uniform(-0.05, 0.05, 100)])
+    lon = (lon + 180) % 360 - 180
+    p = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(lon, lat, strict=True))], "id int, lon double, lat double")
+    phi, lam = np.radians(lat), np.radians(lon)
+    s = np.sin((phi[:, None] - phi) / 2) ** 2 + np.cos(phi)[:, None] * np.cos(phi) * np.sin((lam[:, None] - lam) / 2) ** 2
+    d = 2 * 6_371_008.8 * np.arcsin(np.minimum(1, np.sqrt(s)))
+    for metres in (30_000.0, 2_000_000.0, 15_000_000.0):
+        got = {(r["a"], r["b"]) for r in spatial.radius_join(p.withColumnRenamed("id", "a"), p.withColumnRenamed("id", "b"), metres, metres).select("a", "b").collect()}
+        assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(d <= metres), strict=True)}
+
+
+def test_spanning_tree_against_kruskal(spark):
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 60, 200), rng.integers(0, 60, 200), rng.integers(1, 9, 200), strict=True) if a != b]
+    root, want = list(range(60)), 0.0
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    n = 0
+    for a, b, w in sorted(edges, key=lambda e: (e[2], e[0], e[1])):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            want, n = want + w, n + 1
+    got = spatial.minimum_spanning_tree(spark.createDataFrame(edges, "a_id int, b_id int, distance_m double"), spark.range(60).select(F.col("id").cast("int").alias("id"))).collect()
+    assert (len(got), sum(r["distance_m"] for r in got)) == (n, want)
 
 
 def test_truth_matching_is_one_to_one(spark):
@@ -133,12 +183,20 @@ def test_gates(spark):
     assert g("infrastructure", 6000.0) == 15.0 and g("default", 6000.0) < 4_000_000 and g("ground", 0.0) == 15.0
 
 
-def test_cfar_finds_a_bright_target():
-    db = np.random.default_rng(0).normal(-15, 1, (80, 80))
+def test_cfar_finds_a_bright_target(spark):
+    db = np.random.default_rng(0).normal(-15, 1, (80, 70))
     db[40:43, 30:33] = 5
-    found = terrain.cfar(db)
-    assert found and (found[0]["x1"], found[0]["y1"]) == (30, 40) and found[0]["pixels"] == 9
-    assert terrain.cfar(np.zeros((10, 10))) == []
+    rows = [(t, r, c, float(db[r, c]) if t else 0.0) for t, h in ((1, 80), (0, 10)) for r in range(h) for c in range(70 if t else 10)]
+    tiles = spark.createDataFrame(rows, "tile int, row int, col int, db double")
+    found = terrain.cfar_tiles(tiles).orderBy(F.desc("pixels")).collect()
+    assert (found[0]["x1"], found[0]["y1"], found[0]["pixels"]) == (30, 40, 9) and {f["tile"] for f in found} == {1}
+    # z against means and deviations taken window by window
+    z = {(r["row"], r["col"]): r["z"] for r in terrain.ring_scores(tiles.where("tile = 1"), "tile", "db", 4, 20).collect()}
+    wide = np.pad(db, 20, mode="reflect")
+    for r, c in ((0, 0), (5, 69), (41, 31), (79, 3)):
+        window = wide[r : r + 41, c : c + 41].copy()
+        window[16:25, 16:25] = np.nan
+        assert abs(z[r, c] - (db[r, c] - np.nanmean(window)) / max(0.1, np.nanstd(window))) < 1e-6
 
 
 def test_labels_join_around_corners():
