@@ -10,9 +10,11 @@ passage around each hit.
 Items travel to the executors in blocks of bounded size, each block one scan; documents
 are never shuffled, and whatever a document holds, its work stays within its row.
 
-Edge cases: null or empty texts match nothing; items shorter than ``min_chars`` are left
-out, as they occur by chance; items with equal texts each match; rows that share a
-document id give one result, the nearest passage.
+Edge cases: null or empty texts match nothing; an item shorter than ``min_chars``, which
+occurs within other text by chance, matches a whole line that equals it (the whole text, if
+it is one word); items with equal texts each match, those without an id are reported as one; rows that share a document id
+give one result, the nearest passage.  The stage judges every row by itself, whether it
+shares its id or has none.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geosweep.llm.frames import table
+from geosweep.llm.frames import table, written
 
 MAX_ERROR = 0.08
 MIN_CHARS = 24
@@ -66,11 +68,14 @@ def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], max_error: float):
+    def __init__(self, items: list[tuple[int, str]], max_error: float, min_chars: int):
         import ahocorasick
 
-        self.items, owners = {}, {}
+        self.items, self.short, owners = {}, {}, {}
         for n, (item_id, text) in enumerate(items):
+            if len(text) < min_chars:
+                self.short.setdefault(text, []).append(item_id)
+                continue
             k, cut = pieces(text, max_error)
             masks: dict[str, int] = {}
             for i, c in enumerate(text):
@@ -85,8 +90,21 @@ class Matcher:
             self.automaton.make_automaton()
         self.some = bool(owners)
 
+    def _lines(self, text: str) -> Iterator[tuple[int, int, int]]:
+        end, seen = 0, set()
+        for line in text.split("\n"):
+            end += len(line) + 1
+            line = normal(line)
+            # one word makes a line by chance too: it has to be the whole text
+            if line in self.short and line not in seen and (" " in line or line == normal(text)):
+                seen.add(line)
+                stop = len(normal(text[: end - 1]))
+                yield from ((item_id, 0, stop) for item_id in self.short[line])
+
     def match(self, text: str) -> Iterator[tuple[int, int, int]]:
         """(item id, edits, end of the passage) of every item that the text holds."""
+        if self.short:
+            yield from self._lines(text or "")
         text = normal(text)
         if not text or not self.some:
             return
@@ -109,8 +127,8 @@ class Matcher:
 
 
 @functools.lru_cache(maxsize=1)
-def _matcher(items: tuple, max_error: float) -> Matcher:
-    return Matcher(list(items), max_error)
+def _matcher(items: tuple, max_error: float, min_chars: int) -> Matcher:
+    return Matcher(list(items), max_error, min_chars)
 
 
 def decontaminate(
@@ -133,11 +151,11 @@ def decontaminate(
     found = None
     for b in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(n_blocks)) == b).collect()
-        own = tuple(sorted((r["item_id"], s) for r in rows if r["item_id"] is not None and len(s := normal(r["t"])) >= min_chars))
+        own = tuple(sorted(((r["item_id"], s) for r in rows if (s := normal(r["t"]))), key=lambda i: (i[0] is None, i[0] or 0, i[1])))
         shared = spark.sparkContext.broadcast(own)
 
         def run(batches, shared=shared):
-            matcher = _matcher(shared.value, max_error)
+            matcher = _matcher(shared.value, max_error, min_chars)
             for batch in batches:
                 ids, texts = batch.column("__id"), batch.column("__text")
                 at, made = [], []
@@ -163,8 +181,11 @@ def decontaminate(
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    hits = decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64(F.col("text").cast("string")).cast("string"))
+    hits = decontaminate(docs.select(key.alias("row"), "text"), table(spark, sf_dir, "benchmark"), "row")
+    # written, so that the planner knows its size and sends it round only while it is small
+    hits = written(hits.select(F.col("row").alias("__row")).distinct())
+    return docs.withColumn("__row", key).join(hits, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,11 +63,14 @@ def map_blocks(
 
     keep = [c for c in keep if c not in schema.fieldNames()]
     out = T.StructType([docs.schema[c] for c in keep] + list(schema.fields))
-    reads = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    label = "__text"
+    while label in keep:
+        label += "_"
+    reads = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(label))
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, block in blocks(batches, text="__text"):
+        for part, block in blocks(batches, text=label):
             made = fn(part, block)
             columns = [part.column(c) for c in keep]
             columns += [x if isinstance(x, pa.Array) else pa.array(x) for x in (made[f.name] for f in schema.fields)]

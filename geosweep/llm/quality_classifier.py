@@ -146,7 +146,10 @@ def fold(doc_id: str, n: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: int = 5, doc_id: str = "doc_id", text: str = "text") -> Forest:
-    """Fit on at most ``max_rows`` labelled documents outside fold 0 (in order of an id hash)."""
+    """Fit on at most ``max_rows`` labelled documents outside fold 0 (in order of an id hash).
+
+    Of several texts of one id that of least statistics counts, so that the model can be made again.
+    """
     chosen = (
         labels.where(F.col("quality").isNotNull() & F.col(doc_id).isNotNull() & (fold(doc_id, folds) != 0))
         .groupBy(F.col(doc_id).alias("__id"))
@@ -162,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: i
         x = features(block)
         return {"__x": pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.float32).reshape(-1)), x.shape[1]).cast(pa.list_(pa.float32()))}
 
-    rows = map_blocks(known, statistics, schema, ["__id", "__y"], text).dropDuplicates(["__id"]).toArrow().sort_by("__id")
+    rows = map_blocks(known, statistics, schema, ["__id", "__y"], text).groupBy("__id").agg(F.min("__x").alias("__x"), F.min("__y").alias("__y")).toArrow().sort_by("__id")
     x = np.asarray(rows.column("__x").combine_chunks().flatten(), float)
     return fit(x.reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 1)), np.asarray(rows.column("__y"), float))
 

@@ -213,11 +213,21 @@ def _distinct(buf: np.ndarray, start: np.ndarray, end: np.ndarray):
     return first, back
 
 
-def segment(lattice: Lattice, buf: np.ndarray, starts: np.ndarray, nbest: int):
+def _deviating(ids: np.ndarray, start: int, end: int, changes: list) -> np.ndarray:
+    """ids[start:end] with the ids of some chunks, (from, to, new ids) in order, exchanged."""
+    parts, at = [], start
+    for a, b, new in changes:
+        parts += [ids[at:a], np.array(new, np.int32)]
+        at = b
+    return np.concatenate([*parts, ids[at:end]]).astype(np.int32)
+
+
+def segment(lattice: Lattice, buf: np.ndarray, starts: np.ndarray, nbest: int, others: list | None = None):
     """Documents (spans of ``buf`` from each start to the next) to ids and n-best scores.
 
     Flat ids, their offsets per document, and a (documents x nbest) array of scores with
-    nan where a text has fewer segmentations.
+    nan where a text has fewer segmentations.  ``others`` takes, per document, the ids of the
+    segmentations after the best.
     """
     inner = _tables(lattice)[0]
     cut = np.zeros(len(buf) + 1, bool)
@@ -277,20 +287,23 @@ def segment(lattice: Lattice, buf: np.ndarray, starts: np.ndarray, nbest: int):
         rank = rank[(nth < nbest - 1) & np.isfinite(loss[back][rank])]
         groups = np.searchsorted(doc[rank], np.arange(len(starts)))
         for d in range(len(starts) - 1):
-            losses = [0.0]
-            for c in rank[groups[d] : groups[d + 1]]:
-                u = int(back[c])
-                top = hypotheses(u)
-                losses = heapq.nsmallest(nbest, (x + top[0][0] - s for x in losses for s, _ in top))
-            scores[d, : len(losses)] = scores[d, 0] - np.array(losses)
+            # a hypothesis is its loss and the chunks in which it deviates, each with the rank taken there
+            best_of = [(0.0, ())]
+            for c in rank[groups[d] : groups[d + 1]].tolist():
+                top = hypotheses(int(back[c]))
+                step = ((x + top[0][0] - s, (*taken, (c, r)) if r else taken) for x, taken in best_of for r, (s, _) in enumerate(top))
+                best_of = heapq.nsmallest(nbest, step)
+            scores[d, : len(best_of)] = scores[d, 0] - np.array([x for x, _ in best_of])
+            if others is not None:
+                others.append([_deviating(ids, int(offsets[d]), int(offsets[d + 1]), [(int(ends[c] - n[c]), int(ends[c]), hypotheses(int(back[c]))[r][1]) for c, r in sorted(taken)]) for _, taken in best_of[1:]])
     return ids, offsets, scores
 
 
 FIELDS = {
     "n_bytes": T.LongType(), "n_pieces": T.LongType(), "score": T.DoubleType(), "nbest_scores": T.ArrayType(T.DoubleType()),
-    "ids": T.ArrayType(T.IntegerType()), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType(), "round_trip": T.BooleanType(),
+    "ids": T.ArrayType(T.IntegerType()), "nbest_ids": T.ArrayType(T.ArrayType(T.IntegerType())), "nbest_sha256": T.ArrayType(T.StringType()), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType(), "round_trip": T.BooleanType(),
 }
-DIGESTS = ["n_bytes", "n_pieces", "score", "nbest_scores", "ids_sha256", "decoded_sha256", "round_trip"]
+DIGESTS = ["n_bytes", "n_pieces", "score", "nbest_scores", "nbest_sha256", "ids_sha256", "decoded_sha256", "round_trip"]
 
 
 def _bytes_of(lattice: Lattice):
@@ -306,12 +319,22 @@ def encode_block(lattice: Lattice, block: Block, nbest: int, want: list[str]) ->
     buf = np.empty(len(block.buf), np.uint8)
     buf[1:] = block.buf[:-1]
     buf[block.offsets[:-1]] = 0x20
-    ids, offsets, scores = segment(lattice, buf, block.offsets, nbest)
+    listed = {"nbest_ids", "nbest_sha256"} & set(want)
+    others: list | None = [] if listed else None
+    ids, offsets, scores = segment(lattice, buf, block.offsets, nbest, others)
     out: dict[str, object] = {"n_bytes": np.diff(block.offsets) - 1, "n_pieces": np.diff(offsets), "score": scores[:, 0]}
     have = ~np.isnan(scores)
     out["nbest_scores"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(have.sum(axis=1))]), pa.int32()), pa.array(scores[have]))
     if "ids" in want:
         out["ids"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+    if listed:
+        every = [[ids[a:b].astype(np.int32), *(others[d] if others else ())] for d, (a, b) in enumerate(zip(offsets, offsets[1:], strict=False))]
+        if "nbest_ids" in want:
+            flat = [x for doc in every for x in doc]
+            inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, flat)]), pa.int32()), pa.array(np.concatenate([*flat, np.zeros(0, np.int32)])))
+            out["nbest_ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, every)]), pa.int32()), inner)
+        if "nbest_sha256" in want:
+            out["nbest_sha256"] = [[hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in doc] for doc in every]
     if "ids_sha256" in want:
         data = memoryview(ids.astype("<i4").tobytes())
         out["ids_sha256"] = [hashlib.sha256(data[4 * a : 4 * b]).hexdigest() for a, b in zip(offsets, offsets[1:], strict=False)]

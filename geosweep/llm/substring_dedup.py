@@ -21,7 +21,8 @@ Hot passages: a bucket sends each name and each digest once however often it hol
 no reducer gets more than one entry per bucket for it.
 
 Edge cases: null text has no words; documents under ``window`` words lose none; rows
-without an id come after all others, and rows that share one are ordered by input.
+without an id come after all others, and rows that share one, or have none, are ordered by
+their text within a bucket and by bucket otherwise, so every pass sees one order.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ class _Bucket:
     """A bucket's documents in the order that decides which window is earlier."""
 
     def __init__(self, rows: pa.Table):
-        rows = rows.take(pa.compute.sort_indices(rows, [("__id", "ascending")], null_placement="at_end"))
+        rows = rows.take(pa.compute.sort_indices(rows, [("__id", "ascending"), ("__text", "ascending")], null_placement="at_end"))
         self.ids = rows.column("__id").combine_chunks()
         if isinstance(self.ids, pa.ChunkedArray):
             self.ids = pa.concat_arrays(self.ids.chunks) if self.ids.num_chunks else pa.array([], pa.int64())
@@ -187,6 +188,7 @@ def later_windows(asked: pa.Table) -> pa.Table:
     """Reply to each request: places of its windows that also start earlier elsewhere."""
     if asked.column("__r")[0].as_py() < 0:  # what a bucket knows by itself goes back to it
         return asked.select(REQUEST_ARROW.names)
+    asked = asked.take(pa.compute.sort_indices(asked, [("__b", "ascending")]))  # ties go to the lower bucket
     parts_ = [unpack(v) for v in asked.column("__v").to_pylist()]
     hi, lo, doc, at = (np.concatenate([p[i] for p in parts_]) for i in range(4))
     order = np.lexsort((at, doc, lo, hi))

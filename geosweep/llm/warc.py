@@ -25,10 +25,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geosweep.llm.frames import shared_dir, split_join, table, written
+from geosweep.llm.frames import MOST_PARTITIONS, shared_dir, split_join, table, written
 
 CHUNK = 1 << 20
 MIN_REVISIT = 100
@@ -145,7 +145,8 @@ def write_archives(chunks: DataFrame, folder: str | None = None) -> tuple[str, D
 
 
 def _line(stream: io.BufferedReader) -> bytes:
-    return stream.readline(1 << 16).rstrip(b"\r\n")
+    """A header line, however long: it holds a URI or an id, never payload."""
+    return stream.readline().rstrip(b"\r\n")
 
 
 def records(stream: io.BufferedReader, chunk: int = CHUNK) -> Iterator[dict]:
@@ -165,7 +166,7 @@ def records(stream: io.BufferedReader, chunk: int = CHUNK) -> Iterator[dict]:
         left = int(fields["content-length"])
         http = {}
         if fields.get("content-type", "").startswith("application/http"):
-            while line := stream.readline(1 << 16):
+            while line := stream.readline():
                 left -= len(line)
                 name, _, value = line.decode("latin-1").partition(":")
                 http[name.strip().lower()] = value.strip()
@@ -216,10 +217,9 @@ def read_archives(files: DataFrame, chunk: int = CHUNK, with_data: bool = True)
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    # a number for each path deals the archives evenly
-    n = max(1, files.count())
-    dealt = files.select("path", F.row_number().over(Window.orderBy("path")).alias("k")) if n <= 4096 else files.select("path", F.xxhash64("path").alias("k"))
-    return dealt.repartitionByRange(min(n, 4096), "k").select("path").mapInArrow(run, READ)
+    # ranges of a hash deal the archives evenly, at most so many at once
+    n = min(max(1, files.count()), MOST_PARTITIONS)
+    return files.select("path", F.xxhash64("path").alias("k")).repartitionByRange(n, "k").select("path").mapInArrow(run, READ)
 
 
 def payloads(chunks: DataFrame) -> DataFrame:

@@ -215,6 +215,49 @@ def test_decontaminate(spark):
     assert {(r["doc_id"], r["item_id"]): r["edits"] for r in small.collect()} == got
 
 
+def test_short_items_and_rows_without_an_id(spark, tmp_path):
+    item = "Which gas do plants take in from the air around them when they grow"
+    items = spark.createDataFrame([(1, item), (2, "short one"), (None, "another long enough question without an id"), (3, "Yes")], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "a\n Short  ONE \nb"), (2, "a short one within a line"), (None, "see: " + item), (None, "clean"), (5, item), (5, "clean too"), (6, "another long enough question without an id"), (7, None), (8, "yes"), (9, "no\nyes\nno")]
+    docs_ = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, row string")
+    got = {(r["doc_id"], r["item_id"]): (r["edits"], r["passage_end"]) for r in decontaminate.decontaminate(docs_, items).collect()}
+    assert got == {(1, 2): (0, 11), (None, 1): (0, 5 + len(item)), (5, 1): (0, len(item)), (6, None): (0, len(rows[6][1])), (8, 3): (0, 3)}
+    left = decontaminate.stage(spark, docs_, str(tmp_path))
+    assert left.columns == docs_.columns and sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([rows[1], rows[3], rows[5], rows[7], rows[9]], key=str)
+
+
+def test_repeated_and_missing_ids_keep_one_order(spark):
+    """Whatever the shuffle, the same words go; rows that share an id are ordered by text."""
+    rnd = random.Random(8)
+    passage = [f"p{k}" for k in range(30)]
+    rows = [(i, " ".join([f"{rnd.random()}", *passage, f"{rnd.random()}"])) for i in (4, 4, None, None, None, 9)]
+    got = []
+    for n in (1, 3, 7):
+        out = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(n, F.rand(n)))
+        got.append(sorted(map(str, out.collect())))
+        assert sorted(r["n_removed"] for r in out.collect()) == [0, 30, 30, 30, 30, 30]
+    assert got[0] == got[1] == got[2]
+
+
+def test_long_texts_and_clashing_columns(spark):
+    """A text of a megabyte and input columns named like results, through every operator on documents."""
+    rnd = random.Random(12)
+    long = " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 9))) for _ in range(180_000))
+    rows = [(1, long, 7), (2, long + " end", 7), (3, "", 7), (4, None, 7)]
+    clash = ["score", "n_words", "held_out", "component_id", "n_shingles", "edits", "kept", "ids", "n_removed", "n_dropped", "row", "group"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score int").select("*", *(F.lit(0).alias(c) for c in clash[1:]))
+    labels_ = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, score int")
+    items = spark.createDataFrame([(9, long[500_000:500_120], 0)], "item_id long, text string, edits int")
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(df).collect()} == {1: 0, 2: 180_000, 3: 0, 4: 0}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_join(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r["doc_id"]: r["n_tokens"] for r in lm_scoring.lm_scores(df).collect()} == {1: 180_001, 2: 180_002, 3: 1, 4: 1}
+    assert quality_classifier.score(df, quality_classifier.train(df, labels_)).where("score BETWEEN 0 AND 1").count() == 4
+    assert line_dedup.line_dedup(df).count() == 4 and quality_rules.quality_rules(df).where("n_words = 180000 OR n_words = 180001").count() == 2
+    assert {(r["doc_id"], r["edits"]) for r in decontaminate.decontaminate(df, items).collect()} == {(1, 0), (2, 0)}
+    assert sentencepiece_nbest.encode(df, ["score", "round_trip"]).where("round_trip").count() == 4
+
+
 def test_myers_against_dynamic_programming():
     rnd = random.Random(2)
     for _ in range(200):
@@ -315,8 +358,15 @@ def test_sentencepiece(spark):
 
     texts = ["", None, "hello", "the cat", "é▁\n", " a", "x" * 60, "word " * 40, "tab\tand 漢字 😀"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    rows = sentencepiece_nbest.decode(sentencepiece_nbest.encode(df, ["n_pieces", "score", "nbest_scores", "ids", "round_trip"], ["doc_id"])).collect()
+    rows = sentencepiece_nbest.decode(sentencepiece_nbest.encode(df, ["n_pieces", "score", "nbest_scores", "ids", "nbest_ids", "round_trip"], ["doc_id"])).collect()
+    score_of = {}
+    for edges in (lattice.edges(bytes(range(256))), *(lattice.edges((" " + (t or "")).encode()) for t in texts)):
+        score_of.update({i: s for at in edges for _, i, s in at})
     for r in rows:
+        # N different segmentations, each of the whole text, with the scores that were given
+        assert r["nbest_ids"][0] == r["ids"] and len({tuple(x) for x in r["nbest_ids"]}) == len(r["nbest_ids"]) == len(r["nbest_scores"])
+        assert all(lattice.decode(x).decode() == (texts[r["doc_id"]] or "") for x in r["nbest_ids"])
+        assert np.allclose([sum(score_of[i] for i in x) for x in r["nbest_ids"]], r["nbest_scores"])
         text = texts[r["doc_id"]] or ""
         assert r["round_trip"] and r["decoded_text"] == text and r["n_pieces"] == len(r["ids"]) and r["nbest_scores"] == sorted(r["nbest_scores"], reverse=True)
         if len(text.encode()) < 10:
