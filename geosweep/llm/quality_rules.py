@@ -1,8 +1,10 @@
 """Quality rules by line-first cleaning.
 
-Every line is judged by itself on three rules, failing lines are taken out, and a
-document that loses too large a share of its words that way is rejected, as is one
-that fails the document-level base rules.
+Every line is judged by itself, failing lines are taken out, and a document that loses
+too large a share of its words that way is rejected, as is one that fails the
+document-level base rules.  A line fails by punctuation (as many symbols as half its
+words), as navigation (a bar of separators, a list of links), or as boilerplate (a short
+line with a phrase of page furniture, in English, German, French or Spanish).
 
 Edge cases: null text counts as empty text; a document without words fails the base
 rule on length; every row gives one row, so repeated rows give repeated results; an
@@ -19,7 +21,7 @@ from pyspark.sql import types as T
 from geosweep.llm.blocks import Block, finish, grams, pair, span_hashes
 from geosweep.llm.frames import map_blocks, table
 
-#: Phrases that mark a line as page furniture (lower case).
+#: Phrases that mark a line as page furniture (lower case), in four languages.
 BOILERPLATE = (
     "accept all cookies",
     "all rights reserved",
@@ -31,10 +33,36 @@ BOILERPLATE = (
     "terms of service",
     "terms of use",
     "we use cookies",
+    "alle cookies akzeptieren",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "klicken sie hier",
+    "nutzungsbedingungen",
+    "wir verwenden cookies",
+    "zum inhalt springen",
+    "accepter tous les cookies",
+    "aller au contenu",
+    "cliquez ici pour",
+    "conditions d'utilisation",
+    "mentions légales",
+    "nous utilisons des cookies",
+    "politique de confidentialité",
+    "tous droits réservés",
+    "aceptar todas las cookies",
+    "condiciones de uso",
+    "haga clic aquí",
+    "política de privacidad",
+    "saltar al contenido",
+    "todos los derechos reservados",
+    "utilizamos cookies",
 )
-#: Marks of the punctuation rule, and separators of navigation bars.
+#: Symbols of the punctuation rule, separators of navigation bars, and how the
+#: words of a list of links begin.
 MARKS = "!#$%&*<>@^_{}~"
-SEPARATORS = "|"
+SEPARATORS = ("|", "›", "•", "→")
+LINKS = ("http://", "https://", "www.")
+#: A line of more words that holds a phrase is prose about it.
+FURNITURE_WORDS = 40
 WINDOW = 8
 
 MEASURES = T.StructType(
@@ -50,6 +78,16 @@ def _in(buf: np.ndarray, chars: str) -> np.ndarray:
     return table_[buf]
 
 
+def _hits(low: bytes, phrase: str) -> np.ndarray:
+    """Where ``phrase`` begins in the text."""
+    mark, hits = phrase.encode(), []
+    hit = low.find(mark)
+    while hit >= 0:
+        hits.append(hit)
+        hit = low.find(mark, hit + len(mark))
+    return np.array(hits, np.int64)
+
+
 def _sums(flags: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
 
@@ -87,16 +125,20 @@ def measure(block: Block, window: int = WINDOW, max_loss: float = 0.5, text_out:
     np.add.at(cover, at[twice] + window, -1)
     n_repeat = np.bincount(block.word_doc[np.cumsum(cover[:-1]) > 0], minlength=block.n_docs)
 
-    # rules of a line: symbol-laden, navigation bar, page furniture
-    marks, bars = _sums(_in(buf, MARKS)), _sums(_in(buf, SEPARATORS))
-    marks, bars = marks[end] - marks[start], bars[end] - bars[start]
-    failed = (line_words > 0) & ((2 * marks >= line_words) & (marks >= 2) | (3 * bars >= line_words) & (bars >= 2))
-    low = buf.tobytes().lower()
+    # rules of a line: symbol-laden, navigation bar, links, page furniture
+    low = buf.tobytes().lower()  # A-Z alone
+    marks = _sums(_in(buf, MARKS))
+    marks = marks[end] - marks[start]
+    bars = sum(np.bincount(np.searchsorted(end, _hits(low, mark)), minlength=len(end)) for mark in SEPARATORS)
+    begins = np.concatenate([_hits(low, mark) for mark in LINKS])
+    begins = begins[np.isin(begins, block.start)] if len(begins) else begins
+    links = np.bincount(np.searchsorted(end, begins), minlength=len(end))
+    failed = (2 * marks >= line_words) & (marks >= 2)
+    failed |= (3 * bars >= line_words) & (bars >= 2) | (2 * links >= line_words) & (links >= 2)
+    failed &= line_words > 0
     for phrase in BOILERPLATE:
-        hit = low.find(phrase.encode())
-        while hit >= 0:
-            failed[np.searchsorted(end, hit)] = True
-            hit = low.find(phrase.encode(), hit + 1)
+        at = np.searchsorted(end, _hits(low, phrase))
+        failed[at[line_words[at] <= FURNITURE_WORDS]] = True
     removed = np.bincount(line_doc, weights=line_words * failed, minlength=block.n_docs).astype(np.int64)
 
     base_failed = (n_words < 20) | (100 * n_repeat > 30 * n_words)
@@ -136,7 +178,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-_PHRASES = " OR ".join(f"contains(low, '{p}')" for p in BOILERPLATE)
+_ASCII_LOWER = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PHRASES = " OR ".join("contains(low, '{}')".format(p.replace("'", "''")) for p in BOILERPLATE)
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
@@ -145,10 +188,13 @@ g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') AS gram
 r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
 rw AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM r) GROUP BY 1),
 l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d),
-l1 AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS lw, lower(line) AS low,
-       len(regexp_extract_all(line, '[!#$%&*<>@^_{{}}~]')) AS marks, len(regexp_extract_all(line, '[|]')) AS bars,
+l1 AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS lw, {_ASCII_LOWER} AS low,
+       len(regexp_extract_all(line, '[!#$%&*<>@^_{{}}~]')) AS marks,
+       len(regexp_extract_all(line, '[{"".join(SEPARATORS)}]')) AS bars,
+       len(regexp_extract_all(low, '(^|[\x20\x09-\x0D])(https?://|www[.])')) AS links,
        row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS nth FROM l0),
-l2 AS (SELECT *, (lw > 0 AND ((2 * marks >= lw AND marks >= 2) OR (3 * bars >= lw AND bars >= 2))) OR {_PHRASES} AS failed FROM l1),
+l2 AS (SELECT *, (lw > 0 AND ((2 * marks >= lw AND marks >= 2) OR (3 * bars >= lw AND bars >= 2)
+       OR (2 * links >= lw AND links >= 2))) OR (lw <= {FURNITURE_WORDS} AND ({_PHRASES})) AS failed FROM l1),
 l AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE failed) AS n_failed_lines,
       coalesce(sum(lw) FILTER (WHERE failed), 0) AS removed, count(*) FILTER (WHERE nth > 1 AND lw > 0) AS n_dup FROM l2 GROUP BY 1),
 m AS (SELECT d.doc_id, len(w.w)::BIGINT AS n_words,

@@ -341,6 +341,18 @@ def test_quality_rules(spark, docs):
         assert r["n_dup_lines"] == sum(1 for k, x in enumerate(lines) if WORD.search(x) and x in lines[:k])
 
 
+def test_quality_rules_of_each_line(spark):
+    prose = " ".join(f"word{k}" for k in range(79))
+    lines = {
+        "alle Rechte vorbehalten": True, "TOUS DROITS réservés": True, "Haga clic aquí para seguir": True, "Conditions d'utilisation": True,
+        "Inicio › Noticias › Deportes": True, "a 1 › b 2 c 3 d 4 e 5 f 6": False, "see https://a.org and WWW.B.org": True, "xhttp://a yhttp://b": False,
+        prose: False, prose + " privacy policy.": False, "": False, "### $$$ word": True,
+    }
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_failed_lines"] == 1 for r in quality_rules.quality_rules(rows).collect()}
+    assert {line: got[i] for i, line in enumerate(lines)} == lines
+
+
 def test_sentencepiece(spark):
     lattice = sentencepiece_nbest.Lattice.load(sentencepiece_nbest.MODEL)
 
