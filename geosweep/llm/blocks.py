@@ -24,7 +24,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _PIECE = 1 << 20
 #: Bytes of text handled at once; bounds the numpy temporaries of a Python worker.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 @functools.cache
