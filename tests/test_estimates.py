@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from geosweep.operators import estimates as est
+from geosweep.operators import tracking
 
 
 def test_utm_known_points(spark):
@@ -57,3 +58,14 @@ def test_labels_and_identities(spark):
     scores = spark.createDataFrame([(1, 9, 0.9), (1, 8, 0.9), (1, 7, 0.1), (1, 6, 0.05), (2, 5, 0.84)], "item int, c int, s double")
     got = {(r["item"], r["c"]): (r["rank"], r["status"]) for r in est.identified(scores, "item", "c", "s").collect()}
     assert got == {(1, 8): (1, "auto_applied"), (1, 9): (2, "pending"), (1, 7): (3, "pending"), (2, 5): (1, "pending")}
+
+
+def test_states_of_tracks(spark):
+    cases = [("air", 0.2, None), ("air", 21.0, None), ("air", 21.0, " GROUND "), ("rail", 99.0, None), ("maritime", None, ""), (None, 1.0, None)]
+    rows = spark.createDataFrame(cases, "category string, speed double, given string").withColumn("state", tracking.state("category", "speed", "given"))
+    radius = tracking.gate("category", F.lit(5.0), F.lit(0.0), F.lit(10.0), "state")
+    got = [tuple(r) for r in rows.select("state", tracking.speed_limit("category", "state"), tracking.noise("category", "state"), F.round(radius, 6)).collect()]
+    assert [g[0] for g in got] == ["stationary", "airborne", "ground", "default", "default", "default"]
+    assert [g[1] for g in got] == [1.0, 300.0, 14.0, 16.0, 16.0, 16.0] and [g[2] for g in got] == [0.1, 10.0, 1.5, 2.0, 1.0, 2.0]
+    # three sigmas where the state is slow, travel where it is fast
+    assert got[0][3] == round(3 * math.sqrt(25 + 25), 6) and got[1][3] == 3750.0
