@@ -7,6 +7,11 @@ Aho-Corasick automaton finds all pieces of all items in one scan of a document,
 Myers' bit-parallel algorithm gives the exact edit distance of the item to the best
 passage around each hit.
 
+A hit is verified in steps: the pigeonhole holds at every level when a stretch with budget
+b is halved into stretches with budgets that sum to b - 1, so the stretch of two pieces
+around a hit has to be within its own small budget before the next larger one is aligned,
+and the whole item last.  A chance hit costs some twenty characters, and no match is lost.
+
 Items travel to the executors in blocks of bounded size, each block one scan; documents
 are never shuffled, and whatever a document holds, its work stays within its row.
 
@@ -45,12 +50,31 @@ def pieces(item: str, max_error: float) -> tuple[int, list[tuple[int, str]]]:
     return k, [(a, item[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
 
 
-def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
-    """Least edit distance of the pattern to any substring of ``text``, and where that ends."""
+def stretches(k: int) -> list[list[tuple[int, int]]]:
+    """For each of k + 1 pieces the nested stretches (first piece, budget) to verify, smallest first."""
+    found: list[list[tuple[int, int]]] = [[] for _ in range(k + 1)]
+
+    def halve(first: int, budget: int) -> None:
+        if budget:
+            left = (budget - 1) // 2
+            halve(first, left)
+            halve(first + left + 1, budget - 1 - left)
+            for piece in range(first, first + budget + 1):
+                found[piece].append((first, budget))
+
+    halve(0, k)
+    return found
+
+
+def myers(masks: dict[str, int], m: int, text: str, skip: int = 0) -> tuple[int, int]:
+    """Least edit distance of the pattern to any substring of ``text``, and where that ends.
+
+    The pattern is the m characters after the first ``skip`` that the masks were made of.
+    """
     full, top = (1 << m) - 1, 1 << (m - 1)
     plus, minus, score, best, at = full, 0, m, m, 0
     for j, c in enumerate(text):
-        eq = masks.get(c, 0)
+        eq = masks.get(c, 0) >> skip & full
         vertical = eq | minus
         diagonal = (((eq & plus) + plus) ^ plus) | eq
         up = minus | (~(diagonal | plus) & full)
@@ -80,9 +104,11 @@ class Matcher:
             masks: dict[str, int] = {}
             for i, c in enumerate(text):
                 masks[c] = masks.get(c, 0) | 1 << i
+            bounds = [offset for offset, _ in cut] + [len(text)]
             self.items[n] = (item_id, len(text), k, masks)
-            for offset, piece in cut:
-                owners.setdefault(piece, []).append((n, offset))
+            for (offset, piece), levels in zip(cut, stretches(k), strict=True):
+                inner = [(bounds[a], bounds[a + b + 1] - bounds[a], b) for a, b in levels[:-1]]
+                owners.setdefault(piece, []).append((n, offset, inner))
         self.automaton = ahocorasick.Automaton()
         for piece, owner in owners.items():
             self.automaton.add_word(piece, (len(piece), owner))
@@ -111,12 +137,14 @@ class Matcher:
         best: dict[int, tuple[int, int]] = {}
         tried: dict[int, int] = {}
         for end, (size, owners) in self.automaton.iter(text):
-            for n, offset in owners:
+            for n, offset, inner in owners:
                 item_id, m, k, masks = self.items[n]
                 begin = end + 1 - size - offset
                 # the same alignment by another piece, or nothing left to better
                 if n in tried and begin == tried[n] or n in best and best[n][0] == 0:
                     continue
+                if any(myers(masks, m_, text[max(0, begin + a - b) : begin + a + m_ + b], a)[0] > b for a, m_, b in inner):
+                    continue
                 tried[n] = begin
                 low = max(0, begin - k)
                 distance, stop = myers(masks, m, text[low : begin + m + k])

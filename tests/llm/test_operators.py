@@ -215,6 +215,36 @@ def test_decontaminate(spark):
     assert {(r["doc_id"], r["item_id"]): r["edits"] for r in small.collect()} == got
 
 
+@pytest.mark.parametrize("max_error", [0.08, 0.2])
+def test_piece_search_finds_all_that_brute_force_finds(max_error):
+    """Edited copies of items in random text: the same items at the same distances as aligning all of the text."""
+    rnd = random.Random(6)
+    draw = lambda n: "".join(rnd.choice("abcd e") for _ in range(n))
+    items = [(n, decontaminate.normal("x" + draw(rnd.randint(30, 70)) + "y")) for n in range(8)]
+    matcher, found = decontaminate.Matcher(items, max_error, 24), 0
+    for _ in range(120):
+        copy = list(rnd.choice(items)[1])
+        for _ in range(rnd.randint(0, 10)):
+            at = rnd.randrange(len(copy))
+            copy[at : at + rnd.randint(0, 2)] = draw(rnd.randint(0, 2))
+        text = decontaminate.normal(draw(rnd.randint(0, 60)) + "".join(copy) + draw(rnd.randint(0, 60)))
+        want = {}
+        for n, item in items:
+            masks = {}
+            for i, c in enumerate(item):
+                masks[c] = masks.get(c, 0) | 1 << i
+            edits = decontaminate.myers(masks, len(item), text)[0]
+            if edits <= math.floor(max_error * len(item)):
+                want[n] = edits
+        assert {n: edits for n, edits, _ in matcher.match(text)} == want
+        found += len(want)
+    assert found > 30
+    for k in range(40):
+        levels = decontaminate.stretches(k)
+        assert len(levels) == k + 1 and all(x[-1:] == ([(0, k)] if k else []) for x in levels)
+        assert all(a <= piece <= a + b for piece, x in enumerate(levels) for a, b in x)
+
+
 def test_short_items_and_rows_without_an_id(spark, tmp_path):
     item = "Which gas do plants take in from the air around them when they grow"
     items = spark.createDataFrame([(1, item), (2, "short one"), (None, "another long enough question without an id"), (3, "Yes")], "item_id long, text string")
