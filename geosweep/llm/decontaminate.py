@@ -10,7 +10,9 @@ passage around each hit.
 A hit is verified in steps: the pigeonhole holds at every level when a stretch with budget
 b is halved into stretches with budgets that sum to b - 1, so the stretch of two pieces
 around a hit has to be within its own small budget before the next larger one is aligned,
-and the whole item last.  A chance hit costs some twenty characters, and no match is lost.
+and the whole item last.  Before the first alignment, what lies beside the hit in its
+smallest stretch is cut once more into its budget plus one parts, one of which has to be
+there.  So a chance hit costs a few substring tests, and no match is lost.
 
 Items travel to the executors in blocks of bounded size, each block one scan; documents
 are never shuffled, and whatever a document holds, its work stays within its row.
@@ -91,6 +93,17 @@ def myers(masks: dict[str, int], m: int, text: str, skip: int = 0) -> tuple[int,
     return best, at
 
 
+def beside(item: str, bounds: list[int], piece: int, levels: list[tuple[int, int]]) -> tuple[int, int, list[str]]:
+    """Where in the item the rest of a piece's smallest stretch may begin and end, and parts of it of which one is whole."""
+    if not levels:
+        return 0, 0, []
+    first, b = levels[0]
+    # the piece is one end of that stretch
+    low, high = (bounds[piece + 1], bounds[first + b + 1]) if piece == first else (bounds[first], bounds[piece])
+    cut = [low + (high - low) * i // (b + 1) for i in range(b + 2)]
+    return low - b, high + b, [item[x:y] for x, y in zip(cut, cut[1:], strict=False)]
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], max_error: float, min_chars: int):
         import ahocorasick
@@ -106,9 +119,9 @@ class Matcher:
                 masks[c] = masks.get(c, 0) | 1 << i
             bounds = [offset for offset, _ in cut] + [len(text)]
             self.items[n] = (item_id, len(text), k, masks)
-            for (offset, piece), levels in zip(cut, stretches(k), strict=True):
+            for i, ((offset, piece), levels) in enumerate(zip(cut, stretches(k), strict=True)):
                 inner = [(bounds[a], bounds[a + b + 1] - bounds[a], b) for a, b in levels[:-1]]
-                owners.setdefault(piece, []).append((n, offset, inner))
+                owners.setdefault(piece, []).append((n, offset, beside(text, bounds, i, levels), inner))
         self.automaton = ahocorasick.Automaton()
         for piece, owner in owners.items():
             self.automaton.add_word(piece, (len(piece), owner))
@@ -137,12 +150,16 @@ class Matcher:
         best: dict[int, tuple[int, int]] = {}
         tried: dict[int, int] = {}
         for end, (size, owners) in self.automaton.iter(text):
-            for n, offset, inner in owners:
+            for n, offset, (left, right, parts), inner in owners:
                 item_id, m, k, masks = self.items[n]
                 begin = end + 1 - size - offset
                 # the same alignment by another piece, or nothing left to better
                 if n in tried and begin == tried[n] or n in best and best[n][0] == 0:
                     continue
+                if parts:
+                    near = text[max(0, begin + left) : max(0, begin + right)]
+                    if not any(part in near for part in parts):
+                        continue
                 if any(myers(masks, m_, text[max(0, begin + a - b) : begin + a + m_ + b], a)[0] > b for a, m_, b in inner):
                     continue
                 tried[n] = begin
