@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from geosweep.llm.frames import table, written
 
-MAX_ERROR = 0.08
+MAX_ERROR = 0.12
 MIN_CHARS = 24
 BLOCK_CHARS = 4 << 20
 

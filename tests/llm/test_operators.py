@@ -245,6 +245,18 @@ def test_piece_search_finds_all_that_brute_force_finds(max_error):
         assert all(a <= piece <= a + b for piece, x in enumerate(levels) for a, b in x)
 
 
+def test_a_replaced_word_is_within_the_budget():
+    """In an item of 85 characters, any word of up to ten letters may be another one."""
+    item = "which substance carries most of the oxygen that reaches muscle tissue during activity"
+    matcher = decontaminate.Matcher([(1, item)], decontaminate.MAX_ERROR, decontaminate.MIN_CHARS)
+    assert len(item) == 85 and not list(matcher.match("a text of its own about oxygen and muscle tissue, and which substance reaches it"))
+    words = item.split()
+    for k in range(len(words)):
+        for other in ("haemoglobe", "zinc"):
+            copy = " ".join([*words[:k], other, *words[k + 1 :]])
+            assert [h[0] for h in matcher.match(f"Q: {copy}? A: none")] == [1], copy
+
+
 def test_short_items_and_rows_without_an_id(spark, tmp_path):
     item = "Which gas do plants take in from the air around them when they grow"
     items = spark.createDataFrame([(1, item), (2, "short one"), (None, "another long enough question without an id"), (3, "Yes")], "item_id long, text string")
