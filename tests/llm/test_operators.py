@@ -334,6 +334,54 @@ def test_lm_scores(spark, docs):
     assert lm_scoring.lm_scores(empty(spark)).count() == 0
 
 
+def test_lm_scores_against_a_model_in_dictionaries(spark):
+    """Interpolated scores of a small corpus, with counts, deletion and expectation-maximisation done word by word."""
+    rows = [(i, t) for i, t in corpus(11, 200) if i is not None]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 10
+    tokens = lambda t: ["<s>", *WORD.findall((t or "").translate(FOLD)), "</s>"]
+    one, two, own_one, own_two = Counter(), Counter(), Counter(), Counter()
+    for i, t in rows:
+        w = tokens(t)
+        for counts, grams in ((one, w), (two, list(zip(w, w[1:], strict=False)))):
+            if fold(i):
+                counts.update(grams)
+            if fold(i) == 1:
+                (own_one if counts is one else own_two).update(grams)
+    vocabulary = set(one) - {"<s>"}
+    n, held_n, v = sum(one[x] for x in vocabulary), sum(own_one[x] for x in vocabulary), len(vocabulary)
+
+    def parts(h, w, deleted):
+        less = 1 if deleted else 0
+        context = one[h] - less * own_one[h]
+        return int(math.log2(context + 1)), [1 / (v + 1), (one[w] - less * own_one[w]) / (n - less * held_n), (two[h, w] - less * own_two[h, w]) / max(context, 1)]
+
+    held = [parts(h, w, True) for i, t in rows if fold(i) == 1 for h, w in zip(tokens(t), tokens(t)[1:], strict=False)]
+    weights = {b: [1 / 3] * 3 for b in range(lm_scoring.BUCKETS)}
+    for _ in range(15):
+        used = {b: [0.0] * 3 for b in weights}
+        for b, f in held:
+            total = sum(x * y for x, y in zip(weights[b], f, strict=True))
+            used[b] = [u + x * y / total for u, x, y in zip(used[b], weights[b], f, strict=True)]
+        new = {b: [x / sum(u) for x in u] if sum(u) else [1 / 3] * 3 for b, u in used.items()}
+        moved = max(abs(x - y) for b in new for x, y in zip(new[b], weights[b], strict=True))
+        weights = new
+        if moved < 1e-4:
+            break
+    want = {}
+    for i, t in rows:
+        w, total = tokens(t), 0.0
+        for h, x in zip(w, w[1:], strict=False):
+            b, f = parts(h, x, False)
+            total += math.log10(sum(p * q for p, q in zip(weights[b], f, strict=True)))
+        want[i] = total
+    got = lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert held and len(got) == len(rows)
+    assert all(math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-6, abs_tol=1e-9) for r in got)
+    for h in ("<s>", *sorted(vocabulary - {"</s>"})):  # a distribution over the vocabulary and one unknown word
+        b, _ = parts(h, "unknown word", False)
+        assert math.isclose(sum(sum(p * q for p, q in zip(weights[b], parts(h, w, False)[1], strict=True)) for w in (*vocabulary, "unknown word")), 1)
+
+
 def test_expectation_maximisation_recovers_weights():
     rng = np.random.default_rng(0)
     f = np.stack([np.full(4000, 0.01), rng.uniform(0.01, 0.1, 4000), np.where(rng.random(4000) < 0.6, 0.5, 0.0)])
