@@ -7,7 +7,21 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from geosweep.llm import decontaminate, jaccard_join, line_dedup, lm_scoring, quality_classifier, quality_rules, sentencepiece_nbest, substring_dedup, url_filters, warc
+from geosweep.llm import (
+    decontaminate,
+    importance,
+    jaccard_join,
+    line_dedup,
+    lm_scoring,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    sentencepiece_nbest,
+    substring_dedup,
+    url_filters,
+    vector_codes,
+    warc,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +36,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": jaccard_join.query,
         "op9_decontaminate": decontaminate.query,
         "op10_warc": warc.query,
+        "op11_secret_scan": secret_scan.query,
+        "op12_vector_codes": vector_codes.query,
+        "op13_importance": importance.query,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -33,4 +50,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_line_dedup": line_dedup.ORACLE,
         "op7_quality_rules": quality_rules.ORACLE,
         "op10_warc": warc.ORACLE,
+        "op12_vector_codes": vector_codes.ORACLE,
     }
