@@ -192,16 +192,18 @@ def empty_region_graph(points: DataFrame, kind: str, max_edge_m: float | None =
 
 
 def smallest_containing(points: DataFrame, areas: DataFrame, point_id: str, value: str) -> DataFrame:
-    """For each point the value of the smallest area whose ring holds it (ties by value); null without one.
+    """For each point the value of the smallest area that holds it (ties by value); null without one.
 
-    Areas have ring, an array of (x, y); they meet points through their bounding boxes.
+    Areas have ring, an array of (x, y), or rings, an outer one and its holes; they may be concave, and
+    meet points through a cover of cells (``polygons``).
     """
-    bounds = areas.select(
-        "ring", value, F.round(geo.ring_area("ring"), 9).alias("__area"),
-        *(fn(F.col(f"ring.{c}")).alias(f"__{n}{c}") for c in ("x", "y") for n, fn in (("lo", F.array_min), ("hi", F.array_max))),
-    )
-    inside = points.join(bounds, F.col("lon").between(F.col("__lox"), F.col("__hix")) & F.col("lat").between(F.col("__loy"), F.col("__hiy"))).where(geo.point_in_ring("lon", "lat", "ring"))
-    best = inside.groupBy(point_id).agg(F.min(F.struct("__area", value)).getField(value).alias(value))
+    from geosweep.operators import polygons
+
+    rings = F.col("rings") if "rings" in areas.columns else polygons.as_rings("ring")
+    size = F.aggregate(F.transform(rings, lambda r: geo.ring_area(r)), F.lit(None).cast("double"), lambda a, x: F.coalesce(a - x, x))
+    known = areas.select(F.struct(F.round(size, 9).alias("area"), F.col(value)).alias("__area"), rings.alias("__rings"))
+    inside = polygons.contained(points.select(point_id, "lon", "lat"), polygons.cover(known, "__area", "__rings"))
+    best = inside.groupBy(point_id).agg(F.min("__area").getField(value).alias(value))
     return points.join(best, point_id, "left")
 
 

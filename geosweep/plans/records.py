@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from geosweep.functions import geo, labels, scoring
 from geosweep.operators import graph as g
+from geosweep.operators import polygons, spatial
 from geosweep.operators import records as rec
 from geosweep.operators import tracking
 from geosweep.operators.spatial import radius_join
-from geosweep.plans.domain import BOXES, DET, POINTS, SITES, boxes, detections, hav, sites, track_points
+from geosweep.plans.domain import BOXES, DET, POINTS, SITES, boxes, detections, hav, place, place_sql, sites, track_points
 from geosweep.sources import readers
 from geosweep.sources.readers import table
 
@@ -386,21 +387,71 @@ _AREAS = "a AS (SELECT n_name, 54.00037::DOUBLE + (n_nationkey % 5) * 0.2::DOUBL
     f"""WITH {DET}, {_AREAS} SELECT n_name, count(DISTINCT id) AS frames FROM det JOIN a ON greatest(abs(lon - cx) - 0.013, 0) + greatest(abs(lat - cy) - 0.013, 0) <= h GROUP BY n_name""",
 )
 def frames_over_areas(spark, sf):
-    """Distinct frames whose footprint meets each area: bounding boxes first, then the exact rings."""
+    """Distinct frames whose footprint meets each area."""
     from geosweep.plans.analytics import _nation_areas
 
-    f = detections(spark, sf).select("id", "lon", "lat", rec.box_ring(F.col("lon") - 0.013, F.col("lat") - 0.013, F.col("lon") + 0.013, F.col("lat") + 0.013).alias("foot"))
-    a = _nation_areas(spark, sf).select("n_name", "ring", *(fn(F.col(f"ring.{c}")).alias(f"{n}{c}") for c in "xy" for n, fn in (("lo", F.array_min), ("hi", F.array_max))))
-    near = f.join(a, (F.col("lon") + 0.013 >= F.col("lox")) & (F.col("lon") - 0.013 <= F.col("hix")) & (F.col("lat") + 0.013 >= F.col("loy")) & (F.col("lat") - 0.013 <= F.col("hiy")))
-    return near.where(rec.rings_meet("foot", "ring")).groupBy("n_name").agg(F.count_distinct("id").alias("frames"))
+    f = detections(spark, sf).select("id", rec.box_ring(F.col("lon") - 0.013, F.col("lat") - 0.013, F.col("lon") + 0.013, F.col("lat") + 0.013).alias("foot"))
+    cells = polygons.cover(_nation_areas(spark, sf).select("n_name", polygons.as_rings("ring").alias("rings")), "n_name")
+    return polygons.overlapping(f, "id", "foot", cells).groupBy("n_name").agg(F.count("id").alias("frames"))
+
+
+# angular areas around every site, with a notch and a hole
+_CORNERS = ((0, -1.0, -1.0), (0, 1.0, -1.0), (0, 1.0, -0.2), (0, -0.2, -0.2), (0, -0.2, 1.0), (0, -1.0, 1.0), (1, -0.8, -0.8), (1, -0.5, -0.8), (1, -0.5, -0.5), (1, -0.8, -0.5))
+_REACH = "0.01237::DOUBLE + (site_id % 5) * 0.013::DOUBLE"
+_NOTCHED = f"""{SITES}, corner AS (SELECT * FROM (VALUES {', '.join(f'({i}, {h}, {x}::DOUBLE, {y}::DOUBLE)' for i, (h, x, y) in enumerate(_CORNERS))}) t(i, hole, dx, dy)),
+v AS (SELECT site_id, i, hole, lon + dx * ({_REACH}) AS x, lat + dy * ({_REACH}) AS y FROM sites, corner),
+side AS (SELECT site_id, x AS ax, y AS ay, coalesce(lead(x) OVER w, first_value(x) OVER w) AS bx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS b_y FROM v WINDOW w AS (PARTITION BY site_id, hole ORDER BY i))"""
+
+
+def _notched(spark, sf):
+    reach = F.lit(0.01237) + (F.col("site_id") % 5) * F.lit(0.013)
+    ring = lambda h: F.array(*(F.struct((F.col("lon") + dx * reach).alias("x"), (F.col("lat") + dy * reach).alias("y")) for hole, dx, dy in _CORNERS if hole == h))
+    return sites(spark, sf).select("site_id", F.array(ring(0), ring(1)).alias("rings"))
+
+
+@plan(
+    "points_in_notched_areas",
+    f"""WITH {DET}, {_NOTCHED}, inside AS (SELECT id, site_id FROM det JOIN side ON (ay > lat) <> (b_y > lat) AND lon < (bx - ax) * (lat - ay) / (b_y - ay) + ax GROUP BY id, site_id HAVING count(*) % 2 = 1)
+SELECT site_id, count(*) AS n, min(id) AS first, max(id) AS last FROM inside GROUP BY site_id""",
+)
+def points_in_notched_areas(spark, sf):
+    """Points within concave areas with holes, by area."""
+    inside = polygons.contained(detections(spark, sf).select("id", "lon", "lat"), polygons.cover(_notched(spark, sf), "site_id"))
+    return inside.groupBy("site_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
+@plan(
+    "country_of_point",
+    f"""WITH {DET}, {_NOTCHED}, inside AS (SELECT id, site_id FROM det JOIN side ON (ay > lat) <> (b_y > lat) AND lon < (bx - ax) * (lat - ay) / (b_y - ay) + ax GROUP BY id, site_id HAVING count(*) % 2 = 1)
+SELECT id, (SELECT min((site_id % 5, site_id)) FROM inside WHERE inside.id = det.id)[2] AS site_id FROM det""",
+)
+def country_of_point(spark, sf):
+    """The smallest of the concave areas that hold a point."""
+    return spatial.smallest_containing(detections(spark, sf).select("id", "lon", "lat"), _notched(spark, sf), "id", "site_id").select("id", "site_id")
+
+
+@plan(
+    "areas_that_overlap",
+    f"""WITH {_NOTCHED}, box AS (SELECT p_partkey AS part_id, x, y, x + 0.003 * (1 + p_partkey % 4) AS x2, y + 0.004::DOUBLE AS y2 FROM (SELECT p_partkey, {place_sql('p_partkey', 61, 17).replace('AS lon', 'AS x').replace('AS lat', 'AS y')} FROM part)),
+cut AS (SELECT DISTINCT part_id, site_id FROM box JOIN side ON greatest(ax, bx) >= x AND least(ax, bx) <= x2 AND greatest(ay, b_y) >= y AND least(ay, b_y) <= y2),
+held AS (SELECT part_id, site_id FROM box JOIN side ON (ay > y) <> (b_y > y) AND x < (bx - ax) * (y - ay) / (b_y - ay) + ax GROUP BY part_id, site_id HAVING count(*) % 2 = 1)
+SELECT site_id, count(*) AS n FROM (SELECT * FROM cut UNION SELECT * FROM held) GROUP BY site_id""",
+)
+def areas_that_overlap(spark, sf):
+    """Footprints of parts that share a point with each concave area: its sides are upright, so that SQL can test them by intervals."""
+    lon, lat = place("p_partkey", 61, 17)
+    foot = rec.box_ring(lon, lat, lon + F.lit(0.003) * (1 + F.col("p_partkey") % 4), lat + 0.004)
+    pairs = polygons.overlapping(table(spark, sf, "part").select("p_partkey", foot.alias("foot")), "p_partkey", "foot", polygons.cover(_notched(spark, sf), "site_id"))
+    return pairs.groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @plan("areas_in_view", f"WITH {_AREAS} SELECT n_name FROM a WHERE greatest(54.25 - cx, cx - 54.55, 0) + greatest(24.15 - cy, cy - 24.45, 0) <= h")
 def areas_in_view(spark, sf):
     from geosweep.plans.analytics import _nation_areas
 
-    view = rec.box_ring(F.lit(54.25), F.lit(24.15), F.lit(54.55), F.lit(24.45))
-    return _nation_areas(spark, sf).where(rec.rings_meet("ring", view)).select("n_name")
+    view = spark.range(1).select("id", rec.box_ring(F.lit(54.25), F.lit(24.15), F.lit(54.55), F.lit(24.45)).alias("ring"))
+    cells = polygons.cover(_nation_areas(spark, sf).select("n_name", polygons.as_rings("ring").alias("rings")), "n_name")
+    return polygons.overlapping(view, "id", "ring", cells).select("n_name")
 
 
 @plan(
