@@ -17,9 +17,12 @@ there.  So a chance hit costs a few substring tests, and no match is lost.
 Items travel to the executors in blocks of bounded size, each block one scan; documents
 are never shuffled, and whatever a document holds, its work stays within its row.
 
-Edge cases: null or empty texts match nothing; an item shorter than ``min_chars``, which
-occurs within other text by chance, matches a whole line that equals it (the whole text, if
-it is one word); items with equal texts each match, those without an id are reported as one; rows that share a document id
+An item shorter than ``min_chars`` has too small a budget to be told from chance: it matches
+without edits, by the caller's rule ``short``: "anywhere" at word bounds; "phrases", the same for
+items of two words and more, while one word, which nearly every text may hold, has to be the whole
+text; or "lines", as a whole line (one word as the whole text).
+
+Edge cases: null or empty texts match nothing; items with equal texts each match, those without an id are reported as one; rows that share a document id
 give one result, the nearest passage.  The stage judges every row by itself, whether it
 shares its id or has none.
 """
@@ -105,13 +108,19 @@ def beside(item: str, bounds: list[int], piece: int, levels: list[tuple[int, int
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], max_error: float, min_chars: int):
+    def __init__(self, items: list[tuple[int, str]], max_error: float, min_chars: int, short: str = "phrases"):
         import ahocorasick
 
+        if short not in ("anywhere", "phrases", "lines"):
+            raise ValueError(f"unknown rule {short}")
         self.items, self.short, owners = {}, {}, {}
         for n, (item_id, text) in enumerate(items):
             if len(text) < min_chars:
-                self.short.setdefault(text, []).append(item_id)
+                if short == "lines" or short == "phrases" and " " not in text:
+                    self.short.setdefault(text, []).append(item_id)
+                else:  # one piece without a budget
+                    self.items[n] = (item_id, len(text), None, None)
+                    owners.setdefault(text, []).append((n, 0, (0, 0, []), []))
                 continue
             k, cut = pieces(text, max_error)
             masks: dict[str, int] = {}
@@ -153,6 +162,10 @@ class Matcher:
             for n, offset, (left, right, parts), inner in owners:
                 item_id, m, k, masks = self.items[n]
                 begin = end + 1 - size - offset
+                if k is None:
+                    if n not in best and not (text[max(0, begin - 1) : begin].isalnum() and text[begin].isalnum()) and not (text[end].isalnum() and text[end + 1 : end + 2].isalnum()):
+                        best[n] = (0, end + 1)
+                    continue
                 # the same alignment by another piece, or nothing left to better
                 if n in tried and begin == tried[n] or n in best and best[n][0] == 0:
                     continue
@@ -172,8 +185,8 @@ class Matcher:
 
 
 @functools.lru_cache(maxsize=1)
-def _matcher(items: tuple, max_error: float, min_chars: int) -> Matcher:
-    return Matcher(list(items), max_error, min_chars)
+def _matcher(items: tuple, max_error: float, min_chars: int, short: str) -> Matcher:
+    return Matcher(list(items), max_error, min_chars, short)
 
 
 def decontaminate(
@@ -184,6 +197,7 @@ def decontaminate(
     max_error: float = MAX_ERROR,
     min_chars: int = MIN_CHARS,
     block_chars: int = BLOCK_CHARS,
+    short: str = "phrases",
 ) -> DataFrame:
     """(doc_id, item_id, edits, passage_end) for each document and item that it holds within the budget."""
     spark = docs.sparkSession
@@ -200,7 +214,7 @@ def decontaminate(
         shared = spark.sparkContext.broadcast(own)
 
         def run(batches, shared=shared):
-            matcher = _matcher(shared.value, max_error, min_chars)
+            matcher = _matcher(shared.value, max_error, min_chars, short)
             for batch in batches:
                 ids, texts = batch.column("__id"), batch.column("__text")
                 at, made = [], []

@@ -9,7 +9,8 @@ model has all counts.
 1. Documents are packed to compressed blocks in the shared folder, once.
 2. Each block asks reducers, by n-gram hash, for the counts of all its distinct n-grams,
    giving its own; the replies carry total and held-out counts (no dictionary travels).
-3. EM passes over the held-out blocks' counts; 60-odd sums come back per pass.
+3. EM passes over the held-out blocks' counts, until a pass gains less than ``TOLERANCE`` of likelihood a
+   token, however many that takes (no pass loses any, so it ends); 60-odd sums come back per pass.
 4. Blocks meet their replies once more and score their documents.
 
 Hot n-grams: a block sends an n-gram once, so a reducer gets one entry per block for it.
@@ -31,6 +32,8 @@ from geosweep.llm.frames import REQUEST, REQUEST_ARROW, in_order, partitions, re
 BUCKETS = 21
 END, START = np.uint64(0x656E64), np.uint64(0x73746172)
 PACK_BYTES = 6 << 20
+#: EM ends when a pass makes the held-out tokens more likely by less than this (nats a token).
+TOLERANCE = 1e-5
 #: n-gram hashes keep 56 bits: a share of 10**-4 of keys meets another at 10**13 n-grams
 _KEY = ~np.uint64(0xFF)
 
@@ -170,11 +173,12 @@ def components(both, context, word, n: float, v: float) -> np.ndarray:
     return np.stack([np.full(len(word), 1 / (v + 1)), word / max(n, 1), both / np.maximum(context, 1)])
 
 
-def expectation(weights: np.ndarray, bucket: np.ndarray, f: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """Expected use of each component by bucket."""
+def expectation(weights: np.ndarray, bucket: np.ndarray, f: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected use of each component by bucket, and the log-likelihood by bucket."""
     share = weights[bucket].T * f
-    share *= times / share.sum(axis=0)
-    return np.stack([np.bincount(bucket, weights=s, minlength=BUCKETS) for s in share], axis=1)
+    total = share.sum(axis=0)
+    share *= times / total
+    return np.stack([np.bincount(bucket, weights=s, minlength=BUCKETS) for s in share], axis=1), np.bincount(bucket, weights=times * np.log(total), minlength=BUCKETS)
 
 
 def maximisation(used: np.ndarray) -> np.ndarray:
@@ -186,31 +190,32 @@ def _meet(packed: DataFrame, replies: DataFrame, n: int, fn, schema) -> DataFram
     return packed.repartition(n, "__b").groupBy("__b").cogroup(replies.repartition(n, "__b").groupBy("__b")).applyInArrow(fn, schema)
 
 
-def learn(held: DataFrame, n: float, v: float, rounds: int = 15, tolerance: float = 1e-4) -> np.ndarray:
+def learn(held: DataFrame, n: float, v: float, tolerance: float = TOLERANCE) -> np.ndarray:
     """Weights by bucket from a table of packed (bucket, bigram, context, unigram, times) counts."""
-    weights = np.full((BUCKETS, 3), 1 / 3)
-    names = ["bucket", "u0", "u1", "u2"]
+    weights, last = np.full((BUCKETS, 3), 1 / 3), -np.inf
+    names = ["bucket", "u0", "u1", "u2", "likelihood"]
 
-    for _ in range(rounds):
+    while True:
 
         def run(batches, weights=weights):
-            used = np.zeros((BUCKETS, 3))
+            used, likely = np.zeros((BUCKETS, 3)), np.zeros(BUCKETS)
             for batch in batches:
                 for value in batch.column("__v").to_pylist():
                     both, context, word, times = (x.astype(np.float64) for x in unpack(value))
-                    used += expectation(weights, bucket_of(context), components(both, context, word, n, v), times)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), *(pa.array(np.ascontiguousarray(c)) for c in used.T)], names=names)
-
-        rows = held.mapInArrow(run, "bucket long, u0 double, u1 double, u2 double").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names[1:]]).collect()
-        used = np.zeros((BUCKETS, 3))
-        for r in rows:
-            used[r["bucket"]] = [r[c] for c in names[1:]]
-        new = maximisation(used)
-        done = np.abs(new - weights).max() < tolerance
-        weights = new
-        if done:
-            break
-    return weights
+                    more, gain = expectation(weights, bucket_of(context), components(both, context, word, n, v), times)
+                    used += more
+                    likely += gain
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), *(pa.array(np.ascontiguousarray(c)) for c in used.T), pa.array(likely)], names=names)
+
+        rows = held.mapInArrow(run, "bucket long, u0 double, u1 double, u2 double, likelihood double").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names[1:]]).collect()
+        used, likely = np.zeros((BUCKETS, 3)), 0.0
+        for r in sorted(rows):
+            used[r["bucket"]] = [r[c] for c in names[1:4]]
+            likely += r["likelihood"]
+        weights = maximisation(used)
+        if not likely - last > tolerance * used.sum():
+            return weights
+        last = likely
 
 
 def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

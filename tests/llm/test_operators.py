@@ -263,10 +263,25 @@ def test_short_items_and_rows_without_an_id(spark, tmp_path):
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
     rows = [(1, "a\n Short  ONE \nb"), (2, "a short one within a line"), (None, "see: " + item), (None, "clean"), (5, item), (5, "clean too"), (6, "another long enough question without an id"), (7, None), (8, "yes"), (9, "no\nyes\nno")]
     docs_ = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, row string")
-    got = {(r["doc_id"], r["item_id"]): (r["edits"], r["passage_end"]) for r in decontaminate.decontaminate(docs_, items).collect()}
-    assert got == {(1, 2): (0, 11), (None, 1): (0, 5 + len(item)), (5, 1): (0, len(item)), (6, None): (0, len(rows[6][1])), (8, 3): (0, 3)}
+    found = lambda short: {(r["doc_id"], r["item_id"]): (r["edits"], r["passage_end"]) for r in decontaminate.decontaminate(docs_, items, short=short).collect()}
+    by_line = {(1, 2): (0, 11), (None, 1): (0, 5 + len(item)), (5, 1): (0, len(item)), (6, None): (0, len(rows[6][1])), (8, 3): (0, 3)}
+    assert found("lines") == by_line
+    assert found("phrases") == by_line | {(2, 2): (0, 11)}
+    assert found("anywhere") == by_line | {(2, 2): (0, 11), (9, 3): (0, 6)}
     left = decontaminate.stage(spark, docs_, str(tmp_path))
-    assert left.columns == docs_.columns and sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([rows[1], rows[3], rows[5], rows[7], rows[9]], key=str)
+    assert left.columns == docs_.columns and sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([rows[3], rows[5], rows[7], rows[9]], key=str)
+
+
+def test_short_items_at_word_bounds():
+    """Items below the size of a budget against a plain search of every place of the text."""
+    rnd = random.Random(9)
+    items = [(0, "ab"), (1, "a"), (2, "b a"), (3, "(a)"), (4, "ab ab"), (5, "ab")]
+    matcher = decontaminate.Matcher(items, decontaminate.MAX_ERROR, decontaminate.MIN_CHARS, "anywhere")
+    inside = lambda text, i: 0 < i < len(text) and text[i - 1].isalnum() and text[i].isalnum()
+    for _ in range(400):
+        text = decontaminate.normal("".join(rnd.choice("ab ()é") for _ in range(rnd.randint(0, 14))))
+        want = {n for n, item in items for i in range(len(text)) if text.startswith(item, i) and not inside(text, i) and not inside(text, i + len(item))}
+        assert {n for n, _, _ in matcher.match(text)} == want
 
 
 def test_repeated_and_missing_ids_keep_one_order(spark):
@@ -357,16 +372,18 @@ def test_lm_scores_against_a_model_in_dictionaries(spark):
 
     held = [parts(h, w, True) for i, t in rows if fold(i) == 1 for h, w in zip(tokens(t), tokens(t)[1:], strict=False)]
     weights = {b: [1 / 3] * 3 for b in range(lm_scoring.BUCKETS)}
-    for _ in range(15):
-        used = {b: [0.0] * 3 for b in weights}
+    last = -math.inf
+    while True:
+        used, likely = {b: [0.0] * 3 for b in weights}, 0.0
         for b, f in held:
             total = sum(x * y for x, y in zip(weights[b], f, strict=True))
+            likely += math.log(total)
             used[b] = [u + x * y / total for u, x, y in zip(used[b], weights[b], f, strict=True)]
         new = {b: [x / sum(u) for x in u] if sum(u) else [1 / 3] * 3 for b, u in used.items()}
-        moved = max(abs(x - y) for b in new for x, y in zip(new[b], weights[b], strict=True))
         weights = new
-        if moved < 1e-4:
+        if likely - last <= 1e-5 * len(held):
             break
+        last = likely
     want = {}
     for i, t in rows:
         w, total = tokens(t), 0.0
@@ -391,7 +408,9 @@ def test_expectation_maximisation_recovers_weights():
         like = np.log((weights[bucket].T * f).sum(axis=0)).sum()
         assert like >= last - 1e-9
         last = like
-        weights = lm_scoring.maximisation(lm_scoring.expectation(weights, bucket, f, np.ones(4000)))
+        used, likely = lm_scoring.expectation(weights, bucket, f, np.ones(4000))
+        assert math.isclose(likely.sum(), like)
+        weights = lm_scoring.maximisation(used)
     assert np.allclose(weights.sum(axis=1), 1)
 
 
