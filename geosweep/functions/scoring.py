@@ -90,17 +90,30 @@ def evidence_tier(score, source, n_sources, unknown, verified, n_failures, sar_p
     )
 
 
-def compatibility(label, target_text) -> Column:
-    """1 for a shared word of four letters or more, 0.7 for a category hint, 0.2 otherwise; 0.4 without text."""
+def label_terms(label) -> Column:
+    """What a label is compared by: its words of four letters or more, and the number of the category whose token it holds first (0: none)."""
     words = F.trim(F.regexp_replace(F.regexp_replace(F.lower(col(label)), r"[_\-]", " "), r"\s+", " "))
+    kinds = [F.when(reduce(lambda a, b: a | b, (F.contains(words, F.lit(t.replace("_", " "))) for t in tokens)), i) for i, (tokens, _) in enumerate(HINTS, 1)]
+    return F.struct(F.filter(F.split(words, " "), lambda w: F.length(w) >= 4).alias("words"), F.coalesce(*kinds, F.lit(0)).alias("kind"))
+
+
+def target_terms(target_text) -> Column:
+    """What a target is compared by: its text in lower case, and the numbers of the categories that it hints at."""
     text = F.lower(F.coalesce(col(target_text), F.lit("")))
-    shared = F.exists(F.split(words, " "), lambda w: (F.length(w) >= 4) & F.contains(text, w))
-    rest, hinted = F.lit(True), F.lit(False)
-    for tokens, hints in HINTS:
-        mine = reduce(lambda a, b: a | b, (F.contains(words, F.lit(t.replace("_", " "))) for t in tokens))
-        hinted = hinted | (rest & mine & reduce(lambda a, b: a | b, (F.contains(text, F.lit(h)) for h in hints)))
-        rest = rest & ~mine
-    return F.when(F.trim(text) == "", 0.40).when(shared, 1.00).when(hinted, 0.70).otherwise(0.20)
+    hints = [F.when(reduce(lambda a, b: a | b, (F.contains(text, F.lit(h)) for h in hints)), i) for i, (_, hints) in enumerate(HINTS, 1)]
+    return F.struct(text.alias("text"), F.array_compact(F.array(*hints)).alias("hints"))
+
+
+def terms_compatibility(label, target) -> Column:
+    """Compatibility from ``label_terms`` and ``target_terms``, each worked out once on its own side of a join."""
+    label, target = col(label), col(target)
+    shared = F.exists(label["words"], lambda w: F.contains(target["text"], w))
+    return F.when(F.trim(target["text"]) == "", 0.40).when(shared, 1.00).when(F.array_contains(target["hints"], label["kind"]), 0.70).otherwise(0.20)
+
+
+def compatibility(label, target_text) -> Column:
+    """1 for a shared word of four letters or more, 0.7 for a category hint, 0.2 otherwise; 0.4 without text."""
+    return terms_compatibility(label_terms(label), target_terms(target_text))
 
 
 def link_score(distance_m, max_m: float, compat, confidence, history) -> Column:

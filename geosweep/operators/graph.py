@@ -70,22 +70,72 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return label
 
 
+#: Neighbours in one row of the adjacency; a node with more of them has several, in different partitions.
+ADJACENT = 4096
+#: Rounds of PageRank in one job at most.
+ROUNDS_A_JOB = 12
+
+
+def _adjacency(links: DataFrame) -> DataFrame:
+    """(src, part, deg, to): the neighbours of each node in rows of bounded length."""
+    degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
+    part = F.pmod(F.xxhash64("dst"), F.ceil(F.col("deg") / ADJACENT)).cast("int")
+    dealt = links.join(degree, "src").groupBy("src", part.alias("part")).agg(F.first("deg").alias("deg"), F.collect_list("dst").alias("to"))
+    return dealt
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
-    """Undirected PageRank with uniform teleport; the mass of nodes without edges is spread evenly."""
+    """Undirected PageRank with uniform teleport; the mass of nodes without edges is spread evenly.
+
+    Stops after the first round that moves less than ``tolerance`` in all.  The adjacency is dealt once and
+    kept in its partitions, so that a round shuffles only what nodes send, added up before it leaves a task; the
+    neighbours of a hub lie in several rows and partitions, each of which gets the hub's rank.  Nodes without edges
+    share one rank, a number of the driver's.  Several rounds make one job: as no round moves more than the one
+    before it (by the damping), the rounds that are left are told from the pace so far, and a job that would go
+    past the first round within the tolerance is done again with fewer.
+    """
     ensure_checkpoints(nodes.sparkSession)
-    links = both_ways(simple(nodes, edges))
-    out = links.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    links = links.join(out, "src").transform(settled)
-    n = nodes.count()
-    rank = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank")).transform(settled)
-    for _ in range(rounds):
-        sent = links.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("s"))
-        loose = rank.join(out.select(F.col("src").alias("id")), "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
-        new = rank.join(sent, "id", "left").crossJoin(F.broadcast(loose)).select("id", ((1 - damping) / n + damping * (F.coalesce("s", F.lit(0.0)) + F.col("loose") / n)).alias("new"), "rank").transform(settled)
-        rank = new.select("id", F.col("new").alias("rank"))
-        if tolerance is not None and (new.agg(F.sum(F.abs(F.col("new") - F.col("rank")))).first()[0] or 0.0) < tolerance:
-            break
-    return rank
+    spark = nodes.sparkSession
+    adjacency = _adjacency(both_ways(simple(nodes, edges))).transform(settled)
+    hubs = adjacency.where("part > 0").limit(1).count() > 0
+    keys = ["src", "part"] if hubs else ["src"]
+    spread = adjacency.select(*keys, "deg", F.concat(F.array("src"), "to").alias("to")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys).persist()
+    ids = nodes.select("id").distinct()
+    n = ids.count()
+    linked = adjacency.groupBy(F.col("src").alias("id")).agg(F.first("deg").alias("deg"))
+    n_loose = n - linked.count()
+
+    def step(ranks: DataFrame, alone: float) -> tuple[DataFrame, float]:
+        """(id, deg, rank, before) after one more round; each row of the adjacency begins with its own node, whose rank goes to itself."""
+        out = ranks.select(F.col("id").alias("src"), *([F.explode(F.sequence(F.lit(0), (F.ceil(F.col("deg") / ADJACENT) - 1).cast("int"))).alias("part")] if hubs else []), "rank")
+        sent = out.hint("merge").join(spread, keys).select("deg", "rank", F.posexplode("to").alias("pos", "id"))
+        own = F.col("pos") == 0
+        got = sent.groupBy("id").agg(F.sum(F.when(own, 0.0).otherwise(F.col("rank") / F.col("deg"))).alias("s"), F.max(F.when(own, F.col("deg"))).alias("deg"), F.max(F.when(own, F.col("rank"))).alias("before"))
+        base = (1 - damping) / n + damping * n_loose * alone / n
+        return got.select("id", "deg", (F.lit(base) + damping * F.col("s")).alias("rank"), "before"), base
+
+    ranks, alone = linked.withColumn("rank", F.lit(1.0 / max(n, 1))).transform(settled), 1.0 / max(n, 1)
+    done, size, last = 0, ROUNDS_A_JOB, None
+    while n and done < rounds:
+        size = min(size, rounds - done)
+        made, loose = ranks, alone
+        for _ in range(size):
+            before = loose
+            made, loose = step(made, loose)
+        made = made.transform(settled)
+        moved = made.agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("before"))), F.lit(0.0))).first()[0] + n_loose * abs(loose - before)
+        if tolerance is not None and moved < tolerance and size > 1:
+            size = (size + 1) // 2  # an earlier round of these may do
+            continue
+        ranks, alone, done = made, loose, done + size
+        if tolerance is not None:
+            if moved < tolerance:
+                break
+            pace = (moved / last) ** (1 / size) if last and 0 < moved < last else damping
+            size = max(1, min(ROUNDS_A_JOB, int(np.log(tolerance / moved) / np.log(min(pace, 0.999)))))
+        last = moved
+    spread.unpersist()
+    return ids.join(ranks.select("id", "rank"), "id", "left").withColumn("rank", F.coalesce("rank", F.lit(alone)))
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:

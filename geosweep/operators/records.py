@@ -65,14 +65,20 @@ def promote(edges: DataFrame, chosen: DataFrame, new_type: str) -> DataFrame:
 def best_rule(rows: DataFrame, rules: DataFrame, row_id: str) -> DataFrame:
     """Most specific matching rule of each row (class 4, category 2, allegiance 1; null matches all; the newest of equals).
 
-    Rules are a maintained list; the planner broadcasts it while it is small.
+    Rules differ in which of their parts are null; each such pattern in use (eight at most) is one equi-join with
+    its newest rule by key, and the pattern of greatest weight that found one wins.  A row stays one row.
     """
     parts = list(RULE_WEIGHTS)
-    named = rules.select(*(F.col(p).alias(f"__{p}") for p in parts), "outcome", "updated_at")
-    match = reduce(lambda a, b: a & b, (F.col(f"__{p}").isNull() | (F.col(f"__{p}") == F.col(p)) for p in parts))
-    weight = reduce(lambda a, b: a + b, (F.when(F.col(f"__{p}").isNotNull(), w).otherwise(0) for p, w in RULE_WEIGHTS.items()))
-    best = rows.join(named, match).groupBy(row_id).agg(F.max(F.struct(weight.alias("weight"), "updated_at", "outcome")).alias("m"))
-    return rows.join(best, row_id, "left").withColumn("outcome", F.coalesce("m.outcome", F.lit("unrated"))).drop("m")
+    weight = reduce(lambda a, b: a + b, (F.when(F.col(p).isNotNull(), w).otherwise(0) for p, w in RULE_WEIGHTS.items()))
+    weighed = rules.withColumn("__w", weight)
+    found = []
+    for used in sorted((r["__w"] for r in weighed.select("__w").distinct().collect()), reverse=True):
+        keys, name = [p for p in parts if RULE_WEIGHTS[p] & used], f"__o{used}"
+        newest = weighed.where(F.col("__w") == used).groupBy(*keys).agg(F.max(F.struct("updated_at", "outcome")).getField("outcome").alias(name))
+        # with no part given there is one newest rule, or none
+        rows = rows.join(newest, keys, "left") if keys else rows.crossJoin(F.broadcast(newest))
+        found.append(name)
+    return rows.withColumn("outcome", F.coalesce(*found, F.lit("unrated"))).drop(*found)
 
 
 def resolve_policy(layers: list[DataFrame], key: str, value: str) -> DataFrame:

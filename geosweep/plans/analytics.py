@@ -142,9 +142,11 @@ s AS (SELECT id, target_id, round(0.3 * greatest(0, 1 - d / 1500) + 0.3 * 0.2 +
 SELECT id, target_id, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, target_id) AS rank FROM s QUALIFY rank <= 5""",
 )
 def link_candidates(spark, sf):
-    pairs = spatial.radius_join(detections(spark, sf), targets(spark, sf), 1500.0, 1500.0, model="atan2")
-    compat = scoring.compatibility("class", F.concat_ws(" ", "name", "type"))
-    scored = pairs.withColumn("score", scoring.link_score("distance_m", 1500.0, compat, "confidence", F.lit(0.0)))
+    # dealt by id, on which the ranks are taken; the terms of a side are worked out once a row, before the pairs
+    left = detections(spark, sf).select("id", "lon", "lat", "confidence", scoring.label_terms("class").alias("label")).repartition("id")
+    right = targets(spark, sf).select("target_id", "lon", "lat", scoring.target_terms(F.concat_ws(" ", "name", "type")).alias("target"))
+    pairs = spatial.radius_join(left, right, 1500.0, 1500.0, model="atan2")
+    scored = pairs.select("id", "target_id", scoring.link_score("distance_m", 1500.0, scoring.terms_compatibility("label", "target"), "confidence", F.lit(0.0)).alias("score"))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "target_id")
     return scored.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("id", "target_id", "score", "rank")
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geosweep.functions import geo
+from geosweep.operators import clips as clips_
 from geosweep.operators import detections as d
 from geosweep.operators import terrain, tracking
-from geosweep.plans.domain import boxes, detections, sites, track_points
+from geosweep.plans.domain import BOXES, boxes, detections, iou_sql, sites, track_points
 from geosweep.sources import readers
 
 PLANS: dict = {}
@@ -46,6 +47,41 @@ def clips(spark, sf):
     return d.clip_tracks(boxes(spark, sf).withColumn("clip_id", F.col("image")))
 
 
+# every box a second time under another prompt, moved a little, in a third of the images by too much to be one object
+_SESSIONS = f"""{BOXES}, det AS (SELECT image AS clip_id, 2 * det_id AS det_id, frame, cls, confidence, x1, y1, x2, y2, (det_id // 10) % 3 AS track FROM boxes
+UNION ALL SELECT image, 2 * det_id + 1, frame, CASE WHEN det_id % 4 = 0 THEN 'other' ELSE cls END, confidence / 2, x1 + m, y1, x2 + m, y2, (det_id // 10) % 3 + 3 FROM (SELECT *, CASE WHEN image % 3 = 0 THEN 30.0 ELSE 1.0 END::DOUBLE AS m FROM boxes))"""
+
+
+def _sessions(spark, sf):
+    b = boxes(spark, sf)
+    track = (F.floor(F.col("det_id") / 10) % 3).cast("long")
+    first = b.select(F.col("image").alias("clip_id"), (2 * F.col("det_id")).alias("det_id"), "frame", "cls", "confidence", "x1", "y1", "x2", "y2", track.alias("track"))
+    by = F.when(F.col("image") % 3 == 0, 30.0).otherwise(1.0)
+    second = b.select(
+        F.col("image").alias("clip_id"), (2 * F.col("det_id") + 1).alias("det_id"), "frame", F.when(F.col("det_id") % 4 == 0, "other").otherwise(F.col("cls")).alias("cls"), (F.col("confidence") / 2).alias("confidence"),
+        (F.col("x1") + by).alias("x1"), "y1", (F.col("x2") + by).alias("x2"), "y2", (track + 3).alias("track"),
+    )
+    return first.unionByName(second).withColumn("track_id", F.col("track"))
+
+
+@plan(
+    "clip_consolidation",
+    f"""WITH RECURSIVE {_SESSIONS},
+p AS (SELECT a.clip_id, a.track AS a, b.track AS b, a.frame, max({iou_sql('a', 'b')}) AS o FROM det a JOIN det b ON a.clip_id = b.clip_id AND a.frame = b.frame AND a.track < b.track GROUP BY ALL),
+e AS (SELECT clip_id, a, b FROM p GROUP BY ALL HAVING sum((o >= 0.55)::INT) / count(*) >= 0.6),
+l AS (SELECT clip_id, a AS x, b AS y FROM e UNION ALL SELECT clip_id, b, a FROM e),
+r AS (SELECT DISTINCT clip_id, track, track AS root FROM det UNION SELECT r.clip_id, r.track, l.y FROM r JOIN l ON r.clip_id = l.clip_id AND r.root = l.x),
+m AS (SELECT clip_id, track, min(root) AS root FROM r GROUP BY ALL),
+d AS (SELECT det.*, m.root FROM det JOIN m USING (clip_id, track)),
+v AS (SELECT clip_id, root, arg_max(cls, (n, med, cls)) AS canonical FROM (SELECT clip_id, root, cls, count(DISTINCT frame) AS n, median(confidence) AS med FROM d GROUP BY ALL) GROUP BY ALL),
+t AS (SELECT clip_id, root, row_number() OVER (PARTITION BY clip_id ORDER BY f) AS consolidated_id FROM (SELECT clip_id, root, min((frame, det_id)) AS f FROM d GROUP BY ALL))
+SELECT clip_id, det_id, consolidated_id, canonical, row_number() OVER (PARTITION BY clip_id, root, frame ORDER BY (cls = canonical) DESC, confidence DESC, track, det_id) > 1 AS duplicate FROM d JOIN v USING (clip_id, root) JOIN t USING (clip_id, root)""",
+)
+def clip_consolidation(spark, sf):
+    """Tracks of two prompts made one, with one class each and one row a frame."""
+    return clips_.consolidate(_sessions(spark, sf)).select("clip_id", "det_id", "consolidated_id", "canonical", "duplicate")
+
+
 @plan("truth_matches")
 def matches(spark, sf):
     b = boxes(spark, sf)
