@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geosweep.functions.geo import col
 
-#: Dataset prefixes, ordered mission tokens, vocabularies, aircraft type codes.
+#: Dataset prefixes, affiliations, aircraft type codes, kinds of files.
 SOURCE_PREFIXES = ("xview", "dota", "fair1m", "fmow", "rareplanes", "dior", "sodaa", "hrsc", "hrsc2016", "lvis", "coco", "objects365", "local")
-MISSIONS = (
-    ("GPS", "navigation"), ("NAVSTAR", "navigation"), ("GALILEO", "navigation"), ("BEIDOU", "navigation"), ("GLONASS", "navigation"),
-    ("NROL", "recon"), ("COSMOS", "military"), ("YAOGAN", "recon"), ("LACROSSE", "sar"), ("ONYX", "sar"), ("USA ", "military"),
-    ("LANDSAT", "earth_observation"), ("WORLDVIEW", "commercial_imaging"),
-    ("PLEIADES", "commercial_imaging"), ("ICEYE", "sar"), ("CAPELLA", "sar"), ("NOAA", "weather"), ("METEOR", "weather"), ("METOP", "weather"),
-    ("GOES", "weather"), ("STARLINK", "comms"), ("ONEWEB", "comms"), ("IRIDIUM", "comms"), ("INTELSAT", "comms"),
-)
-DOMAINS = ("GEOINT", "SIGINT", "HUMINT", "OSINT", "MASINT", "FMV", "ADMIN", "WORKFLOW")
 AFFILIATIONS = ("friend", "hostile", "neutral", "unknown")
 HELICOPTERS = (
     "R22", "R44", "R66", "B06", "B47", "B105", "B212", "B412", "B429", "A109", "A139", "A169", "EC30", "EC35", "EC45", "EC75", "H125", "H130", "H145",
@@ -64,10 +57,22 @@ def display_class(label) -> Column:
     return F.when(text == "", "Object").otherwise(text)
 
 
-def mission(name, first: tuple[tuple[str, str], ...] = ()) -> Column:
-    """Mission of the first token that the name holds; the caller's own tokens in ``first`` come before the list."""
+#: Entries of a vocabulary table that may become an expression.
+MOST_ENTRIES = 2000
+
+
+def vocabulary(table: DataFrame, order: str, token: str, value: str) -> list[tuple[str, str]]:
+    """Tokens and their values in order, from a maintained table; its size is checked, as they become an expression."""
+    rows = table.where(F.col(token).isNotNull()).orderBy(order, token, value).select(token, value).limit(MOST_ENTRIES + 1).collect()
+    if len(rows) > MOST_ENTRIES:
+        raise ValueError(f"a vocabulary of more than {MOST_ENTRIES} entries: join with it instead")
+    return [tuple(r) for r in rows]
+
+
+def first_token(name, tokens: Sequence[tuple[str, str]], fallback: str = "unknown") -> Column:
+    """Value of the first of the tokens, in their order, that the name holds in either case."""
     upper = F.upper(F.coalesce(col(name), F.lit("")))
-    return F.coalesce(*(F.when(F.contains(upper, F.lit(t)), F.lit(m)) for t, m in (*first, *MISSIONS)), F.lit("unknown"))
+    return F.coalesce(*(F.when(F.contains(upper, F.lit(t.upper())), F.lit(v)) for t, v in tokens), F.lit(fallback))
 
 
 def airframe(code, category=None) -> Column:
@@ -78,19 +83,17 @@ def airframe(code, category=None) -> Column:
     return F.coalesce(by_code, by_category, F.lit("unknown"))
 
 
-def domain(value, fallback: str = "OSINT") -> Column:
+def domain(value, known: Sequence[str], fallback: str, aliases: Mapping[str, str] | None = None) -> Column:
+    """One of the known names, by itself or by an alias, in either case and with a slash for an underscore; else the fallback."""
     text = F.regexp_replace(F.upper(F.trim(F.when(F.coalesce(col(value), F.lit("")) == "", fallback).otherwise(col(value)))), "/", "_")
-    return F.when(text.isin("RF_SIGINT", "RF-SIGINT"), "SIGINT").when(text == "VIDEO", "FMV").when(text.isin(*DOMAINS), text).otherwise(F.lit(fallback))
+    named = [F.when(text == a, F.lit(v)) for a, v in (aliases or {}).items()]
+    return F.coalesce(*named, F.when(text.isin(*known), text), F.lit(fallback))
 
 
-def media_domain(media, sensor=None) -> Column:
-    sensor = F.upper(F.coalesce(col(sensor), F.lit(""))) if sensor is not None else F.lit("")
-    media = col(media)
-    return (
-        F.when(media.isin("imagery", "vector", "3d") | sensor.isin("OPTICAL", "RADAR", "THERMAL", "MASINT") | (media == "fmv") | (sensor == "FMV"), "GEOINT")
-        .when(media == "audio", "HUMINT")
-        .otherwise("OSINT")
-    )
+def media_domain(media, sensor, by_media: Mapping[str, str], by_sensor: Mapping[str, str], fallback: str) -> Column:
+    """Name by the sensor where it has one, else by the kind of media."""
+    sensor = F.upper(F.coalesce(col(sensor), F.lit("")))
+    return F.coalesce(*(F.when(sensor == k, F.lit(v)) for k, v in by_sensor.items()), *(F.when(col(media) == k, F.lit(v)) for k, v in by_media.items()), F.lit(fallback))
 
 
 def affiliation(value) -> Column:
@@ -109,16 +112,17 @@ def safe_filename(name) -> Column:
     return F.when(text == "", "upload.tif").otherwise(text)
 
 
-def ontology_label(value, fallback: str = "Entity") -> Column:
+def ontology_label(value, fallback: str = "Thing") -> Column:
     text = F.trim(F.regexp_replace(F.coalesce(col(value), F.lit("")), r"\s+", " "))
     text = F.regexp_replace(text, r"[^A-Za-z0-9 ._:/()#-]+", "")
     return F.substring(F.when(text == "", fallback).otherwise(text), 1, 120)
 
 
-def entity_type(value) -> Column:
-    text = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(col(value), F.lit("Entity")), r"[^A-Za-z0-9_ -]+", "")), "-", " ")
+def type_name(value, fallback: str = "Thing") -> Column:
+    """Words in capitals and without marks or blanks, at most 60 characters."""
+    text = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(col(value), F.lit(fallback)), r"[^A-Za-z0-9_ -]+", "")), "-", " ")
     text = F.regexp_replace(F.initcap(text), r"\s+", "")
-    return F.substring(F.when(text == "", "Entity").otherwise(text), 1, 60)
+    return F.substring(F.when(text == "", fallback).otherwise(text), 1, 60)
 
 
 def relation_type(value) -> Column:

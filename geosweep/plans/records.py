@@ -76,13 +76,13 @@ def raster_times(spark, sf):
     return o.select("o_orderkey", F.unix_timestamp(readers.raster_time(F.lit("none"), F.col("tag"))).alias("taken"), readers.layover_risk(k % 60).alias("layover"))
 
 
-@plan("observation_append", "SELECT event_id, ['SIGINT', 'FMV', 'OSINT'][event_id % 3 + 1] AS domain, CASE WHEN event_id % 4 > 0 THEN floor(epoch(ts))::BIGINT ELSE 1704067200 END AS at, event_id % 5 > 0 AS has_point FROM events")
+@plan("observation_append", "SELECT event_id, ['RADIO', 'FILM', 'OTHER'][event_id % 3 + 1] AS domain, CASE WHEN event_id % 4 > 0 THEN floor(epoch(ts))::BIGINT ELSE 1704067200 END AS at, event_id % 5 > 0 AS has_point FROM events")
 def observations(spark, sf):
     e = table(spark, sf, "events")
     now = F.lit("2024-01-01").cast("timestamp")
     at = F.coalesce(F.when(F.col("event_id") % 4 > 0, F.col("ts").cast("timestamp")), now)
     lat, lon = F.when(F.col("event_id") % 5 > 0, F.col("value")), F.col("value")
-    return e.select("event_id", labels.domain(pick("event_id", "rf/sigint", "video", "?")).alias("domain"), F.unix_timestamp(at).alias("at"), (lat.isNotNull() & lon.isNotNull()).alias("has_point"))
+    return e.select("event_id", labels.domain(pick("event_id", "rf/radio", "video", "?"), ["RADIO", "FILM"], "OTHER", {"RF_RADIO": "RADIO", "VIDEO": "FILM"}).alias("domain"), F.unix_timestamp(at).alias("at"), (lat.isNotNull() & lon.isNotNull()).alias("has_point"))
 
 
 @plan("obb_rings", f"WITH {BOXES} SELECT det_id, CASE WHEN det_id % 5 > 0 THEN 5 END AS points, CASE WHEN det_id % 5 > 0 THEN x1 END AS closing_x FROM boxes")
@@ -116,13 +116,13 @@ def failures(spark, sf):
 
 @plan(
     "target_package",
-    """WITH r AS (SELECT l_suppkey AS entity, l_orderkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey, l_linenumber) AS n, count(*) OVER (PARTITION BY l_suppkey) AS total FROM lineitem)
-SELECT entity, any_value(total) AS total, string_agg(l_orderkey::VARCHAR, ',' ORDER BY n) AS newest FROM r WHERE n <= 25 GROUP BY entity""",
+    """WITH r AS (SELECT l_suppkey AS target, l_orderkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey, l_linenumber) AS n, count(*) OVER (PARTITION BY l_suppkey) AS total FROM lineitem)
+SELECT target, any_value(total) AS total, string_agg(l_orderkey::VARCHAR, ',' ORDER BY n) AS newest FROM r WHERE n <= 25 GROUP BY target""",
 )
 def target_package(spark, sf):
-    l = table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "entity")
-    s = rec.snapshot(l, ["entity"], [F.desc("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber")], ["l_orderkey"])
-    return s.select("entity", "total", F.array_join(F.transform("items", lambda i: i.l_orderkey.cast("string")), ",").alias("newest"))
+    l = table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "target")
+    s = rec.snapshot(l, ["target"], [F.desc("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber")], ["l_orderkey"])
+    return s.select("target", "total", F.array_join(F.transform("items", lambda i: i.l_orderkey.cast("string")), ",").alias("newest"))
 
 
 @plan("reprocess_replace", f"WITH {DET} SELECT id, pass_id FROM det WHERE CASE WHEN pass_id IN (3, 7) THEN id % 3 = 0 ELSE id % 2 = 0 END")

@@ -212,11 +212,11 @@ def one_current(spark, sf):
 
 @plan(
     "merge_entities",
-    "SELECT CASE WHEN o_custkey % 10 = 3 THEN o_custkey - 1 ELSE o_custkey END AS entity, count(*) AS n, max(o_orderdate) AS last_seen, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1",
+    "SELECT CASE WHEN o_custkey % 10 = 3 THEN o_custkey - 1 ELSE o_custkey END AS owner, count(*) AS n, max(o_orderdate) AS last_seen, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1",
 )
 def merge_entities(spark, sf):
     owner = F.when(F.col("o_custkey") % 10 == 3, F.col("o_custkey") - 1).otherwise(F.col("o_custkey"))
-    return readers.table(spark, sf, "orders").groupBy(owner.alias("entity")).agg(F.count(F.lit(1)).alias("n"), F.max("o_orderdate").alias("last_seen"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return readers.table(spark, sf, "orders").groupBy(owner.alias("owner")).agg(F.count(F.lit(1)).alias("n"), F.max("o_orderdate").alias("last_seen"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @plan("cascade_delete", "SELECT o_orderkey FROM orders WHERE o_custkey % 7 <> 0 AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity < 45)")
@@ -237,14 +237,30 @@ def normalised(spark, sf):
 
 @plan(
     "vocabulary_mapping",
-    """WITH t AS (SELECT event_id, event_type, ['SIGINT', 'rf/sigint', 'video', 'osint', 'other'][event_id % 5 + 1] AS dom, ['imagery', 'audio', 'fmv', 'document'][event_id % 4 + 1] AS media, ['GPS 12', 'USA 4', 'NROL 7', 'x'][event_id % 4 + 1] AS sat, ['B06', 'C130', 'GLF5', 'B738', 'ZZZ'][event_id % 5 + 1] AS code, ['Friendly', 'hostile', 'odd'][event_id % 3 + 1] AS aff FROM events)
-SELECT event_id, ['SIGINT', 'SIGINT', 'FMV', 'OSINT', 'OSINT'][event_id % 5 + 1] AS domain, ['GEOINT', 'HUMINT', 'GEOINT', 'OSINT'][event_id % 4 + 1] AS media_domain, ['navigation', 'military', 'recon', 'unknown'][event_id % 4 + 1] AS mission, ['heli', 'turboprop', 'bizjet', 'airliner', 'unknown'][event_id % 5 + 1] AS airframe, ['friend', 'hostile', NULL][event_id % 3 + 1] AS affiliation FROM t""",
+    """WITH t AS (SELECT event_id, event_type, lower(a.n_name) || ' 12 ' || b.n_name AS name, CASE event_id % 4 WHEN 0 THEN lower(r.r_name) WHEN 1 THEN replace(r.r_name, ' ', '/') WHEN 2 THEN 'far/east' ELSE '' END AS dom, r.r_name,
+  ['B06', 'C130', 'GLF5', 'B738', 'ZZZ'][event_id % 5 + 1] AS code, ['Friendly', 'hostile', 'odd'][event_id % 3 + 1] AS aff
+  FROM events JOIN nation a ON a.n_nationkey = event_id % 25 JOIN nation b ON b.n_nationkey = user_id % 25 JOIN region r ON r.r_regionkey = event_id % 5)
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN r_name WHEN 1 THEN CASE WHEN contains(r_name, ' ') THEN 'OTHER' ELSE r_name END WHEN 2 THEN 'ASIA' ELSE 'OTHER' END AS domain,
+CASE WHEN user_sensor = 'RADAR' THEN 'pictures' WHEN event_type IN ('view', 'click') THEN 'signals' ELSE 'texts' END AS media_domain,
+(SELECT arg_min(r.r_name, n.n_nationkey) FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey WHERE contains(upper(t.name), n.n_name)) AS mission,
+CASE code WHEN 'B06' THEN 'heli' WHEN 'C130' THEN 'turboprop' WHEN 'GLF5' THEN 'bizjet' WHEN 'B738' THEN 'airliner' ELSE 'unknown' END AS airframe,
+CASE aff WHEN 'Friendly' THEN 'friend' WHEN 'hostile' THEN 'hostile' END AS affiliation FROM (SELECT *, CASE WHEN event_id % 7 = 0 THEN 'RADAR' END AS user_sensor FROM t) AS t""",
 )
 def vocabulary(spark, sf):
+    """Names mapped by vocabularies that are tables: regions as domains, nations in their order as mission tokens."""
     pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("event_id") % len(v) + 1).cast("int"))
-    return readers.table(spark, sf, "events").select(
-        "event_id", labels.domain(pick("SIGINT", "rf/sigint", "video", "osint", "other")).alias("domain"), labels.media_domain(pick("imagery", "audio", "fmv", "document")).alias("media_domain"),
-        labels.mission(pick("GPS 12", "USA 4", "NROL 7", "x")).alias("mission"), labels.airframe(pick("B06", "C130", "GLF5", "B738", "ZZZ")).alias("airframe"), labels.affiliation(pick("Friendly", "hostile", "odd")).alias("affiliation"),
+    region, nation = readers.table(spark, sf, "region"), readers.table(spark, sf, "nation")
+    missions = labels.vocabulary(nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")), "n_nationkey", "n_name", "r_name")
+    domains = [name for name, _ in labels.vocabulary(region, "r_regionkey", "r_name", "r_name")]
+    key = lambda k, n: F.pmod(F.col(k), F.lit(n)).cast("int")
+    e = readers.table(spark, sf, "events").withColumn("ka", key("event_id", 25)).withColumn("kb", key("user_id", 25)).withColumn("kr", key("event_id", 5))
+    names = lambda k, c: nation.select(F.col("n_nationkey").alias(k), F.col("n_name").alias(c))
+    e = e.join(names("ka", "a_name"), "ka").join(names("kb", "b_name"), "kb").join(region.select(F.col("r_regionkey").alias("kr"), "r_name"), "kr")
+    given = F.when(F.col("event_id") % 4 == 0, F.lower("r_name")).when(F.col("event_id") % 4 == 1, F.replace("r_name", F.lit(" "), F.lit("/"))).when(F.col("event_id") % 4 == 2, "far/east").otherwise("")
+    e = e.withColumn("given", given).withColumn("sensor", F.when(F.col("event_id") % 7 == 0, "radar")).withColumn("name", F.concat(F.lower("a_name"), F.lit(" 12 "), "b_name"))
+    return e.select(
+        "event_id", labels.domain("given", domains, "OTHER", {"FAR_EAST": "ASIA"}).alias("domain"), labels.media_domain("event_type", "sensor", {"view": "signals", "click": "signals"}, {"RADAR": "pictures"}, "texts").alias("media_domain"),
+        labels.first_token("name", missions).alias("mission"), labels.airframe(pick("B06", "C130", "GLF5", "B738", "ZZZ")).alias("airframe"), labels.affiliation(pick("Friendly", "hostile", "odd")).alias("affiliation"),
     )
 
 

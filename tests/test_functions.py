@@ -53,13 +53,21 @@ def test_cosine_variants(spark):
     assert one(spark, geo.cosine(v(1.0), v(1.0, 1.0))) is None
 
 
+def mission(name):
+    return labels.first_token(name, [("gps", "navigation"), ("NORTH", "coast")])
+
+
+def area(value):
+    return labels.domain(value, ["AIR", "SEA", "LAND"], "LAND", {"RF_AIR": "AIR"})
+
+
 @pytest.mark.parametrize(
     ("fn", "given", "want"),
     [
         (labels.normalise, "  DOTA Large-Vehicle! ", "dota_large_vehicle"), (labels.strip_source, "DOTA ship", "ship"), (labels.normalise, "***", "object"), (labels.canonical, "Military-Facility  x", "military_facility_x"),
-        (labels.display_class, "xview cargo_truck", "Cargo Truck"), (labels.mission, "usa 224 gps", "navigation"), (labels.mission, None, "unknown"), (labels.domain, "rf/sigint", "SIGINT"), (labels.domain, "", "OSINT"),
+        (labels.display_class, "xview cargo_truck", "Cargo Truck"), (mission, "north 224 gps", "navigation"), (mission, "north 7", "coast"), (mission, None, "unknown"), (area, "rf/air", "AIR"), (area, " sea", "SEA"), (area, "", "LAND"), (area, "x", "LAND"),
         (labels.affiliation, " Friendly", "friend"), (labels.affiliation, "odd", None), (labels.upload_kind, "a/b.TIF", "imagery"), (labels.upload_kind, "x.exe", None), (labels.safe_filename, "/a/b c.tif", "b_c.tif"),
-        (labels.relation_type, "near by!", "CANDIDATE_NEAR_BY"), (labels.entity_type, "naval-base x", "NavalBaseX"),
+        (labels.relation_type, "near by!", "CANDIDATE_NEAR_BY"), (labels.type_name, "naval-base x", "NavalBaseX"), (labels.type_name, "!", "Thing"),
     ],
 )
 def test_labels(spark, fn, given, want):
