@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from geosweep.functions import geo
 from geosweep.operators import clips as clips_
 from geosweep.operators import detections as d
-from geosweep.operators import terrain, tracking
-from geosweep.plans.domain import BOXES, boxes, detections, iou_sql, sites, track_points
+from geosweep.operators import terrain, tracker, tracking
+from geosweep.operators.graph import settled
+from geosweep.plans.domain import BOXES, boxes, detections, iou_sql, place, sites, track_points
 from geosweep.sources import readers
 
 PLANS: dict = {}
@@ -149,6 +150,21 @@ def replay(spark, sf):
     return tracking.replay(rows, "region")
 
 
+@plan("tracker_passes")
+def tracker_passes(spark, sf):
+    """All detections as fixed objects, ten days a pass: a version of the state after each, the last one returned."""
+    lon, lat = place("id", 37, 13, 400, 80)
+    det = detections(spark, sf).withColumn("day", F.datediff("created_at", F.lit("2024-01-01")))
+    rows = det.select(F.floor(F.col("day") / 10).cast("int").alias("pass"), F.col("id").alias("det_id"), F.concat("class", F.lit("_court")).alias("cls"), (1 - F.col("confidence")).alias("confidence"), lon.alias("lon"), lat.alias("lat"))
+    rows = rows.withColumn("category", tracker.tracker_category("cls", F.lit(None).cast("string"))).transform(settled)
+    after = spark.createDataFrame([], tracker.TRACKS)
+    around = [(53.0, 23.0), (56.0, 23.0), (56.0, 26.0), (53.0, 26.0)]
+    for p in sorted(r["pass"] for r in rows.select("pass").distinct().collect()):
+        after, _ = tracker.advance(after, rows.where(F.col("pass") == p).drop("pass"), p, 864_000 * p, around)
+        after = settled(after)
+    return after.select("track_id", "cls", "status", "obs_count", "misses", F.round("sigma", 6).alias("sigma"))
+
+
 def _pixels(spark, sf):
     """A scene per nation: rows and columns from supplier and part keys."""
     l = readers.table(spark, sf, "lineitem")
