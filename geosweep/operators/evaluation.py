@@ -112,11 +112,10 @@ def separation(vectors: DataFrame, label: str = "label", vector: str = "embeddin
 
 
 def latency(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Median and nearest-rank 95th percentile per key."""
-    w = Window.partitionBy(key).orderBy(value)
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    ranked = rows.select(key, value, F.row_number().over(w).alias("r"), n.alias("n"))
-    return ranked.groupBy(key).agg(F.percentile(value, F.lit(0.5)).alias("p50"), F.max(F.when(F.col("r") == F.greatest(F.lit(1), F.ceil(0.95 * F.col("n"))), F.col(value))).alias("p95"))
+    """Median and nearest-rank 95th percentile per key, of keys of any size."""
+    from geosweep.operators.quantiles import quantiles
+
+    return quantiles(rows, [key], value, {"p50": 0.5}, {"p95": 0.95}).drop("n")
 
 
 def cosine_top_k(queries: DataFrame, base: DataFrame, k: int, positive_only: bool = True) -> DataFrame:

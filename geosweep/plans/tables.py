@@ -156,7 +156,20 @@ def conditional(spark, sf):
 
 @plan("percentile_stretch", "SELECT event_type, round(quantile_cont(value, 0.02), 6) AS low, round(quantile_cont(value, 0.98), 6) AS high, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
 def percentiles(spark, sf):
-    return readers.table(spark, sf, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.02)), 6).alias("low"), F.round(F.percentile("value", F.lit(0.98)), 6).alias("high"), F.min("value").alias("least"), F.max("value").alias("most"))
+    from geosweep.operators.quantiles import quantiles
+
+    q = quantiles(readers.table(spark, sf, "events"), ["event_type"], "value", {"low": 0.02, "high": 0.98, "least": 0.0, "most": 1.0})
+    return q.select("event_type", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "least", "most")
+
+
+@plan("supplier_quantiles", "SELECT l_suppkey, count(*) AS n, quantile_cont(l_extendedprice, 0.5) AS middle, round(quantile_cont(l_extendedprice, 0.999), 6) AS top, quantile_disc(l_quantity, 0.9) AS quantity FROM lineitem GROUP BY 1")
+def supplier_quantiles(spark, sf):
+    """Quantiles of many keys at once, each by its own intervals."""
+    from geosweep.operators.quantiles import quantiles
+
+    l = readers.table(spark, sf, "lineitem")
+    price = quantiles(l, ["l_suppkey"], "l_extendedprice", {"middle": 0.5, "top": 0.999}).withColumn("top", F.round("top", 6))
+    return price.join(quantiles(l, ["l_suppkey"], "l_quantity", {}, {"quantity": 0.9}).drop("n"), "l_suppkey")
 
 
 @plan(
