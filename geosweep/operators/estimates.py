@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from geosweep.functions.geo import M_PER_DEG, WGS84_A, col
 from geosweep.functions.labels import canonical, strip_source
+from geosweep.operators.shapes import rectangle_of
 
 #: Range of SAR backscatter in decibels, scale of reflectances, share above which an identification applies itself.
 SAR_DB = (-30.0, 0.0)
@@ -38,40 +39,6 @@ def utm(lon, lat, zone) -> tuple[Column, Column]:
     return UTM_EAST + UTM_SCALE * radius * east, F.when(col(lat) < 0, UTM_SOUTH).otherwise(0.0) + UTM_SCALE * radius * north
 
 
-def rotated_size(ring) -> Column:
-    """(area, length_m, width_m, bearing_deg in [0, 180)) of the smallest rotated rectangle around a ring of (x, y) in metres.
-
-    That rectangle has a side along an edge of the convex hull; every pair of corners gives a
-    direction to try, so the hull itself is not needed.  Meant for box outlines of a few corners.
-    Null for fewer than three corners or when all lie on one line.
-    """
-    ring = col(ring)
-
-    def extent(f):
-        at = F.transform(ring, f)
-        return F.array_max(at) - F.array_min(at)
-
-    # each step names its values in a struct, so that the next reads them instead of working them out again
-    edges = F.flatten(F.transform(ring, lambda p: F.transform(ring, lambda q: F.struct((q["x"] - p["x"]).alias("x"), (q["y"] - p["y"]).alias("y")))))
-    lengths = F.transform(edges, lambda e: F.struct(e["x"].alias("x"), e["y"].alias("y"), F.sqrt(e["x"] * e["x"] + e["y"] * e["y"]).alias("n")))
-    units = F.transform(F.filter(lengths, lambda e: e["n"] > 0), lambda e: F.struct((e["x"] / e["n"]).alias("x"), (e["y"] / e["n"]).alias("y")))
-    spans = F.transform(units, lambda d: F.struct(
-        d.alias("d"), extent(lambda r: r["x"] * d["x"] + r["y"] * d["y"]).alias("along"), extent(lambda r: r["y"] * d["x"] - r["x"] * d["y"]).alias("across")
-    ))
-
-    def rectangle(s):
-        d, turned = s["d"], s["along"] < s["across"]
-        bearing = F.degrees(F.atan2(F.when(turned, -d["y"]).otherwise(d["x"]), F.when(turned, d["x"]).otherwise(d["y"])))
-        return F.struct(
-            # parallel edges give the same rectangle but for the last bits
-            F.round(s["along"] * s["across"], 6).alias("area"), F.round(F.greatest(s["along"], s["across"]), 3).alias("length_m"),
-            F.round(F.least(s["along"], s["across"]), 3).alias("width_m"), F.round(F.pmod(bearing + 360, F.lit(180.0)), 2).alias("bearing_deg"),
-        )
-
-    best = F.filter(F.array(F.array_min(F.transform(spans, rectangle))), lambda r: r["area"] > 0)
-    return F.when(F.size(ring) >= 3, F.get(best, F.lit(0)))
-
-
 def estimated_sizes(rows: DataFrame, ring: str, pixel_w: str, pixel_h: str, mask_px: str, edge_px: float = 2.0) -> DataFrame:
     """Length, width, area and bearing of each outline ``ring`` of (lon, lat) corners, with their uncertainties.
 
@@ -81,7 +48,7 @@ def estimated_sizes(rows: DataFrame, ring: str, pixel_w: str, pixel_h: str, mask
     n = F.size(ring)
     middle = F.when(n > 0, F.aggregate(ring, F.lit(0.0), lambda s, p: s + p["lon"]) / n)
     metres = rows.withColumn("__zone", utm_zone(middle)).withColumn("__ring", F.transform(ring, lambda p: F.struct(*(c.alias(k) for k, c in zip("xy", utm(p["lon"], p["lat"], F.col("__zone")), strict=True)))))
-    sized = metres.withColumn("__size", rotated_size("__ring"))
+    sized = metres.withColumn("__size", rectangle_of("__ring"))
     length, width, w, h = F.col("__size.length_m"), F.col("__size.width_m"), F.col(pixel_w), F.col(pixel_h)
     area = F.when(F.col(mask_px) > 0, F.col(mask_px) * w * h).otherwise(length * width)
     some = F.col("__size").isNotNull()

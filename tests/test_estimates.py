@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from geosweep.operators import estimates as est
+from geosweep.operators import shapes
 from geosweep.operators import tracking
 
 
@@ -24,7 +25,7 @@ def test_rotated_size(spark):
     ring = [(x * math.sin(turn) - y * math.cos(turn), x * math.cos(turn) + y * math.sin(turn)) for x, y in box]
     cases = [ring, [(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)], [(0.0, 0.0), (3.0, 0.0)], [(0.0, 0.0)], [], None, [(0.0, 0.0), (6.0, 0.0), (6.0, 0.0), (3.0, 2.0)]]
     rows = spark.createDataFrame(list(enumerate(cases)), "i int, ring array<struct<x:double,y:double>>")
-    got = {r["i"]: r["s"] for r in rows.select("i", est.rotated_size("ring").alias("s")).collect()}
+    got = {r["i"]: r["s"] for r in rows.select("i", shapes.rectangle_of("ring").alias("s")).collect()}
     assert (got[0]["length_m"], got[0]["width_m"], got[0]["bearing_deg"]) == (10.0, 4.0, 30.0)
     assert got[1] is got[2] is got[3] is got[4] is got[5] is None
     assert got[6]["length_m"] * got[6]["width_m"] < 12.01
