@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geosweep.functions import geo, scoring
+from geosweep.functions import scoring
 
 
 #: Score ranges by which a label's curve is dealt to tasks.
@@ -116,12 +116,3 @@ def latency(rows: DataFrame, key: str, value: str) -> DataFrame:
     from geosweep.operators.quantiles import quantiles
 
     return quantiles(rows, [key], value, {"p50": 0.5}, {"p95": 0.95}).drop("n")
-
-
-def cosine_top_k(queries: DataFrame, base: DataFrame, k: int, positive_only: bool = True) -> DataFrame:
-    """The k most similar rows of ``base`` (id, vector) for every query (query_id, query); queries are a bounded set."""
-    sim = geo.cosine("query", "vector")
-    pairs = base.crossJoin(F.broadcast(queries)).where("id <> query_id").withColumn("similarity", sim)
-    pairs = pairs.where("similarity > 0") if positive_only else pairs
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return pairs.select("query_id", "id", "similarity", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)

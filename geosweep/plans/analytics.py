@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from geosweep.functions import geo, labels, scoring
 from geosweep.operators import evaluation as ev
 from geosweep.operators import relational as r
-from geosweep.operators import spatial
+from geosweep.operators import spatial, vectors
 from geosweep.plans.domain import BOXES, DET, SITES, TARGETS, boxes, detections, hav, iou_sql, sites, targets
 from geosweep.sources import readers
 
@@ -235,7 +235,7 @@ def vector_top_k(spark, sf):
     e = readers.table(spark, sf, "embeddings")
     # the stated query set: ids divisible by 50, against all rows
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return ev.cosine_top_k(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 10).select("query_id", "id", "rank")
+    return vectors.cosine_top_k(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 10).select("query_id", "id", "rank")
 
 
 @plan(
@@ -248,11 +248,20 @@ SELECT query_id, s.label, e.vec_id AS id, row_number() OVER (PARTITION BY query_
 def two_stage(spark, sf):
     e = readers.table(spark, sf, "embeddings")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    c = r.vector_mean(e, ["label"], "embedding")
-    w = Window.partitionBy("query_id").orderBy(F.desc(geo.cosine("query", "centroid")), "label")
-    stage = c.crossJoin(F.broadcast(q)).withColumn("n", F.row_number().over(w)).where("n <= 3").select("query_id", "query", "label")
-    w2 = Window.partitionBy("query_id", "label").orderBy(F.desc(geo.cosine("query", "embedding")), "vec_id")
-    return stage.join(e, "label").where("vec_id <> query_id").withColumn("rank", F.row_number().over(w2)).where("rank <= 3").select("query_id", "label", F.col("vec_id").alias("id"), "rank")
+    c = r.vector_mean(e, ["label"], "embedding").select(F.col("label").alias("id"), F.lit(0).alias("key"), F.col("centroid").alias("vector"))
+    # no label is a query's own id: queries of the first stage have numbers below all
+    first = q.select((-1 - F.col("query_id")).alias("query_id"), F.lit(0).alias("key"), "query")
+    near = vectors.block_top_k(first, c.withColumn("id", F.col("id").cast("long")), 3, above=None).select((-1 - F.col("query_id")).alias("query_id"), F.col("id").cast("int").alias("key"))
+    stage = near.join(q, "query_id")
+    found = vectors.block_top_k(stage, e.select(F.col("vec_id").alias("id"), F.col("label").alias("key"), F.col("embedding").alias("vector")), 3, within=["key"], above=None)
+    return found.select("query_id", F.col("key").alias("label"), "id", "rank")
+
+
+@plan("vector_index_top_k")
+def vector_index_top_k(spark, sf):
+    """The stated query set through lists around centroids; tests hold its recall against all pairs."""
+    e = readers.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vectors.VectorIndex(e).search(e.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query")), 10).select("query_id", "id", "rank")
 
 
 @plan(
