@@ -191,9 +191,45 @@ def sar(spark, sf):
     return terrain.sar_change(_pixels(spark, sf)).select("scene", "row", "col", F.round("db", 5).alias("db"))
 
 
-@plan("change_polygons")
+@plan(
+    "change_polygons",
+    f"""WITH RECURSIVE {_PIX}, p AS (SELECT *, abs(after - before) AS d, max(abs(after - before)) OVER (PARTITION BY scene) AS m FROM pix), v AS (SELECT scene, r, c, d / m AS diff, d / m >= 0.3 AS changed FROM p),
+h AS (SELECT scene, r, c, r * 1000 + c AS k FROM v WHERE changed), l AS (SELECT a.scene, a.k AS a, b.k AS b FROM h a JOIN h b ON a.scene = b.scene AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
+t AS (SELECT scene, k, k AS root FROM h UNION SELECT t.scene, t.k, l.b FROM t JOIN l ON t.scene = l.scene AND t.root = l.a), g AS (SELECT scene, k, min(root) AS root FROM t GROUP BY ALL),
+n AS (SELECT scene, a AS k, count(*) AS n FROM l GROUP BY ALL),
+x AS (SELECT scene, root, count(*) AS pixels, min(k // 1000) AS row_min, min(k % 1000) AS col_min, max(k // 1000) AS row_max, max(k % 1000) AS col_max, sum(4 - coalesce(n, 0))::BIGINT AS perimeter FROM g LEFT JOIN n USING (scene, k) GROUP BY ALL)
+SELECT x.scene, pixels, row_min, col_min, row_max, col_max, perimeter, round(avg(v.diff), 4) AS score FROM x JOIN v ON v.scene = x.scene AND r BETWEEN row_min AND row_max AND c BETWEEN col_min AND col_max GROUP BY x.scene, root, pixels, row_min, col_min, row_max, col_max, perimeter""",
+)
 def polygons(spark, sf):
-    return terrain.mask_polygons(terrain.optical_change(_pixels(spark, sf).withColumn("band", F.lit(1))), ["scene"])
+    """Changed regions as polygons with holes; the length of their outlines stands for the rings."""
+    change = terrain.optical_change(_pixels(spark, sf).withColumn("band", F.lit(1)), 0.3)
+    found = terrain.change_polygons(change, ["scene"])
+    around = lambda ring: F.aggregate(F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)), lambda p, q: F.abs(p["x"] - q["x"]) + F.abs(p["y"] - q["y"])), F.lit(0).cast("long"), lambda n, x: n + x)
+    perimeter = F.aggregate(F.transform("rings", around), F.lit(0).cast("long"), lambda n, x: n + x)
+    return found.select("scene", "pixels", "row_min", "col_min", "row_max", "col_max", perimeter.alias("perimeter"), "score")
+
+
+@plan(
+    "window_resample",
+    f"""WITH {_PIX}, t AS (SELECT s.scene, tr, tc, (tc + 0.5) * 24 / 37 - 0.5 AS fx, (tr + 0.5) * 24 / 29 - 0.5 AS fy FROM (SELECT DISTINCT scene FROM pix) s, range(29) a(tr), range(37) b(tc)),
+k AS (SELECT scene, tr, tc, floor(fx)::BIGINT + dx AS c, floor(fy)::BIGINT + dy AS r, (CASE dx WHEN 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END) * (CASE dy WHEN 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) AS w FROM t, range(2) x(dx), range(2) y(dy))
+SELECT k.scene, tr AS row, tc AS col, round(sum(w * before) / sum(w), 9) AS value FROM k JOIN pix ON pix.scene = k.scene AND pix.r = k.r AND pix.c = k.c WHERE w > 0 GROUP BY ALL""",
+)
+def window_resample(spark, sf):
+    """Every scene of 24 by 24 pixels brought to a window of 29 rows and 37 columns."""
+    src = _pixels(spark, sf).select("scene", "row", "col", F.col("before").alias("value"))
+    rows, cols = F.explode(F.sequence(F.lit(0), F.lit(28))).alias("row"), F.explode(F.sequence(F.lit(0), F.lit(36))).alias("col")
+    window = src.select("scene").distinct().select("scene", rows).select("scene", "row", cols)
+    target = window.select("*", ((F.col("col") + 0.5) * 24 / 37).alias("x"), ((F.col("row") + 0.5) * 24 / 29).alias("y"))
+    return terrain.resampled(src, target, ["scene"], 0.0, 0.0, 1.0, 1.0).where("value IS NOT NULL").withColumn("value", F.round("value", 9))
+
+
+@plan("cfar_passes")
+def cfar_passes(spark, sf):
+    """Bright regions of whole passes on the map; a pass is a return flag of the lines."""
+    cells = readers.table(spark, sf, "lineitem").groupBy("l_returnflag", (F.col("l_partkey") % 90).cast("int").alias("row"), (F.col("l_orderkey") % 110).cast("int").alias("col"))
+    made = cells.agg(F.sum("l_quantity").alias("db")).withColumnRenamed("l_returnflag", "pass")
+    return terrain.cfar_pass(made, ["pass"], (54.0, 1e-3, 0.0, 25.0, 0.0, -1e-3), background=12, guard=2, min_pixels=1)
 
 
 @plan("sar_cfar")
