@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from geosweep.functions import geo, labels, scoring
+from geosweep.operators import graph, polygons, spatial, store
 from geosweep.operators import graph as g
-from geosweep.operators import polygons, spatial
 from geosweep.operators import records as rec
 from geosweep.operators import tracking
 from geosweep.operators.spatial import radius_join
@@ -352,6 +352,27 @@ def aged_tracks(spark, sf):
     return rec.aged(t, geo.point_in_ring("lon", "lat", ring), (F.col("site_id") % 10) / 10.0).select("site_id", "misses", "status")
 
 
+@plan(
+    "detection_store",
+    f"""WITH {DET} SELECT id AS det_id, pass_id, CASE WHEN id % 3 = 0 THEN upper(class) ELSE class END AS cls, round(confidence, 6) AS confidence FROM det WHERE id % 7 <> 0 AND pass_id NOT IN (4, 9)
+UNION ALL SELECT id, pass_id, 'again', 1.0::DOUBLE FROM det WHERE pass_id = 4 AND id % 3 = 1""",
+)
+def detection_store(spark, sf):
+    """All detections merged, a third of them changed, a seventh deleted, one step replayed, and two passes processed again, one of them without a find."""
+    import uuid
+
+    graph.ensure_checkpoints(spark)
+    s = store.Store(spark, f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}", "det_id long, pass_id long, cls string, confidence double")
+    det = detections(spark, sf).select(F.col("id").alias("det_id"), F.col("pass_id").cast("long").alias("pass_id"), F.col("class").alias("cls"), F.round("confidence", 6).alias("confidence"))
+    at = F.lit("2024-03-01").cast("timestamp")
+    s.merge(det, "all")
+    s.merge(det.where("det_id % 3 = 0").select("det_id", "pass_id", F.upper("cls").alias("cls")), "upper")
+    s.tombstone(det.where("det_id % 7 = 0"), "seventh", at)
+    s.merge(det, "all")
+    s.replace(det.where("pass_id = 4 AND det_id % 3 = 1").withColumn("cls", F.lit("again")).withColumn("confidence", F.lit(1.0)), "again", at, [4, 9])
+    return s.live()
+
+
 # --- pixels, footprints, masks
 
 

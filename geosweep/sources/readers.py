@@ -145,7 +145,7 @@ def layover_risk(incidence) -> Column:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of every file below a path."""
+    """SHA-256 of every file below a path; Spark lists no files without bytes."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
