@@ -216,11 +216,13 @@ def with_pass(spark, sf):
     return detections(spark, sf).select("id", "class", "pass_id").join(p, "pass_id", "left").select("id", "class", "pass_id", "sensor")
 
 
-@plan("candidates_with_details", "SELECT l_orderkey, l_linenumber, p_name, s_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_discount >= 0.08")
+@plan("candidates_with_details", "SELECT l_orderkey, l_linenumber, p_name, s_name, o_orderstatus FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey")
 def candidate_details(spark, sf):
-    l = table(spark, sf, "lineitem").where("l_discount >= 0.08")
-    p, s = table(spark, sf, "part"), table(spark, sf, "supplier")
-    return l.join(p, l["l_partkey"] == p["p_partkey"]).join(s, l["l_suppkey"] == s["s_suppkey"]).select("l_orderkey", "l_linenumber", "p_name", "s_name")
+    """All candidates with the target, the source and the track that they name."""
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    p, s, o = table(spark, sf, "part").select("p_partkey", "p_name"), table(spark, sf, "supplier").select("s_suppkey", "s_name"), table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    joined = l.join(p, l["l_partkey"] == p["p_partkey"]).join(s, l["l_suppkey"] == s["s_suppkey"]).join(o, l["l_orderkey"] == o["o_orderkey"])
+    return joined.select("l_orderkey", "l_linenumber", "p_name", "s_name", "o_orderstatus")
 
 
 @plan("optional_match", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F'")

@@ -118,10 +118,16 @@ def orphans(spark, sf):
     return readers.table(spark, sf, "customer").join(readers.table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
-@plan("proposals_not_yet_known", "SELECT DISTINCT p_name AS name FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size > 45) AND p_name NOT IN (SELECT p_name FROM part WHERE p_brand LIKE '%1')")
+@plan(
+    "proposals_not_yet_known",
+    """WITH p AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst, l_returnflag AS kind FROM lineitem)
+SELECT src, dst FROM p WHERE kind = 'N' AND NOT EXISTS (SELECT 1 FROM p q WHERE q.src = p.src AND q.dst = p.dst AND q.kind = 'R') AND NOT EXISTS (SELECT 1 FROM p q WHERE q.src = p.src AND q.dst = p.dst AND q.kind = 'A')""",
+)
 def not_known(spark, sf):
-    p = readers.table(spark, sf, "part").select(F.col("p_name").alias("name"), "p_size", "p_brand")
-    return p.select("name").distinct().join(p.where("p_size > 45").select("name"), "name", "left_anti").join(p.where("p_brand LIKE '%1'").select("name"), "name", "left_anti")
+    """Proposed pairs that were neither accepted nor rejected before."""
+    p = readers.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("kind")).distinct()
+    known = lambda kind: p.where(F.col("kind") == kind).select("src", "dst")
+    return known("N").join(known("R"), ["src", "dst"], "left_anti").join(known("A"), ["src", "dst"], "left_anti")
 
 
 @plan("document_mentions", "SELECT doc_id, n_name AS name FROM documents JOIN nation ON contains(lower(text), substr(lower(n_name), 1, 3)) OR contains(substr(lower(n_name), 1, 3), lower(text))")
