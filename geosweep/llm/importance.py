@@ -235,3 +235,19 @@ def resample(
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return made.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: The same in SQL: CRC-32 by its table over the bytes of each distinct feature.
+ORACLE = f"""WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+w AS (SELECT doc_id, 'd' AS side, {_WORDS} AS w, row_number() OVER () AS r FROM documents
+UNION ALL SELECT NULL, 'b', {_WORDS}, NULL FROM benchmark),
+f AS (SELECT r, side, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM w),
+c AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, strlen(f) + 1), lambda i: ('0x' || substr(hex(f), 2 * i - 1, 2))::BIGINT)), lambda h, b: xor(t[(xor(h, b) & 255) + 1], h >> 8)), 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT f FROM f), tab),
+n AS (SELECT bucket, count(*) FILTER (WHERE side = 'd') AS s, count(*) FILTER (WHERE side = 'b') AS t FROM f JOIN c USING (f) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM n) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM n) + 10000)::DOUBLE)))::BIGINT AS gain FROM n),
+m AS (SELECT r, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN c USING (f) JOIN g USING (bucket) WHERE side = 'd' GROUP BY r),
+x AS (SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h, w.r FROM w LEFT JOIN m USING (r) WHERE side = 'd'),
+y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM x),
+z AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, weight DESC, n_features DESC) AS rank FROM y WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (25 * (SELECT count(*) FROM z)) // 100 THEN rank END AS rank FROM y LEFT JOIN z USING (r)"""

@@ -51,4 +51,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_quality_rules": quality_rules.ORACLE,
         "op10_warc": warc.ORACLE,
         "op12_vector_codes": vector_codes.ORACLE,
+        "op13_importance": importance.ORACLE,
     }
