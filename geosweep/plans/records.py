@@ -68,6 +68,24 @@ def fallback(spark, sf):
     return readers.preferred_source(s, "clip_id", "source", ["KLV", "GPMD", "SRT"]).select("clip_id", "n", "source")
 
 
+@plan(
+    "binary_telemetry",
+    f"""WITH {POINTS}, n AS (SELECT track_id, lon, lat, row_number() OVER (PARTITION BY track_id ORDER BY point_id) - 1 AS k, count(*) OVER (PARTITION BY track_id) AS n FROM pts)
+SELECT track_id, round(k / n * (10.00037::DOUBLE + track_id % 50), 3) AS t, round(lat * 10000000)::BIGINT / 1e7 AS lat, round(lon * 10000000)::BIGINT / 1e7 AS lon, (k % 900)::DOUBLE AS alt FROM n""",
+)
+def binary_telemetry(spark, sf):
+    """The points of every track as a stream of binary blocks, with scales and in containers, and read back."""
+    w = Window.partitionBy("track_id").orderBy("point_id")
+    word = lambda c: F.lpad(F.hex(F.round(c).cast("long")), 8, "0")
+    p = track_points(spark, sf).withColumn("k", F.row_number().over(w) - 1)
+    fix = F.concat(F.lit("475053356C140001"), word(F.col("lat") * 10_000_000), word(F.col("lon") * 10_000_000), word((F.col("k") % 900) * 1000), F.repeat(F.lit("0"), 16))
+    # STRM container of 28 bytes around every fix, after the scales
+    listed = p.select("track_id", "k", F.concat(F.lit("5354524D0001001C"), fix).alias("b")).groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("k", "b"))).alias("bs"))
+    scales = "5343414C6C0400050098968000989680000003E8000003E8000003E8"
+    files = listed.select("track_id", (F.lit(10.00037) + F.col("track_id") % 50).alias("duration"), F.unhex(F.concat(F.lit(scales), F.array_join(F.transform("bs", lambda s: s["b"]), ""))).alias("content"))
+    return readers.gpmd_samples(files, "track_id")
+
+
 @plan("raster_times", "SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS taken, CASE WHEN o_orderkey % 60 < 25 THEN 'high' WHEN o_orderkey % 60 < 35 THEN 'moderate' ELSE 'low' END AS layover FROM orders")
 def raster_times(spark, sf):
     k, d = F.col("o_orderkey"), F.col("o_orderdate")

@@ -120,6 +120,59 @@ def srt_samples(files: DataFrame, content: str = "content") -> DataFrame:
     return rows.dropna(subset=["t", "lat", "lon"])
 
 
+def _blocks(data: memoryview, at: int, end: int):
+    """(key, type, size, count, payload) of the blocks of a stream of four-byte keys, containers (type 0) opened in place.
+
+    Blocks are aligned to four bytes; one that is cut off ends the stream.
+    """
+    while at + 8 <= end:
+        key, kind, size, count = bytes(data[at : at + 4]), data[at + 4], data[at + 5], int.from_bytes(data[at + 6 : at + 8], "big")
+        first, at = at + 8, at + 8 + (size * count + 3 & ~3)
+        if first + size * count > end:
+            return
+        if kind == 0 and size:
+            yield from _blocks(data, first, first + size * count)
+        elif key.strip(b"\x00 "):
+            yield key, kind, size, count, data[first : first + size * count]
+
+
+def gps_blocks(content: bytes) -> list[tuple[float, float, float | None]]:
+    """(lat, lon, alt) of the first fix of each position block, divided by the scales that were given last."""
+    scale, found = [1.0] * 5, []
+    for key, kind, size, count, payload in _blocks(memoryview(content), 0, len(content)):
+        numbers = lambda n: [int.from_bytes(payload[4 * i : 4 * i + 4], "big", signed=True) for i in range(n)]  # noqa: B023, E731
+        if kind == ord("l") and key == b"SCAL" and size == 4:
+            scale = [float(v) or 1.0 for v in numbers(count)]
+        elif kind == ord("l") and key == b"GPS5" and size == 20 and count and len(scale) > 1:
+            lat, lon, alt = numbers(3)
+            found.append((lat / scale[0], lon / scale[1], alt / scale[2] if len(scale) > 2 else None))
+    return found
+
+
+def gpmd_samples(files: DataFrame, clip: str, content: str = "content", duration: str = "duration") -> DataFrame:
+    """(clip, t, lat, lon, alt) of the position blocks of binary telemetry, spread evenly over the clip's duration.
+
+    Without a duration the samples are a second apart; null or empty content has none.
+    """
+    kind = files.schema[clip].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at, rows = [], []
+            for i, (value, seconds) in enumerate(zip(batch.column("content"), batch.column("duration").to_pylist(), strict=True)):
+                fixes = gps_blocks(value.as_buffer().to_pybytes()) if value.is_valid else []
+                span = seconds if seconds and seconds > 0 else float(len(fixes))
+                at += [i] * len(fixes)
+                rows += [(round(k / len(fixes) * span, 3), *fix) for k, fix in enumerate(fixes)]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.float64()) for c in columns)], names=[clip, "t", "lat", "lon", "alt"])
+
+    source = files.select(clip, F.col(content).alias("content"), F.col(duration).cast("double").alias("duration"))
+    return source.mapInArrow(run, f"{clip} {kind}, t double, lat double, lon double, alt double")
+
+
 def telemetry_frames(samples: DataFrame, clip: str, fps: float) -> DataFrame:
     """One row per clip and frame, the earliest sample of equals; the footprint ring comes along."""
     frame = F.round(F.col("t") * fps).cast("int")

@@ -116,3 +116,24 @@ def test_digests_of_files(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"x" * 1000)
     got = {r[0].rsplit("/", 1)[-1]: r[1] for r in readers.file_digests(spark, f"file://{tmp_path}/*.bin").collect()}
     assert got == {"a.bin": hashlib.sha256(b"x" * 1000).hexdigest()}
+
+
+def test_binary_telemetry(spark):
+    import struct
+
+    def block(key, kind, size, count, payload):
+        return key + kind + bytes([size]) + struct.pack(">H", count) + payload + b"\0" * (-len(payload) % 4)
+
+    scal = block(b"SCAL", b"l", 4, 5, struct.pack(">5l", 10_000_000, 10_000_000, 1000, 0, 100))
+    gps = lambda *fixes: block(b"GPS5", b"l", 20, len(fixes), b"".join(struct.pack(">5l", *f, 0, 0) for f in fixes))
+    name = block(b"STNM", b"c", 1, 3, b"GPS")
+    inner = name + scal + gps((-515_000_000, 1_200_000, 35_500), (1, 2, 3))
+    assert readers.gps_blocks(inner) == [(-51.5, 0.12, 35.5)]
+    body = block(b"STRM", b"\0", 1, len(inner), inner)
+    nested = block(b"DEVC", b"\0", 1, len(body), body) + b"\0" * 8 + gps((10_000_000, 20_000_000, 0))
+    assert readers.gps_blocks(nested) == [(-51.5, 0.12, 35.5), (1.0, 2.0, 0.0)]
+    assert readers.gps_blocks(nested[:-4]) == [(-51.5, 0.12, 35.5)] and readers.gps_blocks(nested[:30]) == [] and readers.gps_blocks(b"") == []
+    assert readers.gps_blocks(block(b"GPS5", b"s", 20, 1, b"\0" * 20) + block(b"GPS5", b"l", 16, 1, b"\0" * 16)) == []
+    files = spark.createDataFrame([(1, nested, 8.0), (2, None, 8.0), (3, b"", None), (4, scal + gps((0, 0, 0)) * 3, None)], "clip int, content binary, duration double")
+    got = sorted((r["clip"], r["t"], r["lat"]) for r in readers.gpmd_samples(files, "clip").collect())
+    assert got == [(1, 0.0, -51.5), (1, 4.0, 1.0), (4, 0.0, 0.0), (4, 1.0, 0.0), (4, 2.0, 0.0)]
