@@ -19,14 +19,14 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="geosweep-"))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` from a table in the checkpoint folder: cuts lineage in one job and survives lost executors."""
+def settled(df: DataFrame, session: SparkSession | None = None) -> DataFrame:
+    """The rows of ``df`` from a table in the checkpoint folder, read by its own or another session: cuts lineage in one job and survives lost executors."""
     import uuid
 
     ensure_checkpoints(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (session or df.sparkSession).read.schema(df.schema).parquet(path)
 
 
 def simple(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -93,37 +93,47 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     share one rank, a number of the driver's.  Several rounds make one job: as no round moves more than the one
     before it (by the damping), the rounds that are left are told from the pace so far, and a job that would go
     past the first round within the tolerance is done again with fewer.
+
+    The rounds run in a session of their own without adaptive execution: hubs are split already, and planning
+    the rest of a job anew after every round costs more than the round.
     """
     ensure_checkpoints(nodes.sparkSession)
-    spark = nodes.sparkSession
-    adjacency = _adjacency(both_ways(simple(nodes, edges))).transform(settled)
+    spark, rounds_session = nodes.sparkSession, nodes.sparkSession.newSession()
+    for name, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))):
+        rounds_session.conf.set(name, value)
+    adjacency = settled(_adjacency(both_ways(simple(nodes, edges))), rounds_session)
     hubs = adjacency.where("part > 0").limit(1).count() > 0
     keys = ["src", "part"] if hubs else ["src"]
-    spread = adjacency.select(*keys, "deg", F.concat(F.array("src"), "to").alias("to")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys).persist()
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = adjacency.select(*keys, "deg", "to").repartition(n_parts, *keys).sortWithinPartitions(*keys).persist()
+    parts = adjacency.where("part > 0").groupBy(F.col("src").alias("id")).agg(F.max("part").alias("last")).transform(settled) if hubs else None
     ids = nodes.select("id").distinct()
     n = ids.count()
-    linked = adjacency.groupBy(F.col("src").alias("id")).agg(F.first("deg").alias("deg"))
+    linked = adjacency.select(F.col("src").alias("id")).distinct()
     n_loose = n - linked.count()
 
     def step(ranks: DataFrame, alone: float) -> tuple[DataFrame, float]:
-        """(id, deg, rank, before) after one more round; each row of the adjacency begins with its own node, whose rank goes to itself."""
-        out = ranks.select(F.col("id").alias("src"), *([F.explode(F.sequence(F.lit(0), (F.ceil(F.col("deg") / ADJACENT) - 1).cast("int"))).alias("part")] if hubs else []), "rank")
-        sent = out.hint("merge").join(spread, keys).select("deg", "rank", F.posexplode("to").alias("pos", "id"))
-        own = F.col("pos") == 0
-        got = sent.groupBy("id").agg(F.sum(F.when(own, 0.0).otherwise(F.col("rank") / F.col("deg"))).alias("s"), F.max(F.when(own, F.col("deg"))).alias("deg"), F.max(F.when(own, F.col("rank"))).alias("before"))
+        """(id, rank) after one more round; every node of an edge is sent something."""
+        if hubs:
+            ranks = ranks.join(parts, "id", "left").select("id", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("part"), "rank")
+        met = ranks.withColumnRenamed("id", "src").hint("merge").join(spread, keys)
+        sent = met.select(F.explode("to").alias("id"), (F.col("rank") / F.col("deg")).alias("s"))
         base = (1 - damping) / n + damping * n_loose * alone / n
-        return got.select("id", "deg", (F.lit(base) + damping * F.col("s")).alias("rank"), "before"), base
+        return sent.groupBy("id").agg((F.lit(base) + damping * F.sum("s")).alias("rank")), base
 
     ranks, alone = linked.withColumn("rank", F.lit(1.0 / max(n, 1))).transform(settled), 1.0 / max(n, 1)
     done, size, last = 0, ROUNDS_A_JOB, None
     while n and done < rounds:
         size = min(size, rounds - done)
         made, loose = ranks, alone
-        for _ in range(size):
-            before = loose
+        for _ in range(size - 1):
             made, loose = step(made, loose)
+        # the last round of a job by itself, from a table, to be compared with the one before
+        before, loose_before = made.transform(settled) if size > 1 else made, loose
+        made, loose = step(before, loose)
         made = made.transform(settled)
-        moved = made.agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("before"))), F.lit(0.0))).first()[0] + n_loose * abs(loose - before)
+        change = made.join(before.select("id", F.col("rank").alias("was")), "id").agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("was"))), F.lit(0.0)))
+        moved = change.first()[0] + n_loose * abs(loose - loose_before)
         if tolerance is not None and moved < tolerance and size > 1:
             size = (size + 1) // 2  # an earlier round of these may do
             continue
@@ -134,8 +144,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
             pace = (moved / last) ** (1 / size) if last and 0 < moved < last else damping
             size = max(1, min(ROUNDS_A_JOB, int(np.log(tolerance / moved) / np.log(min(pace, 0.999)))))
         last = moved
+    found = settled(ranks, spark)
     spread.unpersist()
-    return ids.join(ranks.select("id", "rank"), "id", "left").withColumn("rank", F.coalesce("rank", F.lit(alone)))
+    return ids.join(found, "id", "left").withColumn("rank", F.coalesce("rank", F.lit(alone)))
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
