@@ -22,9 +22,9 @@ import pyarrow.compute as pc
 U64 = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_PIECE = 1 << 20
+_PIECE = 1 << 17
 #: Bytes of text handled at once; bounds the numpy temporaries of a Python worker.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 @functools.cache

@@ -37,17 +37,29 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 4
 LONG = 48
 _RATIO = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
 
 
 class Lattice:
-    """Pieces of a model as byte strings with scores; picklable, of the model's fixed size."""
+    """Pieces of a model as byte strings with scores; picklable, of the model's fixed size.
+
+    What is derived from them is made where it is used and goes with the lattice, so that a
+    worker that lives on holds nothing of the models it has had before.
+    """
 
     def __init__(self, pieces: list[tuple[bytes, int, float]], byte_ids: list[int], penalty: float):
         self.pieces, self.byte_ids, self.penalty = pieces, byte_ids, penalty
-        self.ids = {p: (i, s) for p, i, s in pieces}
         self.longest = max((len(p) for p, _, _ in pieces), default=1)
-        self.bytes_of = {i: p for p, i, _ in pieces} | {b: bytes([n]) for n, b in enumerate(byte_ids)}
+
+    def __reduce__(self):
+        return Lattice, (self.pieces, self.byte_ids, self.penalty)
+
+    @functools.cached_property
+    def ids(self) -> dict[bytes, tuple[int, float]]:
+        return {p: (i, s) for p, i, s in self.pieces}
+
+    @functools.cached_property
+    def bytes_of(self) -> dict[int, bytes]:
+        return {i: p for p, i, _ in self.pieces} | {b: bytes([n]) for n, b in enumerate(self.byte_ids)}
 
     @classmethod
     def load(cls, path: str) -> Lattice:
@@ -105,22 +117,29 @@ class Lattice:
         return out
 
 
-@functools.cache
-def _tables(lattice: Lattice):
+def _made_tables(lattice: Lattice):
     """Byte pairs within pieces; and a filter and sorted table of piece hashes."""
     inner = np.zeros((256, 256), bool)
     for p, _, _ in lattice.pieces:
         b = np.frombuffer(p, np.uint8)
         inner[b[:-1], b[1:]] = True
-    by_hash = sorted((_piece_hash(p), i, s) for p, i, s in lattice.pieces)
-    keys = np.array([h for h, _, _ in by_hash], np.uint64)
-    if len(np.unique(keys)) != len(keys):
+    keys = _piece_hashes([p for p, _, _ in lattice.pieces])
+    order = np.argsort(keys)
+    keys = keys[order]
+    if (keys[1:] == keys[:-1]).any():
         raise ValueError("two pieces share a hash")
     maybe = np.zeros(1 << 20, bool)
     maybe[keys >> np.uint64(44)] = True
     step = np.cumprod(np.append(np.uint64(1), np.full(LONG, _RATIO, np.uint64)))
     back = np.cumprod(np.append(np.uint64(1), np.full(LONG, pow(_RATIO, -1, 1 << 64), np.uint64)))
-    return inner, keys, np.array([i for _, i, _ in by_hash]), np.array([s for _, _, s in by_hash]), maybe, step, back
+    return inner, keys, np.array([i for _, i, _ in lattice.pieces])[order], np.array([s for _, _, s in lattice.pieces])[order], maybe, step, back
+
+
+def _tables(lattice: Lattice):
+    """The lattice's tables, kept with it: a cache of its own would hold every lattice that a worker has ever had."""
+    if "tables" not in vars(lattice):
+        lattice.tables = _made_tables(lattice)
+    return lattice.tables
 
 
 @functools.cache
@@ -128,9 +147,15 @@ def _letters() -> np.ndarray:
     return np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64)
 
 
-def _piece_hash(piece: bytes) -> int:
-    total = sum(int(_letters()[b]) * pow(_RATIO, i, 1 << 64) for i, b in enumerate(piece)) & _MASK
-    return int(finish(np.array([total ^ len(piece)], np.uint64))[0])
+def _piece_hashes(pieces: list[bytes]) -> np.ndarray:
+    """Hash of each piece, all of one length at once."""
+    out, size = np.zeros(len(pieces), np.uint64), np.array([len(p) for p in pieces], np.int64)
+    for length in np.unique(size):
+        mine = np.flatnonzero(size == length)
+        chars = np.frombuffer(b"".join(pieces[i] for i in mine), np.uint8).reshape(len(mine), length)
+        step = np.array([pow(_RATIO, i, 1 << 64) for i in range(length)], np.uint64)
+        out[mine] = finish((_letters()[chars] * step).sum(axis=1, dtype=np.uint64) ^ np.uint64(length))
+    return out
 
 
 def viterbi(lattice: Lattice, chunks: np.ndarray, size: np.ndarray):
