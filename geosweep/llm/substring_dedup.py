@@ -36,12 +36,12 @@ from geosweep.llm.blocks import Block, finish, gram_digest, pack, pair, unpack
 from geosweep.llm.frames import REQUEST, REQUEST_ARROW, answers, by_reducer, dealt, in_order, n_buckets, requests, table, with_answers
 
 ROUNDS = 6
-_FAR = 1 << 40
+_FAR = 1 << 30
 
 
 def recompress(name: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS):
     """Levels of symbols as (name, start, lowest and highest word depended on)."""
-    start = np.arange(len(name), dtype=np.int64)
+    start = np.arange(len(name), dtype=np.int32)
     lo, hi = start, start
     levels = [(name, start, lo, hi)]
     for k in range(rounds):
@@ -88,20 +88,15 @@ def anchors(words: np.ndarray, doc: np.ndarray, window: int, rounds: int = ROUND
     at = np.flatnonzero(doc[: max(n, 0)] == doc[window - 1 :]) if n > 0 else np.zeros(0, np.int64)
     levels = recompress(words, doc, rounds)
     level, symbol = np.zeros(len(at), np.int8), at.copy()
-    open_ = np.arange(len(at))
+    open_, todo = np.arange(len(at)), at
     for k in range(len(levels) - 1, 0, -1):
-        _, start, lo, hi = levels[k]
-        todo, rest = open_, []
-        cand = np.searchsorted(start, at[todo])
-        while len(todo):
-            inside = cand < len(start)
-            inside[inside] = start[cand[inside]] < at[todo[inside]] + window
-            rest.append(todo[~inside])
-            todo, cand = todo[inside], cand[inside]
-            good = (lo[cand] >= at[todo]) & (hi[cand] < at[todo] + window)
-            level[todo[good]], symbol[todo[good]] = k, cand[good]
-            todo, cand = todo[~good], cand[~good] + 1
-        open_ = np.sort(np.concatenate(rest)) if rest else open_[:0]
+        _, _, lo, hi = levels[k]
+        # ends of spans never fall within a document, so the first symbol that depends on nothing before
+        # the window is the only one to try; symbols that depend on their document's edge lie lower
+        first = np.searchsorted(np.maximum.accumulate(lo), todo.astype(lo.dtype))
+        good = np.append(hi, _FAR)[first] < todo + window
+        level[open_[good]], symbol[open_[good]] = k, first[good]
+        open_, todo = open_[~good], todo[~good]
     return at, level, symbol, levels
 
 
@@ -119,18 +114,19 @@ class _Bucket:
         self.words = self.block.words()
 
     def anchored(self, window: int):
+        """Starts of all windows, the place of each one's anchor among the sorted names, these, and which occur twice."""
         at, level, symbol, levels = anchors(self.words, self.block.word_doc, window)
-        name = np.zeros(len(at), np.uint64)
-        names = []
+        place = np.zeros(len(at), np.int64)
+        names, n = [np.zeros(0, np.uint64)], 0
         for k, (symbols, *_) in enumerate(levels):
-            mine = level == k
+            mine = np.flatnonzero(level == k)
             used = np.zeros(len(symbols), bool)
             used[symbol[mine]] = True
-            salted = finish(symbols ^ np.uint64(k << 56 | k))
-            names.append(salted[used])
-            name[mine] = salted[symbol[mine]]
-        unique, count = np.unique(np.concatenate(names) if names else name, return_counts=True)
-        return at, name, unique, count > 1
+            names.append(finish(symbols[used] ^ np.uint64(k << 56 | k)))
+            place[mine] = (np.cumsum(used) - 1 + n)[symbol[mine]]
+            n += len(names[-1])
+        unique, back, count = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
+        return at, back[place], unique, count > 1
 
 
 def _ask_names(window: int, reducers: int):
@@ -161,23 +157,34 @@ def _bits(replies: pa.Table, unique: np.ndarray, reducers: int) -> np.ndarray:
     return np.concatenate(flags).astype(bool) if flags else np.zeros(0, bool)
 
 
+def _sorted_by(first: np.ndarray, *then: np.ndarray) -> np.ndarray:
+    """Order by a hash, and by ``then`` (and place) where hashes are equal; only those rows are sorted by all columns."""
+    order = np.argsort(first)
+    same = first[order[1:]] == first[order[:-1]]
+    tied = np.flatnonzero(np.append(same, False) | np.append(False, same)) if len(order) else order
+    rows = np.sort(order[tied])
+    order[tied] = rows[np.lexsort([c[rows] for c in (*then[::-1], first)])]
+    return order
+
+
 def _ask_windows(window: int, reducers: int):
     def fn(rows: pa.Table, replies: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return REQUEST_ARROW.empty_table()
         b = _Bucket(rows)
-        at, name, unique, _ = b.anchored(window)
+        at, place, unique, _ = b.anchored(window)
         more = _bits(replies, unique, reducers)
-        at = at[more[np.searchsorted(unique, name)]] if len(unique) else at
+        at = at[more[place]]
         digest = gram_digest(b.words, window)[at] if len(at) else gram_digest(b.words[:0], window)
-        order = np.lexsort((at, digest["lo"], digest["hi"]))
-        digest, at = digest[order], at[order]
-        head = np.append(True, digest[1:] != digest[:-1])[: len(at)]
+        hi, lo = np.ascontiguousarray(digest["hi"]), np.ascontiguousarray(digest["lo"])
+        order = _sorted_by(hi, lo, at)
+        hi, lo, at = hi[order], lo[order], at[order]
+        head = np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))[: len(at)]
         number = rows.column("__b")[0].as_py()
         local = np.sort(at[~head]).astype(np.uint32)
-        at, digest = at[head], digest[head]
+        hi, lo, at = hi[head], lo[head], at[head]
         doc = b.block.word_doc[at]
-        out = requests(number, reducers, np.ascontiguousarray(digest["hi"]), np.ascontiguousarray(digest["lo"]), b.order[doc], at.astype(np.uint32))
+        out = requests(number, reducers, hi, lo, b.order[doc], at.astype(np.uint32))
         own = pa.table([pa.array([number], pa.int32()), pa.array([-1 - number], pa.int32()), pa.array([pack(local)])], schema=REQUEST_ARROW)
         return pa.concat_tables([out, own])
 
@@ -191,7 +198,7 @@ def later_windows(asked: pa.Table) -> pa.Table:
     asked = asked.take(pa.compute.sort_indices(asked, [("__b", "ascending")]))  # ties go to the lower bucket
     parts_ = [unpack(v) for v in asked.column("__v").to_pylist()]
     hi, lo, doc, at = (np.concatenate([p[i] for p in parts_]) for i in range(4))
-    order = np.lexsort((at, doc, lo, hi))
+    order = _sorted_by(hi, lo, doc, at)
     later = np.zeros(len(hi), bool)
     later[order[1:]] = (hi[order[1:]] == hi[order[:-1]]) & (lo[order[1:]] == lo[order[:-1]])
     cut = np.cumsum([len(p[0]) for p in parts_])[:-1]
