@@ -20,15 +20,18 @@ large E is (smaller segments, but weaker ones left out) is decided per scheme by
 of signatures and expected collisions at its documents' number.
 
 Candidates never multiply within a bucket of equal signatures.  Each bucket has a hub,
-its member with the most company, and members are verified against the hub.  Two members
-that both link to the hub are connected through it.  A pair with a member that does not
-link must, if it links itself, share many of the n-grams in which the two differ from the
-hub.  With these deviations ordered by how many members of the hub have them, rarest first,
-the two share one among their first T + 1 (T the largest difference that a size allows):
-such pairs are found by an equi-join on (hub, n-gram) and verified too.  Where more than
-``FEW`` members share a deviation they are first verified against one of themselves, and
-only pairs that this does not connect are formed.  So no link between different components
-is lost.
+its member with the most company, and members are verified against the hub.  What these
+links connect is settled; a bucket whose other members lie in two components or more may
+hold a link between them.  Such a pair has a member that does not link to the hub, so it
+must, if it links itself, share many of the n-grams in which the two differ from the hub:
+all but T of each one's (T the largest difference that its size allows).  A deviation counts
+if members of two components have it, and if what they have alone comes to no more than T;
+a member that has more than T alone is left out.  With the others' ordered by how many
+members of the hub have them, rarest first, the two share one before they have passed more
+than T without the other: such pairs are found by an equi-join on (hub, n-gram) and verified
+too.  Where more than ``FEW`` members share a
+deviation they are first verified against one of themselves, and only pairs that this does
+not connect are formed.  So no link between different components is lost.
 
 Edge cases: every row is a document, whether it shares its id or has none; a document of
 fewer than n words has its whole word sequence as one n-gram; one without words, or with
@@ -372,36 +375,68 @@ def components(edges: DataFrame) -> DataFrame:
 FEW = 16
 
 
+def reach(rule: Rule):
+    """``Rule.reach`` of the column ``size``."""
+    return F.floor((rule.den - rule.num) * (F.col("size") + F.floor(F.col("size") * rule.den / rule.num)) / (rule.den + rule.num))
+
+
+def common(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Deviations that a member can share with one of another component that it links to, n times in all.
+
+    ``lone`` counts a member's other deviations: what two members have alone may not come to more than the
+    larger difference that a size allows.
+    """
+    keys = rows.groupBy("hub", "item").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("lone").alias("least"))
+    held = rows.join(keys.where("low <> high").select("hub", "item", "n", "least"), ["hub", "item"]).where(F.col("lone") + F.col("least") <= reach(rule))
+    held = held.withColumn("lone", F.col("differ") - F.count(F.lit(1)).over(Window.partitionBy("hub", "v")))
+    return held.where(F.col("lone") <= reach(rule)).drop("least")
+
+
 def deviating(stars: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Links (u, v) between members of one hub of which one at least does not link to the hub."""
-    loose_hubs = stars.where("deviations IS NOT NULL AND NOT linked").select("u").distinct()
-    some = stars.where("deviations IS NOT NULL").join(loose_hubs, "u", "left_semi")
-    every = written(some.select(F.col("u").alias("hub"), "v", "linked", "differ", "size", "score", F.explode("deviations").alias("item")))
-    keys = every.groupBy("hub", "item").agg(F.count(F.lit(1)).alias("n"), F.max(~F.col("linked")).alias("loose"), F.max(F.struct("score", "v")).alias("top"))
-    keyed = every.join(keys.select("hub", "item", "n", "loose", F.col("top.v").alias("top")), ["hub", "item"])
-    pos = F.row_number().over(Window.partitionBy("hub", "v").orderBy("n", "item")) - 1
-    reach = (rule.den - rule.num) * (F.col("size") + F.floor(F.col("size") * rule.den / rule.num)) / (rule.den + rule.num)
-    first = keyed.withColumn("pos", pos).where((F.col("pos") <= reach) & (F.col("n") > 1) & F.col("loose"))
-    first = written(first.select("hub", "item", "v", "linked", "differ", "size", "pos", "top", (F.col("n") > FEW).alias("full")))
-
-    subs = first.where("full AND top <> v").groupBy(F.col("top").alias("u"), "v").agg(F.lit(0).cast("long").alias("score"), F.lit(False).alias("many"))
+    """Links (u, v) between members of one hub that lie in different components so far."""
+    own = ["hub", "v", "component", "linked", "differ", "size"]
+    rows = written(stars.select(F.col("u").alias("hub"), *own[1:], F.lit(0).cast("long").alias("lone"), F.explode("deviations").alias("item")))
+    for _ in range(2):  # what is left out makes others' deviations lone
+        rows = written(common(rows, rule).drop("n"))
+    # up to and with its first common deviation a member has ``past`` of them without the other
+    past = F.col("lone") + F.row_number().over(Window.partitionBy("hub", "v").orderBy("n", "item")) - 1
+    placed = written(common(rows, rule).withColumn("past", past).where(F.col("past") <= reach(rule)).select(*own, "item", "past"))
+    top = F.min(F.struct("past", "v", "component")).alias("top")
+    keys = placed.groupBy("hub", "item").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), top).where("low <> high")
+    first = placed.join(keys, ["hub", "item"]).where(F.col("past") + F.col("top.past") <= reach(rule))
+    first = first.select(*own, "item", "past", F.col("top.v").alias("top"), F.col("top.component").alias("top_component"), (F.col("n") > FEW).alias("full"))
+    first = written(first)
+
+    subs = first.where("full AND top_component <> component").groupBy(F.col("top").alias("u"), "v").agg(F.lit(0).cast("long").alias("score"), F.lit(False).alias("many"))
     subs = written(verify(written(subs), sets, rule).where("linked").select("u", "v"))
     met = subs.select(F.col("u").alias("top"), "v", F.lit(True).alias("met"))
-    first = first.join(met, ["top", "v"], "left").withColumn("met", F.col("full") & ((F.col("top") == F.col("v")) | F.coalesce("met", F.lit(False))))
-    loose = first.where("NOT linked").select("hub", "item", *(F.col(c).alias(f"u_{c}") for c in ("v", "differ", "size", "pos", "met")))
+    seen = first.where("full").join(met, ["top", "v"], "left").withColumn("met", (F.col("top_component") == F.col("component")) | F.coalesce("met", F.lit(False)))
+    first = written(first.where("NOT full").withColumn("met", F.lit(False)).unionByName(seen))
+    loose = first.where("NOT linked").select("hub", "item", *(F.col(c).alias(f"u_{c}") for c in ("v", "component", "differ", "size", "past", "met")))
     # two differences of a linking pair share at least half of what they hold beyond the
     # allowance: their first common n-gram leaves room for that many behind it on both sides
     allowed = F.floor((rule.den - rule.num) * (F.col("size") + F.col("u_size")) / (rule.den + rule.num))
     shared = F.col("differ") + F.col("u_differ") - allowed
-    room = (2 * F.col("pos") + shared <= 2 * F.col("differ")) & (2 * F.col("u_pos") + shared <= 2 * F.col("u_differ"))
+    room = (2 * F.col("past") + shared <= 2 * F.col("differ")) & (2 * F.col("u_past") + shared <= 2 * F.col("u_differ"))
     same = [F.col(f"d.{c}") == F.col(f"l.{c}") for c in ("hub", "item")]
-    apart = (F.col("v") != F.col("u_v")) & ~(F.col("met") & F.col("u_met")) & (F.abs(F.col("size") - F.col("u_size")) <= allowed)
+    apart = (F.col("component") != F.col("u_component")) & ~(F.col("met") & F.col("u_met")) & (F.abs(F.col("size") - F.col("u_size")) <= allowed)
     near = first.alias("d").join(loose.alias("l"), same[0] & same[1] & apart & room)
     near = near.select(F.least("u_v", "v").alias("u"), F.greatest("u_v", "v").alias("v")).distinct()
     near = written(near.select("u", "v", F.lit(0).cast("long").alias("score"), F.lit(False).alias("many")))
     return subs.unionByName(verify(near, sets, rule).where("linked").select("u", "v"))
 
 
+def unsettled(inside: DataFrame, label: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (u, v) of hub and member with their deviations, of buckets whose members besides the hub lie in two components or more."""
+    named = inside.join(label.withColumnRenamed("node", "v"), "v", "left").select("sig", "u", "v", "score", F.coalesce("component", "v").alias("component"))
+    named = written(named)
+    mixed = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
+    pairs = split_join(named, mixed, ["sig"]).groupBy("u", "v").agg(F.max("score").alias("score"), F.first("component").alias("component"))
+    pairs = written(pairs)
+    checked = verify(pairs.select("u", "v", "score", F.lit(True).alias("many")), sets, rule)
+    return checked.join(pairs.select("u", "v", "component"), ["u", "v"])
+
+
 def linked_classes(sized: DataFrame, docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
     """(n_shingles, d1, d2, group, least): the component of every class and the smallest id in it."""
     key = ["n_shingles", "d1", "d2"]
@@ -428,12 +463,16 @@ def linked_classes(sized: DataFrame, docs: DataFrame, rule: Rule, doc_id: str, t
 
     hubs = members.groupBy("sig").agg(F.max(F.struct("score", "cls", "size")).alias("h"), (F.count(F.lit(1)) > 2).alias("many"))
     hubs = hubs.select("sig", F.col("h.cls").alias("u"), F.col("h.size").alias("u_size"), "many")
-    pairs = split_join(members.select("sig", F.col("cls").alias("v"), "size", "score"), hubs, ["sig"]).where("u <> v")
+    inside = split_join(members.select("sig", F.col("cls").alias("v"), "size", "score"), hubs, ["sig"]).where("u <> v")
     # a bucket of two has no third member that either could be linked to
     alike = rule.den * F.least("size", "u_size") >= rule.num * F.greatest("size", "u_size")
-    pairs = written(pairs.where(F.col("many") | alike).groupBy("u", "v").agg(F.max("many").alias("many"), F.max("score").alias("score")))
-    stars = written(verify(pairs, sets, rule))
-    label = components(stars.where("linked").select("u", "v").unionByName(deviating(stars, sets, rule)))
+    inside = written(inside.select("sig", "u", "v", "score", "many", alike.alias("alike")).where("many OR alike"))
+    pairs = written(inside.where("alike").select("u", "v", F.lit(0).cast("long").alias("score"), F.lit(False).alias("many")).distinct())
+    links = written(verify(pairs, sets, rule).where("linked").select("u", "v"))
+    label = components(links)
+    more = written(deviating(unsettled(inside.where("many"), label, sets, rule), sets, rule))
+    if more.limit(1).count():
+        label = components(links.unionByName(more))
     group = F.coalesce("component", "cls").alias("group")
     grouped = written(classes.join(label.withColumnRenamed("node", "cls"), "cls", "left").select(*key, "rep", group))
     least = grouped.groupBy("group").agg(F.min("rep").alias("least"))

@@ -164,6 +164,65 @@ def test_jaccard_stage_keeps_one_row_of_each_group(spark):
     assert jaccard_join.stage(spark, df.limit(0), "").count() == 0
 
 
+def starred(spark, sets, rule):
+    """Hub 0 with all other sets as its members, and the sets; those that link to the hub are of its component."""
+    from geosweep.llm.blocks import pack
+
+    df = spark.createDataFrame([(i, bytearray(pack(np.sort(np.array(sorted(s), np.uint64))))) for i, s in enumerate(sets)], "cls long, items binary")
+    pairs = spark.createDataFrame([(0, i, True, 0) for i in range(1, len(sets))], "u long, v long, many boolean, score long")
+    stars = jaccard_join.verify(pairs, df, rule)
+    return stars.withColumn("component", F.when(F.col("linked"), F.lit(0)).otherwise(F.col("v"))), df
+
+
+def test_members_without_a_partner_leave_no_rows(spark, monkeypatch):
+    """A passage shared by many that do not link costs nothing behind the deviations, and the pair that links is found among them."""
+    kept, tables = jaccard_join.written, []
+
+    def counted(df):
+        made = kept(df)
+        tables.append((made.columns, made.count()))
+        return made
+
+    monkeypatch.setattr(jaccard_join, "written", counted)
+    rule, many, found = jaccard_join.Rule(5, 4, 5), range(77), []
+    for members in (20, 60):
+        sets = [{*many, *range(100, 123)}] + [{*many, *range(1000 * i, 1000 * i + 23)} for i in range(1, members)]
+        sets += [{*many, *range(200, 223)}, {*many, *range(200, 220), *range(300, 303)}]
+        tables.clear()
+        links = jaccard_join.deviating(*starred(spark, sets, rule), rule).collect()
+        assert {tuple(sorted(r)) for r in links} == {(members, members + 1)}
+        found.append(sum(n for columns, n in tables if "top" in columns))
+    assert found[0] == found[1] < 100
+
+
+@pytest.mark.parametrize("few", [2, 16])
+def test_deviations_connect_what_links(spark, monkeypatch, few):
+    """Links between members of a hub, of components of their own so far, connect all that brute force connects."""
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    rng, rule = np.random.default_rng(few), jaccard_join.Rule(5, 4, 5)
+    for trial in range(3):
+        passage, sets = list(range(60)), [{*range(60), *range(1000, 1040)}]
+        for seed in range(6):
+            base = [*passage, *range(2000 + 100 * seed, 2040 + 100 * seed)] if seed else sorted(sets[0])
+            for copy in range(6):
+                changed = rng.choice(100, rng.integers(0, 16), replace=False)
+                sets.append({x for k, x in enumerate(base) if k not in changed} | {int(x) for x in rng.integers(5000 + 40 * seed, 5040 + 40 * seed, rng.integers(0, 12))})
+        links = [tuple(r) for r in jaccard_join.deviating(*starred(spark, sets, rule), rule).collect()]
+        linked = lambda a, b: rule.den * len(a & b) >= rule.num * len(a | b)  # noqa: E731, B023
+        assert all(linked(sets[u], sets[v]) for u, v in links)
+        every = [(u, v) for v in range(len(sets)) for u in range(v) if linked(sets[u], sets[v])]
+        label = lambda edges: joined(len(sets), edges)  # noqa: E731, B023
+        assert label(links + [(0, v) for u, v in every if u == 0]) == label(every) and links
+
+
+def joined(n, edges):
+    label = list(range(n))
+    for u, v in edges:
+        a, b = label[u], label[v]
+        label = [min(a, b) if x in (a, b) else x for x in label]
+    return label
+
+
 def test_subsets_and_neighbourhoods_lose_no_link():
     """Any two sets within the allowed difference share a signature, whatever the scheme."""
     rng, rule = np.random.default_rng(5), jaccard_join.Rule(5, 4, 5)
