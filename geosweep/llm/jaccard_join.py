@@ -29,7 +29,8 @@ if members of two components have it, and if what they have alone comes to no mo
 a member that has more than T alone is left out.  With the others' ordered by how many
 members of the hub have them, rarest first, the two share one before they have passed more
 than T without the other: such pairs are found by an equi-join on (hub, n-gram) and verified
-too.  Where more than ``FEW`` members share a
+too.  Where a hub's deviations fit a task (``TOGETHER``), they are one group there: the difference of two members follows
+from their deviations alone.  Of a larger hub, where more than ``FEW`` members share a
 deviation they are first verified against one of themselves, and only pairs that this does
 not connect are formed.  So no link between different components is lost.
 
@@ -321,32 +322,39 @@ def _members(rule: Rule, schemes: dict[int, Scheme]):
 
 
 VERIFIED = "u long, v long, linked boolean, differ long, size long, score long, deviations array<long>"
+#: Bytes of sets that one batch of verified pairs holds, about.
+BATCH = 8 << 20
 
 
 def _verify(rule: Rule):
     """Exact check of pairs, and for those in company (many) all n-grams in which v differs from u."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("linked", pa.bool_()), ("differ", pa.int64()), ("size", pa.int64()), ("score", pa.int64()), ("deviations", pa.list_(pa.int64()))])
 
+    def check(batch: pa.RecordBatch, sets) -> pa.RecordBatch:
+        linked, lists, differs, sizes = [], [], [], []
+        for x, y, many in zip(batch.column("a"), batch.column("b"), batch.column("many").to_pylist(), strict=True):
+            x, y = sets(x.as_py()), sets(y.as_py())
+            apart = np.setxor1d(x, y, assume_unique=True)
+            shared = (len(x) + len(y) - len(apart)) // 2
+            linked.append(bool(rule.den * shared >= rule.num * (len(apart) + shared)))
+            differs.append(len(apart))
+            sizes.append(len(y))
+            lists.append(apart.view(np.int64) if many else None)
+        arrays = [pa.array(linked, pa.bool_()), pa.array(differs, pa.int64()), pa.array(sizes, pa.int64()), batch.column("score"), pa.array(lists, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), *arrays], schema=schema)
+
     def run(batches):
         sets = lru_cache(maxsize=64)(lambda value: unpack(value)[0])
         for batch in batches:
-            linked, lists, differs, sizes = [], [], [], []
-            for x, y, many in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("many").to_pylist(), strict=True):
-                x, y = sets(x), sets(y)
-                apart = np.setxor1d(x, y, assume_unique=True)
-                shared = (len(x) + len(y) - len(apart)) // 2
-                linked.append(bool(rule.den * shared >= rule.num * (len(apart) + shared)))
-                differs.append(len(apart))
-                sizes.append(len(y))
-                lists.append(apart.view(np.int64) if many else None)
-            arrays = [pa.array(linked, pa.bool_()), pa.array(differs, pa.int64()), pa.array(sizes, pa.int64()), batch.column("score"), pa.array(lists, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), *arrays], schema=schema)
+            step = max(1, batch.num_rows * BATCH // max(batch.nbytes, 1))
+            for at in range(0, batch.num_rows, step):
+                yield check(batch.slice(at, step), sets)
 
     return run
 
 
 def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (u, v, many, score) with their check; at most 50 sets, those of hubs with 2 % of all pairs, are broadcast."""
+    """Pairs (u, v, many, and score as it is) with their check; at most 50 sets, those of hubs with 2 % of all pairs, are broadcast."""
     by_u, by_v = (heavy_keys(pairs, [c], 50) for c in "uv")
     left = split_join(pairs, sets.select(F.col("cls").alias("u"), F.col("items").alias("a")), ["u"], heavy=by_u)
     both = split_join(left, sets.select(F.col("cls").alias("v"), F.col("items").alias("b")), ["v"], heavy=by_v)
@@ -392,8 +400,100 @@ def common(rows: DataFrame, rule: Rule) -> DataFrame:
     return held.where(F.col("lone") <= reach(rule)).drop("least")
 
 
+#: Deviations of one hub that a task takes together.
+TOGETHER = 1 << 21
+
+
+def joining(rule: Rule, component: np.ndarray, size: np.ndarray, offsets: np.ndarray, items: np.ndarray, chunk: int = 1 << 20) -> list[tuple[int, int]]:
+    """Linked members (positions) of one hub that join components, from all their deviations; pairs of one component are left out.
+
+    Members go whose deviations no other component has, but for as many as their size allows; of the
+    others each looks up its rarest ones, as far as two linked members can go without a common one.  Pairs
+    are formed in portions, and the difference of two members is that of their deviations.
+    """
+    m, most = len(size), rule.reach(size)
+    differ = np.diff(offsets)
+    owner = np.repeat(np.arange(m), differ)
+    own, item = owner, items
+    while True:
+        order = np.argsort(item, kind="stable")
+        own, item = own[order], item[order]
+        start = np.flatnonzero(np.append(True, item[1:] != item[:-1])[: len(item)])
+        if not len(start):
+            return []
+        low, high = (f.reduceat(component[own], start) for f in (np.minimum, np.maximum))
+        n = np.diff(np.append(start, len(item)))
+        held = np.repeat(low < high, n)
+        lone = differ - np.bincount(own[held], minlength=m)
+        stay = held & (lone <= most)[own]
+        if stay.all():
+            break
+        own, item = own[stay], item[stay]
+    n = np.repeat(n, n)
+    order = np.lexsort((item, n, own))
+    own, item = own[order], item[order]
+    past = lone[own] + np.arange(len(own)) - np.searchsorted(own, own)
+    near = past <= most[own]
+    order = np.argsort(item[near], kind="stable")
+    own, item, past = own[near][order], item[near][order], past[near][order]
+    count = np.searchsorted(item, item, "right") - np.arange(len(item)) - 1
+    ends, root, found, at = np.cumsum(count), {}, [], 0
+
+    def top(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = c = root.get(up, up)
+        return c
+
+    while at < len(item):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chunk, "right")))
+        k = count[at:to]
+        i = np.repeat(np.arange(at, to), k)
+        j = i + 1 + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        at = to
+        a, b = own[i], own[j]
+        allowed = rule.most(size[a], size[b])
+        shared = differ[a] + differ[b] - allowed
+        fit = (component[a] != component[b]) & (np.abs(size[a] - size[b]) <= allowed) & (2 * past[i] + shared <= 2 * differ[a]) & (2 * past[j] + shared <= 2 * differ[b])
+        for pair_ in np.unique(np.minimum(a, b)[fit] * m + np.maximum(a, b)[fit]).tolist():
+            x, y = divmod(pair_, m)
+            p, q = top(int(component[x])), top(int(component[y]))
+            if p == q:
+                continue
+            common_ = len(np.intersect1d(items[offsets[x] : offsets[x + 1]], items[offsets[y] : offsets[y + 1]], assume_unique=True))
+            apart = int(differ[x] + differ[y]) - 2 * common_
+            both = (int(size[x] + size[y]) - apart) // 2
+            if rule.den * both >= rule.num * (apart + both):
+                root[p] = q
+                found.append((x, y))
+    return found
+
+
+def _joining(rule: Rule):
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        lists = group.column("deviations").chunk(0) if group.num_rows else pa.array([], pa.list_(pa.int64()))
+        v, component, size = (np.asarray(group.column(c)) for c in ("v", "component", "size"))
+        found = joining(rule, component, size, np.append(0, np.cumsum(np.asarray(pa.compute.list_value_length(lists)))), np.asarray(lists.flatten()))
+        pairs = np.sort(v[np.array(found, int).reshape(-1, 2)], axis=1)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+
+    return run
+
+
 def deviating(stars: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Links (u, v) between members of one hub that lie in different components so far."""
+    """Links (u, v) between members of one hub that lie in different components so far, as many as join them."""
+    stars = written(stars)
+    large = written(stars.groupBy("u").agg(F.sum("differ").alias("n")).where(F.col("n") > TOGETHER).select("u"))
+    if not large.limit(1).count():
+        return stars.groupBy("u").applyInArrow(_joining(rule), "u long, v long")
+    few = stars.join(F.broadcast(large), "u", "left_anti").groupBy("u").applyInArrow(_joining(rule), "u long, v long")
+    return few.unionByName(exploded(stars.join(F.broadcast(large), "u", "left_semi"), sets, rule))
+
+
+def exploded(stars: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The links of hubs too large for a task: a row for each deviation."""
     own = ["hub", "v", "component", "linked", "differ", "size"]
     rows = written(stars.select(F.col("u").alias("hub"), *own[1:], F.lit(0).cast("long").alias("lone"), F.explode("deviations").alias("item")))
     for _ in range(2):  # what is left out makes others' deviations lone
@@ -428,13 +528,12 @@ def deviating(stars: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 def unsettled(inside: DataFrame, label: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (u, v) of hub and member with their deviations, of buckets whose members besides the hub lie in two components or more."""
-    named = inside.join(label.withColumnRenamed("node", "v"), "v", "left").select("sig", "u", "v", "score", F.coalesce("component", "v").alias("component"))
+    named = inside.join(label.withColumnRenamed("node", "v"), "v", "left").select("sig", "u", "v", F.coalesce("component", "v").alias("component"))
     named = written(named)
     mixed = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-    pairs = split_join(named, mixed, ["sig"]).groupBy("u", "v").agg(F.max("score").alias("score"), F.first("component").alias("component"))
-    pairs = written(pairs)
-    checked = verify(pairs.select("u", "v", "score", F.lit(True).alias("many")), sets, rule)
-    return checked.join(pairs.select("u", "v", "component"), ["u", "v"])
+    pairs = written(split_join(named, mixed, ["sig"]).groupBy("u", "v").agg(F.first("component").alias("component")))
+    # the component goes along in the place of a score
+    return verify(pairs.select("u", "v", F.col("component").alias("score"), F.lit(True).alias("many")), sets, rule).withColumnRenamed("score", "component")
 
 
 def linked_classes(sized: DataFrame, docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:

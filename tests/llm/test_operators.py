@@ -215,6 +215,32 @@ def test_deviations_connect_what_links(spark, monkeypatch, few):
         assert label(links + [(0, v) for u, v in every if u == 0]) == label(every) and links
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_members_of_a_hub_join_as_all_pairs_do(spark, monkeypatch, seed):
+    """A hub that fits a task makes no row for each deviation, and its links connect what all pairs connect; so do those of a larger one."""
+    rng, rule = np.random.default_rng(seed), jaccard_join.Rule(5, 4, 5)
+    sets = [set(range(60)) | set(range(1000, 1040))]
+    for family in range(8):
+        base = [*range(60), *range(2000 + 100 * family, 2040 + 100 * family)]
+        for _ in range(9):
+            changed = rng.choice(100, rng.integers(0, 16), replace=False)
+            sets.append({x for k, x in enumerate(base) if k not in changed} | {int(x) for x in rng.integers(5000 + 40 * family, 5040 + 40 * family, rng.integers(0, 12))})
+    every = [(u, v) for v in range(len(sets)) for u in range(v) if rule.den * len(sets[u] & sets[v]) >= rule.num * len(sets[u] | sets[v])]
+    stars, df = starred(spark, sets, rule)
+    hub = [(u, v) for u, v in every if u == 0]
+    large = [tuple(r) for r in jaccard_join.exploded(stars, df, rule).collect()]
+    monkeypatch.setattr(jaccard_join, "exploded", None)
+    small = [tuple(r) for r in jaccard_join.deviating(stars, df, rule).collect()]
+    assert set(small) <= set(every) and len(small) < len(sets)
+    assert joined(len(sets), small + hub) == joined(len(sets), large + hub) == joined(len(sets), every)
+    # pairs in portions of one item each
+    rows = stars.orderBy("v").collect()
+    lists = [r["deviations"] for r in rows]
+    at = np.append(0, np.cumsum([len(x) for x in lists]))
+    found = jaccard_join.joining(rule, np.array([r["component"] for r in rows]), np.array([r["size"] for r in rows]), at, np.array([x for row in lists for x in row]), chunk=1)
+    assert joined(len(sets), [(i + 1, j + 1) for i, j in found] + hub) == joined(len(sets), every)
+
+
 def joined(n, edges):
     label = list(range(n))
     for u, v in edges:
