@@ -64,3 +64,19 @@ def test_aged_tracks_on_the_edge_of_the_footprint(spark, tmp_path):
     folder = tables(tmp_path, supplier=SUPPLIERS.format(n=1000))
     got, want = against_sql(spark, folder, "aged_tracks")
     assert got == want and len(got) == 8000
+
+
+def test_link_candidates_score_a_place_and_class_once(spark, tmp_path, monkeypatch):
+    part = "SELECT i % 50 + i // 50 * 1000 AS p_partkey, ['bolt', 'view ring'][i % 2 + 1] AS p_name, 'B' AS p_brand, ['LARGE', 'ERROR'][i // 2 % 2 + 1] AS p_type, 1 AS p_size, 1.0::DOUBLE AS p_retailprice FROM range(2000) r(i)"
+    folder = tables(tmp_path, events=EVENTS.replace("'view'", "'purchase'"), part=part.replace("view ring", "ring").replace("ERROR", "STEEL"))
+    seen = counted(monkeypatch, "radius_join", (0,))
+    got, want = against_sql(spark, folder, "link_candidates")
+    assert got == want and len(got) > 100 and seen[0][0] <= 100
+
+
+def test_a_side_that_is_not_few_is_never_broadcast(spark, monkeypatch):
+    """The planner would send 500 rows round by their size; the count forbids it."""
+    monkeypatch.setattr(spatial, "BROADCAST_ROWS", 100)
+    p = spark.range(500).select(F.col("id").alias("a"), (F.lit(54.0) + F.col("id") * 1e-3).alias("lon"), F.lit(24.0).alias("lat"))
+    plan = spatial.radius_join(p, p.withColumnRenamed("a", "b"), 150.0, 150.0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
