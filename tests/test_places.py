@@ -80,3 +80,22 @@ def test_a_side_that_is_not_few_is_never_broadcast(spark, monkeypatch):
     p = spark.range(500).select(F.col("id").alias("a"), (F.lit(54.0) + F.col("id") * 1e-3).alias("lon"), F.lit(24.0).alias("lat"))
     plan = spatial.radius_join(p, p.withColumnRenamed("a", "b"), 150.0, 150.0)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_triangulation_keeps_no_list_of_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    tracemalloc.start()
+    edges = spatial.delaunay(pd.DataFrame(rng.random((2000, 2)) * 1000, columns=["x", "y"]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(edges) <= 3 * 2000 - 6 and len(edges) > 2.9 * 2000 and peak < 40e6
+
+
+def test_triangulation_of_crowded_places(spark):
+    """A place is a corner under its least id; points all on a line are all joined."""
+    rows, p = crowd(spark, 84)
+    got = {(r["a_id"], r["b_id"]) for r in spatial.delaunay_graph(p.withColumn("k", F.lit(1)), "k").collect()}
+    alone = {(r["a_id"], r["b_id"]) for r in spatial.delaunay_graph(p.where("id < 12").withColumn("k", F.lit(1)), "k").collect()}
+    assert got == alone and {i for e in got for i in e} == set(range(12))
+    line = spark.createDataFrame([(1, i, 54.0 + i % 2, 24.0) for i in range(6)], "k int, id long, lon double, lat double")
+    assert {(r["a_id"], r["b_id"]) for r in spatial.delaunay_graph(line, "k").collect()} == set(itertools.combinations(range(6), 2))
