@@ -99,3 +99,14 @@ def test_triangulation_of_crowded_places(spark):
     assert got == alone and {i for e in got for i in e} == set(range(12))
     line = spark.createDataFrame([(1, i, 54.0 + i % 2, 24.0) for i in range(6)], "k int, id long, lon double, lat double")
     assert {(r["a_id"], r["b_id"]) for r in spatial.delaunay_graph(line, "k").collect()} == set(itertools.combinations(range(6), 2))
+
+
+def test_nearest_of_a_place_by_rounded_distance_and_id(spark):
+    """Of places at one rounded distance those of least id come first, whatever the last bits say and however many share the nearer one."""
+    left = spark.createDataFrame([(s, 54.5, 24.5) for s in range(30)], "site_id long, lon double, lat double")
+    rows = [(100 + i, 54.51, 24.5) for i in range(20)] + [(i, 54.49 - 1e-9, 24.5) for i in range(20)]
+    right = spark.createDataFrame(rows, "target_id long, lon double, lat double")
+    got = spatial.knn_join(left, right, 2, "site_id", "target_id", digits=3).collect()
+    assert {(r["site_id"], r["target_id"], r["rank"]) for r in got} == {(s, t, t + 1) for s in range(30) for t in (0, 1)}
+    plain = spatial.knn_join(left, right, 2, "site_id", "target_id").collect()
+    assert {r["target_id"] for r in plain} == {100, 101}
