@@ -110,3 +110,16 @@ def test_nearest_of_a_place_by_rounded_distance_and_id(spark):
     assert {(r["site_id"], r["target_id"], r["rank"]) for r in got} == {(s, t, t + 1) for s in range(30) for t in (0, 1)}
     plain = spatial.knn_join(left, right, 2, "site_id", "target_id").collect()
     assert {r["target_id"] for r in plain} == {100, 101}
+
+
+def test_spanning_tree_of_places(spark):
+    """The tree that Kruskal's rounds take from all edges in order of weight and ids."""
+    rows, p = crowd(spark, 84)
+    every = sorted((metres(rows[a], rows[b]) if rows[a][1:] != rows[b][1:] else 0.0, a, b) for a, b in empty(rows, "rng"))
+    root, want = list(range(len(rows))), set()
+    for _, a, b in every:
+        if root[a] != root[b]:
+            want.add((a, b))
+            root = [root[a] if x == root[b] else x for x in root]
+    got = spatial.spanning_tree_of(p).collect()
+    assert {(r["a_id"], r["b_id"]) for r in got} == want and len(got) == 83
