@@ -123,3 +123,11 @@ def test_spanning_tree_of_places(spark):
             root = [root[a] if x == root[b] else x for x in root]
     got = spatial.spanning_tree_of(p).collect()
     assert {(r["a_id"], r["b_id"]) for r in got} == want and len(got) == 83
+
+
+def test_site_composition_counts_before_places_meet(spark, tmp_path, monkeypatch):
+    folder = tables(tmp_path, supplier=SUPPLIERS.format(n=40), events=EVENTS)
+    seen = counted(monkeypatch, "radius_join", (0, 1))
+    got, want = against_sql(spark, folder, "site_composition")
+    # 50 places of two classes at most, and 40 places of sites of up to three radii
+    assert got == want and len(got) > 50 and seen[0][0] <= 100 and seen[0][1] <= 120
