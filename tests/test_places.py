@@ -131,3 +131,30 @@ def test_site_composition_counts_before_places_meet(spark, tmp_path, monkeypatch
     got, want = against_sql(spark, folder, "site_composition")
     # 50 places of two classes at most, and 40 places of sites of up to three radii
     assert got == want and len(got) > 50 and seen[0][0] <= 100 and seen[0][1] <= 120
+
+
+def empty(rows, kind):
+    p = np.array([r[1:] for r in rows])
+    x = np.radians(p) * 6371008.8 * [math.cos(math.radians(p[:, 1].mean())), 1.0]
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    side = (lambda a, b: d[a] + d[b]) if kind == "gabriel" else (lambda a, b: np.maximum(d[a], d[b]))
+    return {(rows[a][0], rows[b][0]) for a, b in itertools.combinations(range(len(rows)), 2) if not (np.delete(side(a, b), [a, b]) < d[a, b] * (1 - 1e-9)).any()}
+
+
+def place_graphs(spark, monkeypatch, kind):
+    """Edges of crowded points are those of all points, and the search gets each place once."""
+    rows, p = crowd(spark, 84)
+    real, most = spatial._empty_regions, spark.sparkContext.accumulator(0)
+
+    def regions(at, *more):
+        most.add(len(at))
+        return real(at, *more)
+
+    monkeypatch.setattr(spatial, "_empty_regions", regions)
+    got = {(r["a_id"], r["b_id"]): r["distance_m"] for r in spatial.empty_region_graph(p, kind, start_m=50_000.0).collect()}
+    assert set(got) == empty(rows, kind) and most.value <= 12 * 11
+    assert all(d == pytest.approx(metres(rows[a], rows[b])) for (a, b), d in got.items())
+
+
+def test_neighbourhood_graph_of_places(spark, monkeypatch):
+    place_graphs(spark, monkeypatch, "rng")
