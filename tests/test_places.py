@@ -158,3 +158,7 @@ def place_graphs(spark, monkeypatch, kind):
 
 def test_neighbourhood_graph_of_places(spark, monkeypatch):
     place_graphs(spark, monkeypatch, "rng")
+
+
+def test_gabriel_graph_of_places(spark, monkeypatch):
+    place_graphs(spark, monkeypatch, "gabriel")
