@@ -162,3 +162,15 @@ def test_neighbourhood_graph_of_places(spark, monkeypatch):
 
 def test_gabriel_graph_of_places(spark, monkeypatch):
     place_graphs(spark, monkeypatch, "gabriel")
+
+
+def test_radius_graph_needs_no_grouping_of_pairs(spark, tmp_path, monkeypatch):
+    """Pairs of distinct ids are distinct as they are formed; points that repeat an id still give their least distance."""
+    folder = tables(tmp_path, supplier=SUPPLIERS.format(n=40))
+    monkeypatch.setattr(spatial, "undirected", None)
+    got, want = against_sql(spark, folder, "proximity_radius_graph")
+    assert got == want and len(got) > 1000
+    monkeypatch.undo()
+    twice = spark.createDataFrame([(1, 54.0, 24.0), (1, 54.001, 24.0), (2, 54.002, 24.0)], "id long, lon double, lat double")
+    (only,) = spatial.radius_graph(twice, 1000.0).collect()
+    assert only["distance_m"] == pytest.approx(metres((0, 54.001, 24.0), (0, 54.002, 24.0)))
