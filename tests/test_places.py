@@ -174,3 +174,22 @@ def test_radius_graph_needs_no_grouping_of_pairs(spark, tmp_path, monkeypatch):
     twice = spark.createDataFrame([(1, 54.0, 24.0), (1, 54.001, 24.0), (2, 54.002, 24.0)], "id long, lon double, lat double")
     (only,) = spatial.radius_graph(twice, 1000.0).collect()
     assert only["distance_m"] == pytest.approx(metres((0, 54.001, 24.0), (0, 54.002, 24.0)))
+
+
+@pytest.mark.parametrize("radius", [9000.0, "radius_m"])
+def test_radius_join_meets_by_place(spark, monkeypatch, radius):
+    rows, p = crowd(spark)
+    right = p.select(F.col("id").alias("b"), "lon", "lat", (F.lit(3000.0) + F.col("id") % 12 % 3 * 3000).alias("radius_m"))
+    seen = counted(monkeypatch, "_meeting", (0, 1))
+    got = {(r["a"], r["b"], r["distance_m"]) for r in spatial.radius_join(p.withColumnRenamed("id", "a"), right, radius, 9000.0, digits=3).collect()}
+    reach = lambda b: 9000.0 if radius == 9000.0 else 3000.0 + b[0] % 12 % 3 * 3000
+    want = {(a[0], b[0]): metres(a, b) for a in rows for b in rows if metres(a, b) <= reach(b)}
+    assert {(a, b): d for a, b, d in got} == {k: pytest.approx(d, abs=6e-4) for k, d in want.items()} and len(got) == len(want) > 1200
+    assert seen == [(12, 12)]
+
+
+def test_near_sites_of_sites_that_share_places(spark, tmp_path, monkeypatch):
+    folder = tables(tmp_path, supplier=SUPPLIERS.format(n=40), events=EVENTS)
+    seen = counted(monkeypatch, "_meeting", (0, 1))
+    got, want = against_sql(spark, folder, "near_sites")
+    assert got == want and len(got) > 500 and max(map(max, seen)) <= 120
