@@ -193,3 +193,10 @@ def test_near_sites_of_sites_that_share_places(spark, tmp_path, monkeypatch):
     seen = counted(monkeypatch, "_meeting", (0, 1))
     got, want = against_sql(spark, folder, "near_sites")
     assert got == want and len(got) > 500 and max(map(max, seen)) <= 120
+
+
+def test_repeat_detector_counts_before_places_meet(spark, tmp_path, monkeypatch):
+    folder = tables(tmp_path, supplier=SUPPLIERS.format(n=40), events=EVENTS)
+    seen = counted(monkeypatch, "radius_join", (0, 1))
+    got, want = against_sql(spark, folder, "repeat_detector")
+    assert got == want and len(got) > 50 and seen[0][0] <= 100 and seen[0][1] <= 120
