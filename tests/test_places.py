@@ -235,3 +235,10 @@ def test_a_cover_that_is_not_small_is_never_broadcast(spark, monkeypatch):
     cells = polygons.cover(p.select(F.col("id").alias("area"), F.array(ring).alias("rings")), "area")
     plan = polygons.contained(p, cells)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_points_in_areas_count_by_place_and_shape(spark, tmp_path, monkeypatch):
+    folder = tables(tmp_path, supplier=SUPPLIERS.format(n=40), events=EVENTS)
+    seen = covered(monkeypatch)
+    got, want = against_sql(spark, folder, "points_in_notched_areas")
+    assert got == want and len(got) > 50 and max(seen) == 40
