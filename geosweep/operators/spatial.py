@@ -274,16 +274,18 @@ def smallest_containing(points: DataFrame, areas: DataFrame, point_id: str, valu
     """For each point the value of the smallest area that holds it (ties by value); null without one.
 
     Areas have ring, an array of (x, y), or rings, an outer one and its holes; they may be concave, and
-    meet points through a cover of cells (``polygons``).
+    meet points through a cover of cells (``polygons``).  A place is looked up once for all points there, and of
+    areas of one shape the least value alone counts.
     """
     from geosweep.operators import polygons
+    from geosweep.operators.graph import settled
 
     rings = F.col("rings") if "rings" in areas.columns else polygons.as_rings("ring")
     size = F.aggregate(F.transform(rings, lambda r: geo.ring_area(r)), F.lit(None).cast("double"), lambda a, x: F.coalesce(a - x, x))
-    known = areas.select(F.struct(F.round(size, 9).alias("area"), F.col(value)).alias("__area"), rings.alias("__rings"))
-    inside = polygons.contained(points.select(point_id, "lon", "lat"), polygons.cover(known, "__area", "__rings"))
-    best = inside.groupBy(point_id).agg(F.min("__area").getField(value).alias(value))
-    return points.join(best, point_id, "left")
+    known = areas.select(F.struct(F.round(size, 9).alias("area"), F.col(value)).alias("__area"), rings.alias("__rings")).groupBy("__rings").agg(F.min("__area").alias("__area"))
+    inside = polygons.contained(points.select("lon", "lat").distinct(), polygons.cover(known, "__area", "__rings"))
+    best = inside.groupBy("lon", "lat").agg(F.min("__area").getField(value).alias(value)).transform(settled)
+    return points.join(sent_round(best), ["lon", "lat"], "left").select(*points.columns, value)
 
 
 def flat(xy: np.ndarray) -> bool:

@@ -242,3 +242,10 @@ def test_points_in_areas_count_by_place_and_shape(spark, tmp_path, monkeypatch):
     seen = covered(monkeypatch)
     got, want = against_sql(spark, folder, "points_in_notched_areas")
     assert got == want and len(got) > 50 and max(seen) == 40
+
+
+def test_country_of_point_by_place_and_shape(spark, tmp_path, monkeypatch):
+    folder = tables(tmp_path, supplier=SUPPLIERS.format(n=40), events=EVENTS)
+    seen = covered(monkeypatch)
+    got, want = against_sql(spark, folder, "country_of_point")
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == 400 and max(seen) == 40
