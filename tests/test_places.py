@@ -265,3 +265,41 @@ def test_viewshed_casts_the_rays_of_a_place_once(spark):
     got = {(r["obs_id"], r["ray"]): tuple(r)[2:] for r in terrain.viewshed(observers, sampler, 1200.0, azimuth_step=30.0).collect()}
     assert len(got) == 120 and asked == [2 * 12 * 20] and {v[2] for v in got.values()} != {0}
     assert all(got[i, ray] == got[i % 2, ray] for i in range(10) for ray in range(12))
+
+
+def test_soft_suppression_meets_only_overlapping_boxes(monkeypatch):
+    """The pairs of the sweep are those of all pairs, boxes without an extent among them."""
+    from geosweep.operators import detections
+
+    rng = np.random.default_rng(2)
+    low = rng.integers(0, 60, (300, 2)).astype(float)
+    boxes = np.hstack([low, low + rng.integers(0, 25, (300, 2))])
+    for least in (0.0, 0.3, 0.5):
+        i, j, share = detections.overlapping_by(boxes, least, chunk=500)
+        all_of = np.array([detections.iou_many(b, boxes) for b in boxes])
+        want = {(a, b) for a, b in zip(*np.nonzero(all_of > least), strict=True) if a < b}
+        assert {(min(p), max(p)) for p in zip(i, j, strict=True)} == want and len(i) == len(want) > 50
+        assert np.allclose(share, all_of[i, j])
+
+
+def test_soft_suppression_as_by_all_pairs(spark, monkeypatch):
+    from geosweep.operators import detections
+
+    rng, rows = np.random.default_rng(3), []
+    for k in range(200):
+        x, y, w, h = (float(v) for v in (*rng.integers(0, 60, 2), *rng.integers(5, 25, 2)))
+        rows.append((1, k, x, y, x + w, y + h, float(rng.random())))
+    score, left, want = {r[1]: r[6] for r in rows}, {r[1]: r for r in rows}, {}
+    while left:
+        top = max(left, key=lambda k: (score[k], -k))
+        if score[top] < 0.05:
+            break
+        box = np.array(left.pop(top)[2:6])
+        want[top] = score[top]
+        for k, r in left.items():
+            o = detections.iou_many(box, np.array([r[2:6]]))[0]
+            score[k] *= 1 - o if o > 0.5 else 1.0
+    monkeypatch.setattr(detections, "iou_many", None)
+    df = spark.createDataFrame(rows, "image int, det_id long, x1 double, y1 double, x2 double, y2 double, confidence double")
+    got = {r["det_id"]: r["confidence"] for r in detections.soft_nms(df, ["image"]).collect()}
+    assert got == pytest.approx(want) and len(want) < 200
