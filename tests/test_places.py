@@ -303,3 +303,19 @@ def test_soft_suppression_as_by_all_pairs(spark, monkeypatch):
     df = spark.createDataFrame(rows, "image int, det_id long, x1 double, y1 double, x2 double, y2 double, confidence double")
     got = {r["det_id"]: r["confidence"] for r in detections.soft_nms(df, ["image"]).collect()}
     assert got == pytest.approx(want) and len(want) < 200
+
+
+def test_masks_of_equal_runs_are_measured_once(spark, monkeypatch):
+    from geosweep.operators import shapes
+
+    real, calls = shapes.hull, spark.sparkContext.accumulator(0)
+
+    def hull(points):
+        calls.add(1)
+        return real(points)
+
+    monkeypatch.setattr(shapes, "hull", hull)
+    rows = [(m, y, 5 + m % 3 * y, 20 + m % 3 * 2 * y) for m in range(60) for y in range(2, 6)]
+    got = {r["mask"]: tuple(r)[1:] for r in shapes.oriented_boxes(spark.createDataFrame(rows, "mask long, row int, x1 int, x2 int").repartition(5), "mask", 80.0, 60.0).collect()}
+    assert len(got) == 60 and all(got[m] == got[m % 3] for m in got) and len({str(got[m]) for m in range(3)}) == 3
+    assert calls.value <= 6
