@@ -319,3 +319,15 @@ def test_masks_of_equal_runs_are_measured_once(spark, monkeypatch):
     got = {r["mask"]: tuple(r)[1:] for r in shapes.oriented_boxes(spark.createDataFrame(rows, "mask long, row int, x1 int, x2 int").repartition(5), "mask", 80.0, 60.0).collect()}
     assert len(got) == 60 and all(got[m] == got[m % 3] for m in got) and len({str(got[m]) for m in range(3)}) == 3
     assert calls.value <= 6
+
+
+def test_betweenness_of_many_nodes_goes_by_component(spark, monkeypatch):
+    """Paths and stars side by side, over 50,000 nodes in all; parts of a component's sources add up."""
+    from geosweep.operators import graph
+
+    monkeypatch.setattr(graph, "STEPS", 40)
+    nodes = spark.range(50_020)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(4)] + [(10, k) for k in range(11, 15)], "src long, dst long")
+    got = {r["id"]: r["betweenness"] for r in graph.betweenness(nodes, edges).where("betweenness > 0").collect()}
+    pairs = 50_019 * 50_018 / 2
+    assert {k: v * pairs for k, v in got.items()} == pytest.approx({1: 3, 2: 4, 3: 3, 10: 6})
