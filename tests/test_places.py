@@ -331,3 +331,31 @@ def test_betweenness_of_many_nodes_goes_by_component(spark, monkeypatch):
     got = {r["id"]: r["betweenness"] for r in graph.betweenness(nodes, edges).where("betweenness > 0").collect()}
     pairs = 50_019 * 50_018 / 2
     assert {k: v * pairs for k, v in got.items()} == pytest.approx({1: 3, 2: 4, 3: 3, 10: 6})
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sets_that_do_not_compete_are_assigned_apart(seed):
+    """As many allowed pairs, at the same cost, as the whole matrix gives with barred pairs at a high price; and never the whole matrix at once."""
+    from geosweep.operators import detections
+
+    rng = np.random.default_rng(seed)
+    for n, m in ((1, 1), (7, 4), (12, 30), (40, 25), (60, 60)):
+        cost = np.where(rng.random((n, m)) < 1.5 / m, rng.random((n, m)) * 2, 1e9)
+        whole = [(a, b) for a, b in detections.assign(cost) if cost[a, b] < 1e9]
+        found = detections.assign_apart(cost)
+        assert len(found) == len(whole) == len({a for a, _ in found}) == len({b for _, b in found})
+        assert sum(cost[p] for p in found) == pytest.approx(sum(cost[p] for p in whole), abs=1e-5)
+
+
+def test_clip_tracks_compare_boxes_by_row(spark, monkeypatch):
+    """Crowded clips: no call for each pair where nothing has an appearance, and no assignment of a whole frame."""
+    from geosweep.operators import detections
+
+    calls, sizes, real = [], [], detections.assign
+    monkeypatch.setattr(detections, "appearance", None)
+    monkeypatch.setattr(detections, "assign", lambda cost: (sizes.append(cost.shape), real(cost))[1])
+    monkeypatch.setattr(detections, "per_group", lambda df, keys, run, schema: calls.append(run) or df)
+    detections.clip_tracks(spark.createDataFrame([(1, 1, 0, "a", 0.0, 0.0, 1.0, 1.0)], "clip_id int, det_id long, frame int, cls string, x1 double, y1 double, x2 double, y2 double"))
+    rows = [(1, 1000 * f + k, f, "a", 30.0 * (k % 20) + f, 30.0 * (k // 20), 30.0 * (k % 20) + f + 20, 30.0 * (k // 20) + 20) for f in range(3) for k in range(200)]
+    got = calls[0](pd.DataFrame(rows, columns=["clip_id", "det_id", "frame", "cls", "x1", "y1", "x2", "y2"]))
+    assert (got["track"] == got["det_id"] % 1000 + 1).all() and all(a * b <= 16 for a, b in sizes)
